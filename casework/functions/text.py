@@ -7,9 +7,13 @@ import string
 from pyspark.sql import Column, functions as F
 
 # The characters Unicode calls White_Space.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0        "
-    "        　"
+WHITESPACE = "".join(
+    chr(code)
+    for code in (
+        9, 10, 11, 12, 13, 32, 133, 160, 5760,
+        8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202,
+        8232, 8233, 8239, 8287, 12288,
+    )
 )
 
 # Field-name aliases of protection-log lines -> canonical name.

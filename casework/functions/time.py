@@ -13,6 +13,9 @@ FILETIME_UNIX_EPOCH = 116_444_736_000_000_000  # 100 ns units, 1601 -> 1970
 WEBKIT_UNIX_EPOCH = 11_644_473_600_000_000  # microseconds, 1601 -> 1970
 COCOA_UNIX_EPOCH = 978_307_200  # seconds, 1970 -> 2001
 
+# Fixed value: seconds of the last representable date; later values have no text.
+MAX_SECONDS = 8_210_266_876_799
+
 # The leading time of a protection-log line.
 MPLOG_TIME = (
     r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?"
@@ -30,8 +33,9 @@ def _pad(c: Column, width: int) -> Column:
 
 def rfc3339(seconds: Column, nanos: Column | None = None) -> Column:
     """UTC text of Unix seconds (floor) with nine fraction digits, or none."""
-    day = F.floor(seconds / 86400).cast("int")
+    seconds = F.when(F.abs(seconds) <= MAX_SECONDS, seconds)
     rest = F.pmod(seconds, F.lit(86400))
+    day = _int_div(seconds - rest, 86400).cast("int")
     clock = F.concat(
         _pad(_int_div(rest, 3600), 2),
         F.lit(":"),
