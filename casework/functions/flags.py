@@ -68,10 +68,15 @@ ATTRIBUTE_LOWER = {mask: name.lower() for mask, name in ATTRIBUTE.items()} | {
 }
 
 
+def present(candidates: list[Column], kind: str) -> Column:
+    """Array of the non-null, distinct candidates; unlike a lambda filter this compiles with its stage."""
+    return F.array_except(F.array(*candidates), F.array(F.lit(None).cast(kind)))
+
+
 def decode_flags(mask: Column, table: Mapping[int, str]) -> Column:
     """Names of the set bits in table order; null when none is set."""
     wide = mask.cast("bigint")
-    names = F.array_compact(
-        F.array(*[F.when(wide.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in table.items()])
+    names = present(
+        [F.when(wide.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in table.items()], "string"
     )
     return F.when(F.size(names) > 0, names)

@@ -9,7 +9,7 @@ from casework.functions.text import ascii_lower, null_if_empty, strip
 
 def slashed(c: Column) -> Column:
     """Backslashes to slashes, case kept."""
-    return F.translate(c, "\\", "/")
+    return F.replace(c, F.lit("\\"), F.lit("/"))
 
 
 def norm_path(c: Column) -> Column:

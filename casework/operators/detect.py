@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casework.functions import paths, text
 from casework.plans.catalog import (
     CHROMIUM_ROOTS, DETECTION_RULES, EDGE, HIVE_MAGIC, HIVE_NAMES, PARSER_FAMILIES, PathParts, Rule,
-    with_path_parts,
+    tag, with_path_parts,
 )
 
 _CUSTOM_RULES: dict[str, tuple[str, str, str, Callable[[PathParts], Column]]] = {}
@@ -32,24 +32,17 @@ def detect(
 ) -> DataFrame:
     """Every (file, family, artifact) the rules bind; one file may match several.
 
-    Rules become one array of conditional structs that is filtered and exploded: no join, no
-    shuffle, a single pass over the listing. Pass ``content`` to also test leading bytes; without it
+    All rules are tested in a single pass over the listing, without join or shuffle. Pass ``content`` to also test leading bytes; without it
     magic rules bind by name alone, so a metadata-only listing never reads file bodies.
     """
     df, parts = with_path_parts(files, path)
     head = F.hex(F.substring(F.col(content), 1, 4)) if content else None
-    kept = [c for c in files.columns]
-
-    def hit(family: str, artifact: str, grain: str, test: Column) -> Column:
-        return F.when(
-            test,
-            F.struct(F.lit(family).alias("family"), F.lit(artifact).alias("artifact"), F.lit(grain).alias("grain")),
-        )
-
-    hits = [hit(r.family, r.artifact, r.grain, r.matches(parts, head)) for r in rules]
-    hits += [hit(f, a, g, t(parts)) for f, a, g, t in _CUSTOM_RULES.values()]
-    found = df.withColumn("__hits", F.array_compact(F.array(*hits))).where(F.size("__hits") > 0)
-    return found.select(*kept, F.explode("__hits").alias("__hit")).select(*kept, "__hit.*")
+    tests = [r.matches(parts, head) for r in rules]
+    labels = [dict(family=r.family, artifact=r.artifact, grain=r.grain) for r in rules]
+    for family, artifact, grain, test in _CUSTOM_RULES.values():
+        tests.append(test(parts))
+        labels.append(dict(family=family, artifact=artifact, grain=grain))
+    return tag(df, tests, labels).select(*files.columns, "family", "artifact", "grain")
 
 
 def browser_kind(path: Column) -> Column:

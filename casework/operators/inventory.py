@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from casework.functions import paths, text
 from casework.operators.ordered import first_by
 from casework.plans import targets as T
+from casework.plans.catalog import tag
 
 
 def inside_volume(path: Column) -> Column:
@@ -34,14 +35,11 @@ def find_targets(files: DataFrame, rules: Sequence[T.Target], path: str = "os_pa
         kinds[rule.collector] = (
             kinds[rule.collector].when(test, rule.kind) if rule.collector in kinds else F.when(test, rule.kind)
         )
-    hits = F.array(
-        *[
-            F.when(kind.isNotNull(), F.struct(F.lit(c).alias("collector"), kind.alias("kind")))
-            for c, kind in kinds.items()
-        ]
-    )
-    found = df.withColumn("__hits", F.array_compact(hits)).where(F.size("__hits") > 0)
-    return found.select(*files.columns, F.explode("__hits").alias("__hit")).select(*files.columns, "__hit.*")
+    df = df.withColumns({f"__kind_{c}": kind for c, kind in kinds.items()})
+    tests = [F.col(f"__kind_{c}").isNotNull() for c in kinds]
+    found = tag(df, tests, [{"collector": c} for c in kinds])
+    kind = F.coalesce(*[F.when(F.col("collector") == c, F.col(f"__kind_{c}")) for c in kinds])
+    return found.select(*files.columns, "collector", kind.alias("kind"))
 
 
 def powershell_kind(dir_kind: Column, name: Column) -> Column:
@@ -132,7 +130,7 @@ def _pair_of(name: Column) -> Column:
 def classify_recycle(root_kind: Column, relative_path: Column) -> Column:
     """struct(recycle_sid, artifact_kind, pair_id, extension) of an item below a recycle-bin root."""
     parts = F.filter(F.split(paths.slashed(relative_path), "/"), lambda p: p != "")
-    name = F.element_at(parts, -1)
+    name = F.try_element_at(parts, F.lit(-1))
     low = text.ascii_lower(name)
     own = _pair_of(name)
     parents = F.reverse(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
@@ -391,22 +389,21 @@ def artifact_label(path: Column) -> Column:
 def expected_vs_found(files: DataFrame, path: str = "os_path", keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """Per case every expected artifact with the number of files that arrived (0 when none).
 
-    Files are tagged in one pass by an array of tests and counted with map-side combine; the fixed
+    Files are tagged in one pass and counted with map-side combine; the fixed
     list of expectations is exploded from each case row, not cross joined.
     """
     inside = inside_volume(F.col(path))
     df = files.select(*keys, inside.alias("__in"))
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("__in").rlike(rx), F.lit(i)) for i, (_, _, rx) in enumerate(T.EXPECTED)])
-    )
-    found = df.select(*keys, F.explode(hits).alias("__i")).groupBy(*keys, "__i").agg(F.count("*").alias("found"))
+    tests = [F.col("__in").rlike(rx) for _, _, rx in T.EXPECTED]
+    found = tag(df, tests, [{"title": t, "expected": e} for t, e, _ in T.EXPECTED])
+    found = found.groupBy(*keys, "title", "expected").agg(F.count("*").alias("found"))
     wanted = F.array(
         *[
-            F.struct(F.lit(i).alias("__i"), F.lit(t).alias("title"), F.lit(e).alias("expected"))
-            for i, (t, e, _) in enumerate(T.EXPECTED)
+            F.struct(F.lit(t).alias("title"), F.lit(e).alias("expected"))
+            for t, e, _ in T.EXPECTED
         ]
     )
     every = files.select(*keys).distinct().select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*")
-    return every.join(found, [*keys, "__i"], "left").select(
+    return every.join(found, [*keys, "title", "expected"], "left").select(
         *keys, "title", "expected", F.coalesce("found", F.lit(0)).cast("bigint").alias("found")
     )

@@ -155,45 +155,62 @@ def progress(
 STATUS_LABELS = {"ok": "Complete", "error": "Failed", "skipped": "Skipped"}
 
 
+OTHER_STATUS = "Finished"
+
+
 def status_label(status: Column) -> Column:
-    low = F.lower(status)
-    out = status
-    for name, label in STATUS_LABELS.items():
-        out = F.when(low == name, F.lit(label)).otherwise(out)
-    return out
+    labels = F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(labels, F.lower(status)), F.lit(OTHER_STATUS))
 
 
-def fold_plan_state(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
-    """Final status and activity of every plan of every run.
+def plan_marks(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
+    """Latest positions per (run, plan) that decide plan state; run-level events have a null plan.
 
-    Events are plan_started, plan_finished (with status) and completed. Starting a plan deactivates
-    the run's others. Two combinable aggregates and a join of the reduced sides: a run with very many
-    events never sits in one task.
+    Every mark is a maximum, so marks of parts of an event log merge by taking maxima again: the same
+    expression serves a batch, a streaming aggregation and the union of its updates.
     """
     kind, pos = F.col("type"), F.col(seq)
-    plan = F.concat_ws("::", "parser", "artifact")
-    planned = events.where(F.col("parser").isNotNull())
     shown = F.when(kind == "plan_started", F.lit("Running")).when(kind == "plan_finished", status_label(F.col("status")))
-    per_plan = planned.groupBy(run, plan.alias("plan_id")).agg(
-        F.max_by(shown, F.when(shown.isNotNull(), pos)).alias("status"),
-        F.max(F.when(kind == "plan_started", pos)).alias("__started"),
-        F.max(F.when(kind == "plan_finished", pos)).alias("__finished"),
+    plan = F.when(F.col("parser").isNotNull(), F.concat_ws("::", "parser", "artifact"))
+    return events.groupBy(F.col(run).alias("run_id"), plan.alias("plan_id")).agg(
+        F.max(F.when(shown.isNotNull(), F.struct(pos.alias("pos"), shown.alias("status")))).alias("last"),
+        F.max(F.when(kind == "plan_started", pos)).alias("started"),
+        F.max(F.when(kind == "plan_finished", pos)).alias("finished"),
+        F.max(F.when(kind == "completed", pos)).alias("completed"),
     )
-    per_run = events.groupBy(run).agg(
-        F.max(F.when(kind == "plan_started", pos)).alias("__last_start"),
-        F.max(F.when(kind == "completed", pos)).alias("__completed"),
+
+
+def merge_marks(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("run_id", "plan_id").agg(
+        *[F.max(c).alias(c) for c in ("last", "started", "finished", "completed")]
     )
+
+
+def state_from_marks(marks: DataFrame) -> DataFrame:
+    """Status and activity per plan. Starting a plan deactivates the run's others, completion all."""
+    per_run = marks.groupBy("run_id").agg(F.max("started").alias("__last"), F.max("completed").alias("__done"))
     active = (
-        (F.col("__started") == F.col("__last_start"))
-        & (F.col("__started") > F.coalesce("__finished", F.lit(-1)))
-        & (F.col("__started") > F.coalesce("__completed", F.lit(-1)))
-    )
-    return per_plan.join(per_run, run).select(
-        run, "plan_id", F.coalesce("status", F.lit("Queued")).alias("status"),
+        (F.col("started") == F.col("__last"))
+        & (F.col("started") > F.coalesce("finished", F.lit(-1)))
+        & (F.col("started") > F.coalesce("__done", F.lit(-1)))
+    )
+    plans = marks.where(F.col("plan_id").isNotNull())
+    return plans.join(per_run, "run_id").select(
+        "run_id", "plan_id",
+        F.coalesce("last.status", F.lit("Queued")).alias("status"),
         F.coalesce(active, F.lit(False)).alias("active"),
     )
 
 
+def fold_plan_state(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
+    """Final status and activity of every plan of every run.
+
+    Events are plan_started, plan_finished (with status) and completed. Marks combine before the
+    shuffle, so a run with very many events never sits in one task.
+    """
+    return state_from_marks(plan_marks(events, run, seq))
+
+
 def collector_progress(
     events: DataFrame, keys: Sequence[str], order: str, total: Column, width: int = DEFAULT_WIDTH
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casework.functions.flags import present
 from casework.functions.paths import extension, file_name, norm_path
 
 # Parser family -> collection it reads.
@@ -201,6 +202,21 @@ def with_path_parts(df: DataFrame, path: str = "os_path") -> tuple[DataFrame, Pa
     return df, PathParts(F.col("__lp"), F.col("__ln"), F.col("__le"))
 
 
+def tag(df: DataFrame, tests: list[Column], labels: list[dict[str, str]]) -> DataFrame:
+    """One row per test that holds, with the columns of its label.
+
+    Tests give an array of their numbers, which is exploded: no join and no shuffle. The explode is an
+    outer one because a plain one would have its filter, and with it every test, evaluated twice.
+    """
+    numbers = present([F.when(test, F.lit(i)) for i, test in enumerate(tests)], "int")
+    hits = df.withColumn("__numbers", numbers).withColumn("__hit", F.explode_outer("__numbers"))
+    hits = hits.where(F.col("__hit").isNotNull())
+    named = {
+        name: F.get(F.array(*[F.lit(label[name]) for label in labels]), F.col("__hit")) for name in labels[0]
+    }
+    return hits.withColumns(named).drop("__numbers", "__hit")
+
+
 def parser_catalog(spark: SparkSession) -> DataFrame:
     rows = [(i, f, c, True) for i, (f, c) in enumerate(PARSER_FAMILIES.items())]
     return spark.createDataFrame(rows, "family_order int, family string, collection string, enabled boolean")
