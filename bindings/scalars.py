@@ -97,8 +97,8 @@ MPLOG_TIME_COLUMNS = f"""
 
 @query("tim_6_log_time", cte("v_log") + f" SELECT event_id, {MPLOG_TIME_COLUMNS} FROM v_log")
 def tim_6(spark, sf):
-    df = view(spark, sf, "v_log")
-    return df.select("event_id", time.mplog_time(F.col("line")).alias("t")).select("event_id", "t.*")
+    df = time.with_log_time(view(spark, sf, "v_log"), "line", "t")
+    return df.select("event_id", "t.*")
 
 
 # ---- text and bytes ----------------------------------------------------------------------

@@ -174,7 +174,7 @@ VIEWS = {
         FROM @events@""",
     "v_counters": """
         SELECT l_suppkey, CAST(l_suppkey % 7 AS BIGINT) AS host, concat('V', CAST(l_suppkey AS STRING)) AS volume,
-               (year(l_shipdate) - 1990) * 12 + month(l_shipdate) AS at, sum(CAST(l_quantity AS BIGINT)) AS bytes
+               (year(l_shipdate) - 1990) * 12 + month(l_shipdate) AS sample_no, sum(CAST(l_quantity AS BIGINT)) AS bytes
         FROM @lineitem@ GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate)""",
     "v_keys": r"""
         SELECT page_id AS key_id,

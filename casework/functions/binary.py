@@ -15,6 +15,12 @@ def le_hex(b: Column, off: int | Column, width: int) -> Column:
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(width))])
 
 
+def le_uint_hex(h: Column, off: int, width: int) -> Column:
+    """Unsigned little-endian integer at byte ``off`` of hex text."""
+    digits = F.conv(F.concat(*[F.substring(h, 2 * (off + i) + 1, 2) for i in reversed(range(width))]), 16, 10)
+    return digits.cast("bigint" if width <= 4 else "decimal(20,0)")
+
+
 def le_uint(b: Column, off: int | Column, width: int) -> Column:
     """Unsigned little-endian integer; up to 4 bytes BIGINT, 8 bytes DECIMAL(20,0)."""
     digits = F.conv(le_hex(b, off, width), 16, 10)

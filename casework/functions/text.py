@@ -93,11 +93,16 @@ def to_snake(c: Column) -> Column:
     return F.btrim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def canonical_key(lowered: Column) -> Column:
+    """Canonical name of a trimmed, lower-case field name."""
+    aliases = F.create_map(*[F.lit(x) for pair in FIELD_ALIASES.items() for x in pair])
+    snake = F.btrim(F.regexp_replace(lowered, "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.coalesce(F.try_element_at(aliases, lowered), snake)
+
+
 def field_key(c: Column) -> Column:
     """Canonical field name: alias table first, snake case otherwise."""
-    aliases = F.create_map(*[F.lit(x) for pair in FIELD_ALIASES.items() for x in pair])
-    lowered = ascii_lower(strip(c))
-    return F.coalesce(F.try_element_at(aliases, lowered), to_snake(lowered))
+    return canonical_key(ascii_lower(strip(c)))
 
 
 def field_value(c: Column) -> Column:

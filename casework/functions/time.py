@@ -6,7 +6,7 @@ session time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Epoch offsets.
 FILETIME_UNIX_EPOCH = 116_444_736_000_000_000  # 100 ns units, 1601 -> 1970
@@ -115,63 +115,72 @@ def cocoa_text(c: Column) -> Column:
     return rfc3339(F.when(nanos < 1_000_000_000, seconds), nanos)
 
 
-def mplog_time(line: Column) -> Column:
-    """struct(raw, utc, assumption, rest) of a line's leading time.
+_ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:\d{2})?$"
+_US = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})\s+(\d{2}):(\d{2}):(\d{2})(?:\.\d+)?$"
 
-    Only an explicit zone yields ``utc``; a wall-clock time is kept as text with an assumption.
-    """
-    raw = F.nullif(F.regexp_extract(line, MPLOG_TIME, 1), F.lit(""))
-    iso = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:\d{2})?$"
-    us = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})\s+(\d{2}):(\d{2}):(\d{2})(?:\.\d+)?$"
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(raw, pattern, group)
+def _log_time_raw(line: Column) -> Column:
+    return F.nullif(F.regexp_extract(line, MPLOG_TIME, 1), F.lit(""))
 
-    def in_clock(h: Column, m: Column, s: Column) -> Column:
-        return (h < "24") & (m < "60") & (s <= "60")
 
-    zone = part(iso, 6)
-    iso_ok = raw.rlike(iso) & part(iso, 1).try_cast("date").isNotNull() & in_clock(
-        part(iso, 2), part(iso, 3), part(iso, 4)
-    )
-    us_date = F.concat_ws(
-        "-", part(us, 4), F.lpad(part(us, 1), 2, "0"), F.lpad(part(us, 3), 2, "0")
-    ).try_cast("date")
-    us_ok = raw.rlike(us) & us_date.isNotNull() & in_clock(part(us, 5), part(us, 6), part(us, 7))
+def _log_time_parts(raw: Column) -> Column:
+    """struct of the date, clock, fraction and zone texts of a leading time; nulls where it is none."""
+    iso, us = raw.rlike(_ISO), raw.rlike(_US)
 
-    zone_ok = (zone == "Z") | ((F.substring(zone, 2, 2) < "24") & (F.substring(zone, 5, 2) < "60"))
-    sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-    shift = F.when(zone == "Z", F.lit(0)).otherwise(
-        sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int"))
+    def part(iso_group: int, us_group: int) -> Column:
+        return F.when(iso, F.regexp_extract(raw, _ISO, iso_group)).when(us, F.regexp_extract(raw, _US, us_group))
+
+    us_date = F.concat_ws(
+        "-", F.regexp_extract(raw, _US, 4), F.lpad(F.regexp_extract(raw, _US, 1), 2, "0"), F.lpad(F.regexp_extract(raw, _US, 3), 2, "0")
     )
-    minutes = (
-        F.datediff(part(iso, 1).try_cast("date"), F.lit("1970-01-01").cast("date")) * 1440
-        + part(iso, 2).try_cast("int") * 60
-        + part(iso, 3).try_cast("int")
-        - shift
+    date = F.when(iso, F.regexp_extract(raw, _ISO, 1)).when(us, us_date)
+    return F.struct(
+        date.try_cast("date").alias("date"), part(2, 5).alias("h"), part(3, 6).alias("m"), part(4, 7).alias("s"),
+        F.when(iso, F.regexp_extract(raw, _ISO, 5)).alias("fraction"), F.when(iso, F.regexp_extract(raw, _ISO, 6)).alias("zone"),
     )
-    fraction = F.rpad(F.substring(part(iso, 5), 1, 9), 9, "0")
-    shown = (
-        F.when(fraction == "000000000", "")
-        .when(F.substring(fraction, 4, 6) == "000000", F.substring(fraction, 1, 3))
-        .when(F.substring(fraction, 7, 3) == "000", F.substring(fraction, 1, 6))
-        .otherwise(fraction)
+
+
+def _log_time(line: Column, raw: Column, p: Column) -> Column:
+    zone = p["zone"]
+    valid = F.coalesce(p["date"].isNotNull() & (p["h"] < "24") & (p["m"] < "60") & (p["s"] <= "60"), F.lit(False))
+    zone_h, zone_m = F.substring(zone, 2, 2), F.substring(zone, 5, 2)
+    zoned = valid & F.coalesce((zone == "Z") | ((zone_h < "24") & (zone_m < "60") & (zone != "")), F.lit(False))
+    local = valid & (F.coalesce(zone, F.lit("")) == "")
+    shift = F.when(zone == "Z", F.lit(0)).otherwise(
+        F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (zone_h.try_cast("int") * 60 + zone_m.try_cast("int"))
     )
+    minutes = F.unix_date(p["date"]) * 1440 + p["h"].try_cast("int") * 60 + p["m"].try_cast("int") - shift
+    # zero, three, six or nine fraction digits are shown; further ones do not count
+    digits = F.rpad(F.substring(p["fraction"], 1, 9), 9, "0")
+    shown = F.regexp_replace(F.concat(F.lit("."), digits), r"^\.(0{9}|(\d{3})(0{6})|(\d{6})(000)|(\d{9}))$", "$2$4$6")
     # zones shift whole minutes, so the seconds text never changes
     utc = F.concat(
-        F.substring(rfc3339(minutes.cast("bigint") * 60), 1, 17),
-        part(iso, 4),
-        F.when(shown == "", "").otherwise(F.concat(F.lit("."), shown)),
-        F.lit("+00:00"),
+        F.substring(rfc3339(minutes.cast("bigint") * 60), 1, 17), p["s"],
+        F.when(shown == "", "").otherwise(F.concat(F.lit("."), shown)), F.lit("+00:00"),
+    )
+    assumption = F.when(raw.isNull() | zoned, F.lit(None).cast("string")).when(local, "local_time_unspecified").otherwise(
+        "unparsed_timestamp"
     )
-    zoned = iso_ok & (zone != "") & zone_ok
-    local = (iso_ok & (zone == "")) | us_ok
-    assumption = F.when(raw.isNull() | zoned, F.lit(None).cast("string")).when(
-        local, "local_time_unspecified"
-    ).otherwise("unparsed_timestamp")
     rest = F.when(raw.isNull(), line).otherwise(
         F.ltrim(F.substring(line, F.char_length(raw) + 1, F.char_length(line)), F.lit(" \t"))
     )
     return F.struct(
         raw.alias("raw"), F.when(zoned, utc).alias("utc"), assumption.alias("assumption"), rest.alias("rest")
     )
+
+
+def mplog_time(line: Column) -> Column:
+    """struct(raw, utc, assumption, rest) of a line's leading time.
+
+    Only an explicit zone yields ``utc``; a wall-clock time is kept as text with an assumption.
+    """
+    raw = _log_time_raw(line)
+    return _log_time(line, raw, _log_time_parts(raw))
+
+
+def with_log_time(df: DataFrame, line: str, name: str) -> DataFrame:
+    """Add :func:`mplog_time` step by step, which keeps the generated code of each step small."""
+    df = df.withColumn("__raw_time", _log_time_raw(F.col(line)))
+    df = df.withColumn("__time_parts", _log_time_parts(F.col("__raw_time")))
+    df = df.withColumn(name, _log_time(F.col(line), F.col("__raw_time"), F.col("__time_parts")))
+    return df.drop("__raw_time", "__time_parts")

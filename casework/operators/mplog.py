@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from casework.functions import text, time
 from casework.functions.binary import sha256_hex
@@ -85,7 +85,10 @@ def _any_text(c: Column, words: tuple[str, ...]) -> Column:
 
 def component(body: Column) -> Column:
     """struct(component, level, rest, fields) of a line body; the first shape that fits wins."""
-    b = text.lstrip(body)
+    return _component(text.lstrip(body))
+
+
+def _component(b: Column) -> Column:
     levels = {"WARNING:": "Warning", "ERROR:": "Error", "INFO:": "Info"}
     none = F.lit(None).cast("string")
 
@@ -188,7 +191,10 @@ def scan_fields(line: str) -> list[dict[str, str]]:
             at += 1
 
 
-@F.pandas_udf("array<struct<key:string,value:string>>")
+_PAIRS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.pandas_udf(_PAIRS)
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for lines in batches:
         yield lines.map(lambda s: scan_fields(s) if isinstance(s, str) else None)
@@ -215,10 +221,13 @@ def raw_fields(body: Column) -> Column:
 
 
 def normalise_fields(pairs: Column) -> Column:
-    """Map of canonical keys; empty keys and values vanish, the first occurrence of a key wins."""
+    """Map of canonical keys; empty keys and values vanish, the first occurrence of a key wins.
+
+    Scanned keys are trimmed ASCII, so a plain lower-casing is exact for them.
+    """
     entries = F.transform(
         F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>")),
-        lambda p: F.struct(text.field_key(p["key"]).alias("key"), text.field_value(p["value"]).alias("value")),
+        lambda p: F.struct(text.canonical_key(F.lower(p["key"])).alias("key"), text.field_value(p["value"]).alias("value")),
     )
     entries = F.filter(entries, lambda p: (p["key"] != "") & (p["value"] != ""))
     names = F.transform(entries, lambda p: p["key"])
@@ -226,8 +235,10 @@ def normalise_fields(pairs: Column) -> Column:
     return F.map_from_entries(first)
 
 
-def extract_fields(body: Column) -> Column:
-    return normalise_fields(raw_fields(body))
+def extract_fields(df: DataFrame, body: Column, name: str = "fields") -> DataFrame:
+    """Add the field map of a body; two steps, as a Python function may not sit inside a lambda."""
+    scanned = df.withColumn("__pairs", raw_fields(body))
+    return scanned.withColumn(name, normalise_fields(F.col("__pairs"))).drop("__pairs")
 
 
 def _absent(fields: Column, more: Column) -> Column:
@@ -263,7 +274,10 @@ def infer_fields(line: Column, fields: Column) -> Column:
 
 
 def infer_level(line: Column, fields: Column) -> Column:
-    low = text.ascii_lower(line)
+    return _level(text.ascii_lower(line), fields)
+
+
+def _level(low: Column, fields: Column) -> Column:
     hr = F.try_element_at(fields, F.lit("hresult"))
     failed = F.coalesce(~hr.isin(*ZERO_HRESULTS), F.lit(False))
     return (
@@ -274,7 +288,11 @@ def infer_level(line: Column, fields: Column) -> Column:
 
 
 def classify_event(line: Column, fields: Column, comp: Column, level: Column) -> Column:
-    low, comp = text.ascii_lower(line), F.coalesce(text.ascii_lower(comp), F.lit(""))
+    return _event(text.ascii_lower(line), fields, comp, level)
+
+
+def _event(low: Column, fields: Column, comp: Column, level: Column) -> Column:
+    comp = F.coalesce(F.lower(comp), F.lit(""))
     cases = []
     for label, words in TEXT_EVENTS:
         test = _any_text(low, words)
@@ -294,7 +312,10 @@ def classify_event(line: Column, fields: Column, comp: Column, level: Column) ->
 
 
 def infer_action(line: Column, fields: Column) -> Column:
-    low = text.ascii_lower(line)
+    return _action(text.ascii_lower(line), fields)
+
+
+def _action(low: Column, fields: Column) -> Column:
     return F.coalesce(
         _first_field(fields, ACTION_FIELDS),
         F.when(low.startswith("beginning quarantine"), "begin_quarantine_recovery").when(
@@ -305,10 +326,10 @@ def infer_action(line: Column, fields: Column) -> Column:
 
 def annotate(records: DataFrame) -> DataFrame:
     """Parsed columns of merged records (``head``, ``continuations``, ``message``, ``raw``)."""
-    df = records.withColumn("__t", time.mplog_time(F.col("head")))
-    df = df.withColumn("__c", component(F.col("__t.rest")))
-    df = df.withColumn("__pairs", raw_fields(F.col("__c.rest")))
-    df = df.withColumn("__scanned", normalise_fields(F.col("__pairs")))
+    df = time.with_log_time(records, "head", "__t")
+    df = df.withColumns({"__body": text.lstrip(F.col("__t.rest")), "__low": text.ascii_lower(F.col("head"))})
+    df = df.withColumn("__c", _component(F.col("__body")))
+    df = extract_fields(df, F.col("__c.rest"), "__scanned")
     df = df.withColumn("__known", _absent(F.col("__c.fields"), F.col("__scanned")))
     df = df.withColumn("__sentence", _absent(F.col("__known"), named_by_sentence(F.col("head"))))
     df = df.withColumn(
@@ -318,7 +339,7 @@ def annotate(records: DataFrame) -> DataFrame:
     f, head = F.col("fields"), F.col("head")
     df = df.withColumns(
         {
-            "level": F.coalesce(F.col("__c.level"), infer_level(head, f)),
+            "level": F.coalesce(F.col("__c.level"), _level(F.col("__low"), f)),
             "component": F.col("__c.component"),
             "timestamp_raw": F.col("__t.raw"),
             "timestamp_utc": F.col("__t.utc"),
@@ -329,12 +350,12 @@ def annotate(records: DataFrame) -> DataFrame:
     later = F.get(F.array_compact(F.transform(F.col("continuations"), lambda c: infer_path(c, _empty_map()))), F.lit(0))
     return df.withColumns(
         {
-            "event_type": classify_event(head, f, F.col("component"), F.col("level")),
+            "event_type": _event(F.col("__low"), f, F.col("component"), F.col("level")),
             "threat_name": _first_field(f, THREAT_NAME_FIELDS),
             "threat_id": _first_field(f, ("threat_id",)),
             "path": F.coalesce(infer_path(head, f), later),
             "process": _first_field(f, ("process",)),
-            "action": infer_action(head, f),
+            "action": _action(F.col("__low"), f),
             "result": _first_field(f, RESULT_FIELDS),
             "hresult": _first_field(f, HRESULT_FIELDS),
         }

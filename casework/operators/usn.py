@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.functions import paths, text, time
-from casework.functions.binary import file_ref, le_uint
+from casework.functions.binary import le_uint_hex
 from casework.functions.flags import ATTRIBUTE, REASON, SOURCE, decode_flags
 from casework.operators.ranges import coalesce_ranges, parse_window
 from casework.sources.files import CHUNK, open_uri
@@ -149,47 +149,47 @@ def split_usn(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, diagnostics
 
 
-# Header size, reference width and field offsets by record version.
-LAYOUTS = {
-    2: dict(header=60, ref=8, file_ref=8, parent=16, usn=24, time=32, reason=40, source=44, security=48,
-            attributes=52, name_length=56, name_offset=58),
-    3: dict(header=76, ref=16, file_ref=8, parent=24, usn=40, time=48, reason=56, source=60, security=64,
-            attributes=68, name_length=72, name_offset=74),
+# Header and file reference size by record version. File and parent reference follow the
+# eight leading bytes; the remaining fields follow them at the same distances in every version.
+HEADER_BYTES = {2: 60, 3: 76}
+REFERENCE_BYTES = {2: 8, 3: 16}
+FIELDS = {
+    "usn": (0, 8), "timestamp_filetime": (8, 8), "reason": (16, 4), "source_info": (20, 4), "security_id": (24, 4),
+    "file_attributes": (28, 4), "file_name_length": (32, 2), "file_name_offset": (34, 2),
 }
 
 
 def decode_usn(records: DataFrame) -> DataFrame:
-    """Header fields of split records; ``error`` says why a record cannot be decoded."""
-    r, size = F.col("record"), F.col("record_length")
-    df = records.withColumns({"major_version": le_uint(r, 4, 2), "minor_version": le_uint(r, 6, 2)})
-    major = F.col("major_version")
+    """Header fields of split records; ``error`` says why a record cannot be decoded.
 
-    def pick(field):
-        out = None
-        for version, at in LAYOUTS.items():
-            long_enough = (major == version) & (size >= at["header"])
-            out = F.when(long_enough, field(at)) if out is None else out.when(long_enough, field(at))
-        return out
+    The header becomes hex text once and every field is cut from that.
+    """
+    r, size, major = F.col("record"), F.col("record_length"), F.col("major_version")
+    df = records.withColumn("__head", F.hex(F.substring(r, 1, max(HEADER_BYTES.values()))))
+    df = df.withColumns(
+        {"major_version": le_uint_hex(F.col("__head"), 4, 2), "minor_version": le_uint_hex(F.col("__head"), 6, 2)}
+    )
 
-    def num(name: str, width: int) -> Column:
-        return pick(lambda at: le_uint(r, at[name], width))
+    def by_version(table: dict[int, int]) -> Column:
+        return F.coalesce(*[F.when(major == v, F.lit(n)) for v, n in table.items()])
 
+    df = df.withColumn("__ref", F.when(size >= by_version(HEADER_BYTES), by_version(REFERENCE_BYTES)))
+    ref, known = F.col("__ref"), major.isin(*HEADER_BYTES)
+    df = df.withColumns(
+        {
+            "__file": F.substring("__head", F.lit(17), 2 * ref),
+            "__parent": F.substring("__head", 17 + 2 * ref, 2 * ref),
+            "__tail": F.substring("__head", 17 + 4 * ref, F.lit(72)),
+        }
+    )
     df = df.withColumns(
         {
-            "file_reference_number": pick(lambda at: file_ref(r, at["file_ref"], at["ref"])),
-            "parent_file_reference_number": pick(lambda at: file_ref(r, at["parent"], at["ref"])),
-            "usn": num("usn", 8),
-            "timestamp_filetime": num("time", 8),
-            "reason": num("reason", 4),
-            "source_info": num("source", 4),
-            "security_id": num("security", 4),
-            "file_attributes": num("attributes", 4),
-            "file_name_length": num("name_length", 2),
-            "file_name_offset": num("name_offset", 2),
+            "file_reference_number": _reference("__file"),
+            "parent_file_reference_number": _reference("__parent"),
+            **{name: le_uint_hex(F.col("__tail"), at, width) for name, (at, width) in FIELDS.items()},
         }
     )
     start, end = F.col("file_name_offset"), F.col("file_name_offset") + F.col("file_name_length")
-    known = major.isin(*LAYOUTS)
     error = (
         F.when(~known, F.concat(F.lit("unsupported record version "), major, F.lit("."), F.col("minor_version")))
         .when(start.isNull(), F.concat(F.lit("shorter than header of version "), major))
@@ -200,7 +200,15 @@ def decode_usn(records: DataFrame) -> DataFrame:
     )
     df = df.withColumn("error", error)
     name = text.utf16z(F.substring(r, (start + 1).cast("int"), F.col("file_name_length").cast("int")))
-    return df.withColumn("file_name", F.when(F.col("error").isNull(), name)).drop("record")
+    return df.withColumn("file_name", F.when(F.col("error").isNull(), name)).drop(
+        "record", "__head", "__ref", "__file", "__parent", "__tail"
+    )
+
+
+def _reference(column: str) -> Column:
+    """``0x`` text of a little-endian reference given as hex; byte pairs are put in reverse order."""
+    pairs = F.regexp_extract_all(F.col(column), F.lit(".."), F.lit(0))
+    return F.concat(F.lit("0x"), F.array_join(F.reverse(pairs), ""))
 
 
 def usn_rows(decoded: DataFrame, metadata: DataFrame | None = None) -> DataFrame:

@@ -204,7 +204,7 @@ def write_packages(files: DataFrame, folder: str) -> DataFrame:
     Used to hand selected evidence on; one package is one output file and so one task's work.
     """
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key, table):
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             for row in table.sort_by("archive_path").to_pylist():
