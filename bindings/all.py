@@ -1,3 +1,3 @@
 """Imports every binding module, so that all queries are registered."""
 
-from bindings import discovery, logs, ranges, scalars, tables  # noqa: F401
+from bindings import discovery, io, logs, ranges, scalars, tables  # noqa: F401

@@ -236,8 +236,9 @@ def union_outputs(outputs: Sequence[DataFrame]) -> DataFrame:
 
 
 def union_results(results: DataFrame, plans: DataFrame) -> DataFrame:
-    """Lines of foreign decoders with the plan they belong to, found by their result file name."""
-    named = results.withColumn(
-        "output_name", F.regexp_replace(F.substring_index("result_file", "/", -1), r"\.jsonl$", "")
-    )
-    return named.join(plans.select("case_id", "plan_id", "output_name"), "output_name")
+    """Lines of foreign decoders with the plan they belong to.
+
+    The plan is found by the ``<output_name>.jsonl`` file or folder a line was read from.
+    """
+    named = results.withColumn("output_name", F.regexp_extract("result_file", r"([^/=]+)\.jsonl", 1))
+    return named.join(plans.select("output_name", "plan_id").distinct(), "output_name")
