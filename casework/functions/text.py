@@ -180,28 +180,41 @@ def asciiz(b: Column) -> Column:
     return utf8_lossy(F.when(nul > 0, F.substring(b, F.lit(1), nul - 1)).otherwise(b))
 
 
-def decode_text(content: Column) -> Column:
-    """struct(text, encoding, lossy) by byte-order mark, NUL density, then UTF-8 validity."""
+def text_encoding(content: Column) -> Column:
+    """Encoding by byte-order mark, NUL density of the first 2000 bytes, then UTF-8 validity."""
     head = F.decode(F.substring(content, 1, 2000), "ISO-8859-1")
     nuls = F.length(head) - F.length(F.replace(head, F.lit("\x00"), F.lit("")))
-    bom8 = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
-    bom16 = F.hex(F.substring(content, 1, 2)) == "FFFE"
-    after8 = F.substring(content, F.lit(4), F.length(content))
-    after16 = F.substring(content, F.lit(3), F.length(content))
-    kind = (
-        F.when(bom8, "utf-8-bom")
-        .when(bom16, "utf-16le-bom")
+    mark = F.hex(F.substring(content, 1, 3))
+    return (
+        F.when(mark == "EFBBBF", "utf-8-bom")
+        .when(mark.startswith("FFFE"), "utf-16le-bom")
         .when(nuls > 100, "utf-16le")
         .when(F.is_valid_utf8(content.cast("string")), "utf-8")
         .otherwise("utf-8-lossy")
     )
-    text = (
-        F.when(kind == "utf-8-bom", utf8_lossy(after8))
-        .when(kind == "utf-16le-bom", utf16(after16))
-        .when(kind == "utf-16le", utf16(content))
-        .otherwise(utf8_lossy(content))
+
+
+def decode_as(content: Column, encoding: Column) -> Column:
+    """Text of ``content`` in a detected encoding, its mark removed."""
+    body = F.substring(
+        content, F.when(encoding == "utf-8-bom", 4).when(encoding == "utf-16le-bom", 3).otherwise(1), F.length(content)
     )
-    lossy = F.when(kind == "utf-8-bom", ~F.is_valid_utf8(after8.cast("string"))).otherwise(
-        kind == "utf-8-lossy"
+    return (
+        F.when(encoding == "utf-8", content.cast("string"))
+        .when(encoding.startswith("utf-16"), utf16(body))
+        .otherwise(utf8_lossy(body))
+    )
+
+
+def decoded_lossy(content: Column, encoding: Column) -> Column:
+    """UTF-16 always counts as lossless; marked UTF-8 is lossy when its body is invalid."""
+    body = F.substring(content, F.lit(4), F.length(content))
+    return F.when(encoding == "utf-8-bom", ~F.is_valid_utf8(body.cast("string"))).otherwise(encoding == "utf-8-lossy")
+
+
+def decode_text(content: Column) -> Column:
+    """struct(text, encoding, lossy) of a file's bytes."""
+    encoding = text_encoding(content)
+    return F.struct(
+        decode_as(content, encoding).alias("text"), encoding.alias("encoding"), decoded_lossy(content, encoding).alias("lossy")
     )
-    return F.struct(text.alias("text"), kind.alias("encoding"), lossy.alias("lossy"))

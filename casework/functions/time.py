@@ -27,36 +27,32 @@ def _int_div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
-def _pad(c: Column, width: int) -> Column:
-    return F.lpad(c.cast("string"), width, "0")
-
-
 def rfc3339(seconds: Column, nanos: Column | None = None) -> Column:
-    """UTC text of Unix seconds (floor) with nine fraction digits, or none."""
+    """UTC text of Unix seconds (floor) with nine fraction digits, or none.
+
+    A zone-less timestamp plus an interval never consults the session time zone.
+    """
     seconds = F.when(F.abs(seconds) <= MAX_SECONDS, seconds)
-    rest = F.pmod(seconds, F.lit(86400))
-    day = _int_div(seconds - rest, 86400).cast("int")
-    clock = F.concat(
-        _pad(_int_div(rest, 3600), 2),
-        F.lit(":"),
-        _pad(_int_div(F.pmod(rest, F.lit(3600)), 60), 2),
-        F.lit(":"),
-        _pad(F.pmod(rest, F.lit(60)), 2),
-    )
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
-    parts = [date, F.lit("T"), clock]
-    if nanos is not None:
-        parts += [F.lit("."), _pad(nanos, 9)]
-    return F.concat(*parts, F.lit("Z"))
+    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + seconds.cast("interval second")
+    text = F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
+    fraction = [] if nanos is None else [F.lit("."), F.lpad(nanos.cast("string"), 9, "0")]
+    return F.concat(text, *fraction, F.lit("Z"))
 
 
 def _since_unix_100ns(c: Column) -> Column:
+    """100 ns units after the Unix epoch as BIGINT; beyond its range (year 31196) there is no value."""
+    ticks = c.try_cast("bigint")
+    return F.when(ticks > FILETIME_UNIX_EPOCH, ticks - F.lit(FILETIME_UNIX_EPOCH))
+
+
+def _late_filetime(c: Column) -> Column:
+    """Units after the epoch for FILETIMEs that do not fit a BIGINT; null for all others."""
     wide = c.cast("decimal(20,0)")
-    return F.when(wide > FILETIME_UNIX_EPOCH, wide - F.lit(FILETIME_UNIX_EPOCH))
+    return F.when(wide > F.lit(9223372036854775807), wide - F.lit(FILETIME_UNIX_EPOCH))
 
 
 def filetime_to_micros(c: Column) -> Column:
-    return _int_div(_since_unix_100ns(c), 10)
+    return F.coalesce(_int_div(_since_unix_100ns(c), 10), _int_div(_late_filetime(c), 10))
 
 
 def filetime_to_ts(c: Column) -> Column:
@@ -65,8 +61,11 @@ def filetime_to_ts(c: Column) -> Column:
 
 
 def filetime_text(c: Column) -> Column:
-    ticks = _since_unix_100ns(c)
-    return rfc3339(_int_div(ticks, 10_000_000), (ticks % 10_000_000).cast("bigint") * 100)
+    ticks, late = _since_unix_100ns(c), _late_filetime(c)
+    return F.coalesce(
+        rfc3339(_int_div(ticks, 10_000_000), ticks % 10_000_000 * 100),
+        rfc3339(_int_div(late, 10_000_000), (late % 10_000_000).cast("bigint") * 100),
+    )
 
 
 def webkit_to_micros(c: Column) -> Column:

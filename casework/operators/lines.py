@@ -12,7 +12,9 @@ FILE_KEYS = ("case_id", "os_path")
 
 def explode_lines(df: DataFrame, content: Column, *keep: str) -> DataFrame:
     """One row per line of a text column; blank lines are kept and counted."""
-    parts = df.select(*keep, F.posexplode(F.split(content, "\n")).alias("__pos", "__part"), F.size(F.split(content, "\n")).alias("__n"))
+    parts = df.select(*keep, F.split(content, "\n").alias("__parts"))
+    parts = parts.withColumn("__n", F.size("__parts"))
+    parts = parts.select(*keep, "__n", F.posexplode_outer("__parts").alias("__pos", "__part"))
     ended = F.col("__pos") < F.col("__n") - 1
     line = F.when(ended & F.col("__part").endswith("\r"), F.expr("substring(__part, 1, char_length(__part) - 1)")).otherwise(F.col("__part"))
     return parts.where(ended | (F.col("__part") != "")).select(
@@ -22,9 +24,12 @@ def explode_lines(df: DataFrame, content: Column, *keep: str) -> DataFrame:
 
 def read_lines(files: DataFrame, *extra: str) -> DataFrame:
     """Decode ``content`` and number its lines, with encoding and lossiness on every line."""
-    decoded = files.withColumn("__d", text.decode_text(F.col("content")))
-    named = decoded.withColumns({"encoding": F.col("__d.encoding"), "decode_lossy": F.col("__d.lossy")})
-    return explode_lines(named, F.col("__d.text"), *FILE_KEYS, "encoding", "decode_lossy", *extra)
+    c, encoding = F.col("content"), F.col("encoding")
+    named = files.withColumn("encoding", text.text_encoding(c))
+    named = named.withColumns(
+        {"decode_lossy": text.decoded_lossy(c, encoding), "__text": text.decode_as(c, encoding)}
+    )
+    return explode_lines(named, F.col("__text"), *FILE_KEYS, "encoding", "decode_lossy", *extra)
 
 
 def read_split_lines(spark: SparkSession, path: str, case_id: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.functions import paths, text, time
-from casework.functions.binary import le_uint_hex
+from casework.functions.binary import mirrored_hex, mirrored_uint
 from casework.functions.flags import ATTRIBUTE, REASON, SOURCE, decode_flags
 from casework.operators.ranges import coalesce_ranges, parse_window
 from casework.sources.files import CHUNK, open_uri
@@ -153,6 +153,7 @@ def split_usn(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
 # eight leading bytes; the remaining fields follow them at the same distances in every version.
 HEADER_BYTES = {2: 60, 3: 76}
 REFERENCE_BYTES = {2: 8, 3: 16}
+TAIL_BYTES = 36
 FIELDS = {
     "usn": (0, 8), "timestamp_filetime": (8, 8), "reason": (16, 4), "source_info": (20, 4), "security_id": (24, 4),
     "file_attributes": (28, 4), "file_name_length": (32, 2), "file_name_offset": (34, 2),
@@ -162,12 +163,15 @@ FIELDS = {
 def decode_usn(records: DataFrame) -> DataFrame:
     """Header fields of split records; ``error`` says why a record cannot be decoded.
 
-    The header becomes hex text once and every field is cut from that.
+    Each block of fixed fields is mirrored once, and every field is then one substring of it.
     """
     r, size, major = F.col("record"), F.col("record_length"), F.col("major_version")
-    df = records.withColumn("__head", F.hex(F.substring(r, 1, max(HEADER_BYTES.values()))))
+    df = records.withColumn("__version", mirrored_hex(F.substring(r, 5, 4)))
     df = df.withColumns(
-        {"major_version": le_uint_hex(F.col("__head"), 4, 2), "minor_version": le_uint_hex(F.col("__head"), 6, 2)}
+        {
+            "major_version": mirrored_uint(F.col("__version"), 4, 0, 2),
+            "minor_version": mirrored_uint(F.col("__version"), 4, 2, 2),
+        }
     )
 
     def by_version(table: dict[int, int]) -> Column:
@@ -177,17 +181,13 @@ def decode_usn(records: DataFrame) -> DataFrame:
     ref, known = F.col("__ref"), major.isin(*HEADER_BYTES)
     df = df.withColumns(
         {
-            "__file": F.substring("__head", F.lit(17), 2 * ref),
-            "__parent": F.substring("__head", 17 + 2 * ref, 2 * ref),
-            "__tail": F.substring("__head", 17 + 4 * ref, F.lit(72)),
+            "file_reference_number": F.concat(F.lit("0x"), mirrored_hex(F.substring(r, F.lit(9), ref))),
+            "parent_file_reference_number": F.concat(F.lit("0x"), mirrored_hex(F.substring(r, 9 + ref, ref))),
+            "__tail": mirrored_hex(F.substring(r, 9 + 2 * ref, F.lit(TAIL_BYTES))),
         }
     )
     df = df.withColumns(
-        {
-            "file_reference_number": _reference("__file"),
-            "parent_file_reference_number": _reference("__parent"),
-            **{name: le_uint_hex(F.col("__tail"), at, width) for name, (at, width) in FIELDS.items()},
-        }
+        {name: mirrored_uint(F.col("__tail"), TAIL_BYTES, at, width) for name, (at, width) in FIELDS.items()}
     )
     start, end = F.col("file_name_offset"), F.col("file_name_offset") + F.col("file_name_length")
     error = (
@@ -201,16 +201,10 @@ def decode_usn(records: DataFrame) -> DataFrame:
     df = df.withColumn("error", error)
     name = text.utf16z(F.substring(r, (start + 1).cast("int"), F.col("file_name_length").cast("int")))
     return df.withColumn("file_name", F.when(F.col("error").isNull(), name)).drop(
-        "record", "__head", "__ref", "__file", "__parent", "__tail"
+        "record", "__version", "__ref", "__tail"
     )
 
 
-def _reference(column: str) -> Column:
-    """``0x`` text of a little-endian reference given as hex; byte pairs are put in reverse order."""
-    pairs = F.regexp_extract_all(F.col(column), F.lit(".."), F.lit(0))
-    return F.concat(F.lit("0x"), F.array_join(F.reverse(pairs), ""))
-
-
 def usn_rows(decoded: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Journal rows, with flag names, text time and the volume facts of the stream's sidecar."""
     df = decoded.where(F.col("error").isNull())
