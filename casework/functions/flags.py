@@ -68,15 +68,19 @@ ATTRIBUTE_LOWER = {mask: name.lower() for mask, name in ATTRIBUTE.items()} | {
 }
 
 
-def present(candidates: list[Column], kind: str) -> Column:
-    """Array of the non-null, distinct candidates; unlike a lambda filter this compiles with its stage."""
-    return F.array_except(F.array(*candidates), F.array(F.lit(None).cast(kind)))
+def present(candidates: list[Column]) -> Column:
+    """Array of the non-null candidates.
+
+    The lambda keeps a projection of very many tests out of one whole-stage method, which would grow
+    past what the JVM compiles; Spark then splits the tests over small methods instead.
+    """
+    return F.array_compact(F.array(*candidates))
 
 
 def decode_flags(mask: Column, table: Mapping[int, str]) -> Column:
     """Names of the set bits in table order; null when none is set."""
+    bits = F.array(*[F.struct(F.lit(bit).cast("bigint").alias("bit"), F.lit(name).alias("name")) for bit, name in table.items()])
     wide = mask.cast("bigint")
-    names = present(
-        [F.when(wide.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in table.items()], "string"
-    )
-    return F.when(F.size(names) > 0, names)
+    names = F.transform(F.filter(bits, lambda b: wide.bitwiseAND(b["bit"]) != 0), lambda b: b["name"])
+    known = sum(table)
+    return F.when(wide.bitwiseAND(F.lit(known).cast("bigint")) != 0, names)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.functions import text, time
 from casework.functions.binary import le_uint
+from casework.operators.shape import settled
 
 FILE_KEYS = ["case_id", "os_path"]
 
 
 def split_errors(decoded: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Rows that decoded, and a diagnostics table of those that did not; bad input never fails a job."""
+    decoded = settled(decoded)
     ok = decoded.where(F.col(error).isNull()).drop(error)
     keys = [c for c in ("case_id", "os_path", "record_offset") if c in decoded.columns]
     return ok, decoded.where(F.col(error).isNotNull()).select(*keys, error)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casework.functions import paths, text
 from casework.operators.ordered import first_by
+from casework.operators.shape import settled
 from casework.plans import targets as T
 from casework.plans.catalog import tag
 
@@ -166,7 +167,7 @@ def pair_recycle(items: DataFrame, order: str = "seq") -> DataFrame:
     def path_of(k: str) -> Column:
         return F.min_by(F.when(kind == k, F.col("os_path")), F.when(kind == k, F.col(order)))
 
-    grouped = items.where(F.col("pair_id").isNotNull()).groupBy("case_id", "recycle_sid", "pair_id").agg(
+    grouped = settled(items).where(F.col("pair_id").isNotNull()).groupBy("case_id", "recycle_sid", "pair_id").agg(
         path_of("metadata_i").alias("i_path"),
         path_of("payload_r").alias("r_path"),
         F.count_if(kind == "recycled_directory_member").cast("bigint").alias("members"),

@@ -13,6 +13,7 @@ from casework.functions import text, time
 from casework.functions.binary import sha256_hex
 from casework.operators.lines import merge_continuations, read_lines
 from casework.operators.ordered import DEFAULT_WIDTH
+from casework.operators.shape import settled
 
 # Line shapes.
 _TOKEN = r"[A-Za-z][A-Za-z0-9_.-]{1,40}"
@@ -348,7 +349,7 @@ def annotate(records: DataFrame) -> DataFrame:
     )
     # only a path may come from a continuation line: the first one that names any
     later = F.get(F.array_compact(F.transform(F.col("continuations"), lambda c: infer_path(c, _empty_map()))), F.lit(0))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "event_type": _event(F.col("__low"), f, F.col("component"), F.col("level")),
             "threat_name": _first_field(f, THREAT_NAME_FIELDS),
@@ -360,6 +361,8 @@ def annotate(records: DataFrame) -> DataFrame:
             "hresult": _first_field(f, HRESULT_FIELDS),
         }
     )
+    helpers = [c for c in df.columns if c.startswith("__")]
+    return settled(df.drop(*helpers))
 
 
 # The columns of a record, in order.

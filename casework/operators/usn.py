@@ -14,6 +14,7 @@ from casework.functions import paths, text, time
 from casework.functions.binary import mirrored_hex, mirrored_uint
 from casework.functions.flags import ATTRIBUTE, REASON, SOURCE, decode_flags
 from casework.operators.ranges import coalesce_ranges, parse_window
+from casework.operators.shape import settled
 from casework.sources.files import CHUNK, open_uri
 
 FILE_KEYS = ["case_id", "os_path"]
@@ -200,9 +201,8 @@ def decode_usn(records: DataFrame) -> DataFrame:
     )
     df = df.withColumn("error", error)
     name = text.utf16z(F.substring(r, (start + 1).cast("int"), F.col("file_name_length").cast("int")))
-    return df.withColumn("file_name", F.when(F.col("error").isNull(), name)).drop(
-        "record", "__version", "__ref", "__tail"
-    )
+    df = df.withColumn("file_name", F.when(F.col("error").isNull(), name))
+    return settled(df.drop("record", "__version", "__ref", "__tail"))
 
 
 def usn_rows(decoded: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
