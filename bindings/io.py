@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import sqlite3
+import zipfile
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from bindings.discovery import SLUG, WITH, WITH_DETECTED
@@ -23,6 +26,24 @@ from casework.sources import files as src, records, sqlite
 from casework.streaming import events as ev, landing
 
 
+def write_packages(files, folder: str) -> None:
+    """Zip packages of a bounded number of files each, one per case, as evidence to read back."""
+
+    def build(key, table):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for row in table.sort_by("archive_path").to_pylist():
+                archive.writestr(zipfile.ZipInfo(row["archive_path"]), row["content"])
+        filesystem, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        filesystem.create_dir(path, recursive=True)
+        with filesystem.open_output_stream(f"{path}/{key[0].as_py()}.zip") as out:
+            out.write(buffer.getvalue())
+        return pa.table({"case_id": [key[0].as_py()]})
+
+    grouped = files.select("case_id", "archive_path", "content").groupBy("case_id")
+    grouped.applyInArrow(build, "case_id string").write.format("noop").mode("overwrite").save()
+
+
 def _document_files(spark, sf):
     """Documents as files of packages of a hundred each."""
     d = F.col("doc_id")
@@ -34,7 +55,7 @@ def _document_files(spark, sf):
 
 def _packages(spark, sf) -> str:
     folder = shared_dir(spark, "packages")
-    src.write_packages(_document_files(spark, sf), folder).write.format("noop").mode("overwrite").save()
+    write_packages(_document_files(spark, sf), folder)
     return folder
 
 
@@ -252,12 +273,13 @@ def stm_3(spark, sf):
 
 
 def _log_packages(spark, sf) -> str:
-    """Packages of one case each, holding the log files of the case."""
+    """Packages of thirty users' log files each, named after their case."""
     log = view(spark, sf, "v_log")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     logs = log.groupBy("case_id", "os_path").agg(F.encode(text, "UTF-8").alias("content"))
     folder = shared_dir(spark, "landing")
-    src.write_packages(logs.withColumn("archive_path", F.col("os_path")), folder).write.format("noop").mode("overwrite").save()
+    name = F.concat("case_id", F.lit("-"), F.call_function("div", F.regexp_extract("os_path", r"(\d+)\.log$", 1).cast("bigint"), F.lit(30)).cast("string"))
+    write_packages(logs.select(name.alias("case_id"), F.col("os_path").alias("archive_path"), "content"), folder)
     return folder
 
 
@@ -270,4 +292,5 @@ def stm_4(spark, sf):
     folder, out = _log_packages(spark, sf), shared_dir(spark, "parsed")
     landing.parse_landing(spark, folder, f"{out}-checkpoint", out)
     rows = spark.read.schema("case_id string, event_type string").json(f"{out}/batch=*/results/windows_mplogs/Windows.Defender.MPLog")
-    return rows.groupBy("case_id", "event_type").agg(F.count("*").alias("n"))
+    case = F.substring_index("case_id", "-", 1).alias("case_id")
+    return rows.groupBy(case, "event_type").agg(F.count("*").alias("n"))

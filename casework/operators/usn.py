@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casework.functions import paths, text, time
 from casework.functions.binary import mirrored_hex, mirrored_uint
@@ -37,9 +37,12 @@ _SPLIT = pa.schema(
 class _Window:
     """Bytes [start, filled) of one range, read in whole chunks counted from the range start."""
 
-    def __init__(self, handle: BinaryIO, start: int, end: int) -> None:
-        self.handle, self.origin, self.end = handle, start, end
-        self.start, self.filled, self.data = start, start, b""
+    def __init__(self, handle: BinaryIO, origin: int, end: int, at: int) -> None:
+        self.handle, self.end = handle, end
+        self.start, self.data = at, b""
+        self.filled = min(origin + -(-(at - origin) // CHUNK) * CHUNK, end)
+        if self.filled > at:
+            self.data = self._load(at, self.filled)
 
     def _load(self, begin: int, upto: int) -> bytes:
         self.handle.seek(begin)
@@ -62,15 +65,23 @@ class _Window:
         self.start, self.filled = at, filled
 
 
-def split_range(handle: BinaryIO, start: int, length: int) -> Iterator[tuple[str, int, int, bytes | None]]:
-    """(kind, offset, amount, record) of one contiguous range, in order.
+Part = tuple[str, int, int, bytes | None]
+
+
+def split_range(
+    handle: BinaryIO, start: int, length: int, entry: int | None = None, limit: int | None = None
+) -> Generator[Part, None, int]:
+    """(kind, offset, amount, record) of one contiguous range, in order; returns where the walk stopped.
 
     Records are chained by their length, so a range is walked from its start; only the current chunk
-    and the current record's used bytes are held.
+    and the current record's used bytes are held. What follows depends on the position alone, so a walk
+    may also begin at any ``entry`` the chain passes, and stop at the first position from ``limit`` on.
     """
     end = start + length
-    window, at = _Window(handle, start, end), start
-    while True:
+    at = start if entry is None else entry
+    limit = end if limit is None else limit
+    window = _Window(handle, start, end, at)
+    while at < limit:
         if window.filled - at < 8:
             if window.filled == end:
                 break
@@ -100,45 +111,119 @@ def split_range(handle: BinaryIO, start: int, length: int) -> Iterator[tuple[str
             at += size
             if at > window.filled:
                 window.reach(at, at)
-    if at < end:
+    if at < limit:
         rest = end - at
         zeros = rest < 8 and not any(window.data[at - window.start:])
         yield ("zero_tail" if zeros else "trailing"), at, rest, None
+        at = end
+    return at
+
+
+LOOK_BACK = 128 * 1024
+
+
+def _likely_record(data: bytes, at: int) -> bool:
+    size, major, minor = struct.unpack_from("<IHH", data, at)
+    if size % 8 or not 60 <= size <= MAX_USED or major not in (2, 3) or minor:
+        return False
+    name_length, name_offset = struct.unpack_from("<HH", data, at + (56 if major == 2 else 72))
+    return name_offset in (60, 76) and name_offset + name_length <= size
+
+
+def guess_entry(handle: BinaryIO, start: int, length: int, boundary: int) -> int:
+    """Where the chain probably first stands at or after ``boundary``; a wrong guess is found out later."""
+    back = max(start, boundary - LOOK_BACK)
+    handle.seek(back)
+    data = handle.read(min(boundary + 80, start + length) - back)
+    first = next((at for at in range(0, len(data) - 80, 8) if _likely_record(data, at)), 0)
+    walk = split_range(handle, start, length, back + first, boundary)
+    while True:
+        try:
+            next(walk)
+        except StopIteration as stop:
+            return stop.value
 
 
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of each listed segment, and one ``segment`` row with its entry and exit."""
     for batch in batches:
         for row in batch.to_pylist():
             source = (row["case_id"], row["os_path"], row["seq"])
+            start, length, begin, limit = row["start"], row["length"], row["begin"], row["limit"]
             rows: list[tuple] = []
             try:
                 with open_uri(row["os_path"]) as handle:
-                    for part in split_range(handle, row["start"], row["length"]):
-                        rows.append(source + part)
+                    entry = start if begin == start else guess_entry(handle, start, length, begin)
+                    walk = split_range(handle, start, length, entry, limit)
+                    while True:
+                        try:
+                            rows.append(source + next(walk))
+                        except StopIteration as finished:
+                            rows.append(source + (f"segment {begin}", entry, finished.value, None))
+                            break
                         if len(rows) == 4096:
                             yield _batch(rows)
                             rows = []
             except (OSError, EOFError) as error:
-                rows.append(source + (f"unreadable: {error}", row["start"], row["length"], None))
-            if rows:
-                yield _batch(rows)
+                rows.append(source + (f"unreadable: {error}", start, length, None))
+            yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SPLIT)], schema=_SPLIT)
 
 
-def split_usn(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _walk(segments: DataFrame) -> DataFrame:
+    spread = segments.select(*FILE_KEYS, "seq", "start", "length", "begin", "limit")
+    return spread.repartition("os_path", "begin").mapInArrow(_split_batches, SPLIT_DDL)
+
+
+def _whole(ranges: DataFrame) -> DataFrame:
+    return ranges.withColumns({"begin": F.col("start"), "limit": F.col("start") + F.col("length")})
+
+
+def _parts(ranges: DataFrame, piece: int) -> DataFrame:
+    """Parts of all ranges; those longer than ``piece`` are walked by several tasks.
+
+    Each segment of a long range starts at a guessed chain position. The guesses of a range hold when
+    every segment begins where the one before it stopped; otherwise the range is walked in one go.
+    """
+    key = [*FILE_KEYS, "seq"]
+    long = ranges.where(F.col("length") > piece)
+    cuts = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1, F.lit(piece).cast("bigint"))
+    segments = long.withColumn("begin", F.explode(cuts)).withColumn(
+        "limit", F.least(F.col("begin") + piece, F.col("start") + F.col("length"))
+    )
+    walked = _walk(segments)
+    marks = walked.where(F.col("kind").startswith("segment ")).select(
+        *key, F.substring_index("kind", " ", -1).cast("bigint").alias("begin"),
+        F.col("stream_offset").alias("entry"), F.col("amount").alias("stop"),
+    )
+    came = F.lag("stop").over(Window.partitionBy(*key).orderBy("begin"))
+    sound = marks.withColumn("fits", came.isNull() | (came == F.col("entry"))).groupBy(*key).agg(
+        F.bool_and("fits").alias("ok"), F.count("*").alias("n")
+    )
+    wanted = segments.groupBy(*key).agg(F.count("*").alias("n"))
+    good = sound.where("ok").join(wanted, [*key, "n"], "left_semi").select(*key)
+    redone = _walk(_whole(long.join(good, key, "left_anti")))
+    short = _walk(_whole(ranges.where((F.col("length") > 0) & (F.col("length") <= piece))))
+    parts = short.unionByName(walked.join(good, key, "left_semi")).unionByName(redone)
+    return parts.where(~F.col("kind").startswith("segment "))
+
+
+def split_usn(ranges: DataFrame, piece: int = 256 * CHUNK) -> tuple[DataFrame, DataFrame]:
     """(records, diagnostics) of journal ranges ``(case_id, os_path, seq, start, length[, base])``.
 
-    Ranges spread over tasks one by one. ``record_offset`` counts from the logical base; a tail of
-    fewer than eight zero bytes is silent only at the end of a stream's last range.
+    ``piece`` (whole chunks) bounds what one task walks. ``record_offset`` counts from the logical base;
+    a tail of fewer than eight zero bytes is silent only at the end of a stream's last range.
     """
+    if piece % CHUNK:
+        raise ValueError("piece must be a multiple of the read chunk")
     base = F.col("base") if "base" in ranges.columns else F.lit(0).cast("bigint")
-    spread = ranges.select(*FILE_KEYS, "seq", "start", "length").where(F.col("length") > 0)
-    parts = spread.repartition("os_path", "start").mapInArrow(_split_batches, SPLIT_DDL)
     tops = ranges.groupBy(*FILE_KEYS).agg(F.max("seq").alias("__top"), F.max(base).alias("__base"))
-    placed = parts.join(tops, FILE_KEYS).withColumn("record_offset", F.col("stream_offset") + F.coalesce("__base", F.lit(0)))
+    placed = _parts(ranges, piece).join(tops, FILE_KEYS).withColumn(
+        "record_offset", F.col("stream_offset") + F.coalesce("__base", F.lit(0))
+    )
     records = placed.where(F.col("kind") == "record").select(
         *FILE_KEYS, "seq", "record_offset", F.col("amount").alias("record_length"), "record"
     )

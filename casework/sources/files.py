@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator
 
@@ -198,28 +197,6 @@ def read_packages(spark: SparkSession, path: str, glob: str = "*.zip", fail_fast
     )
 
 
-def write_packages(files: DataFrame, folder: str) -> DataFrame:
-    """Zip each case's (archive_path, content) rows into ``folder``; returns (case_id, members).
-
-    Used to hand selected evidence on; one package is one output file and so one task's work.
-    """
-
-    def build(key, table):
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for row in table.sort_by("archive_path").to_pylist():
-                archive.writestr(zipfile.ZipInfo(row["archive_path"]), row["content"])
-        filesystem, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        filesystem.create_dir(path, recursive=True)
-        with filesystem.open_output_stream(f"{path}/{key[0].as_py()}.zip") as out:
-            out.write(buffer.getvalue())
-        return pa.table({"case_id": [key[0].as_py()], "members": [table.num_rows]})
-
-    return files.select("case_id", "archive_path", "content").groupBy("case_id").applyInArrow(
-        build, "case_id string, members bigint"
-    )
-
-
 # ---- byte ranges -------------------------------------------------------------------------
 
 _RANGE_DDL = "case_id string, os_path string, seq bigint, chunk_offset bigint, bytes binary"
