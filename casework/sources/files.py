@@ -96,7 +96,7 @@ def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         rows.append(
                             (uri, info.filename, path, number, info.file_size, "ok" if path else "rejected")
                         )
-            except (zipfile.BadZipFile, OSError) as error:
+            except (zipfile.BadZipFile, OSError, ValueError) as error:  # ValueError: seek before the start
                 rows.append((uri, None, None, -1, 0, f"unreadable: {error}"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*rows), _MEMBERS)] if rows
