@@ -32,7 +32,8 @@ def info2_error(content: Column) -> Column:
 def decode_info2(files: DataFrame) -> DataFrame:
     """One row per used entry, or one row with ``error`` for an unreadable file."""
     c = F.col("content")
-    head = files.withColumns({"error": info2_error(c), "__size": F.length(c)})
+    # settled: a derived content must not be derived again for every entry inside the lambda below
+    head = settled(files.select(*FILE_KEYS, "content")).withColumns({"error": info2_error(c), "__size": F.length(c)})
     head = head.withColumns(
         {
             "__count": F.when(F.col("error").isNull(), le_uint(c, 4, 4)),
@@ -42,11 +43,17 @@ def decode_info2(files: DataFrame) -> DataFrame:
     fits = F.call_function("div", F.col("__size") - 20, F.col("__entry"))
     # unused entries count against the stated number of entries
     wanted = F.when(F.col("__count") > 0, F.least(fits, F.col("__count"))).otherwise(fits)
-    slots = F.when(wanted > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), wanted - 1), lambda i: i * F.col("__entry") + 20))
-    rows = head.select(*FILE_KEYS, "content", "error", "__entry", F.explode_outer(slots).alias("offset"))
+    # entries are cut out before the explode, so a file's bytes are not repeated for every entry
+    slots = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.when(wanted > 0, wanted - 1)),
+        lambda i: F.struct(
+            (i * F.col("__entry") + 20).alias("offset"),
+            F.substring(c, (i * F.col("__entry") + 21).cast("int"), F.col("__entry").cast("int")).alias("e"),
+        ),
+    )
+    rows = head.select(*FILE_KEYS, "error", "__entry", F.explode_outer(slots).alias("__slot"))
+    rows = rows.select(*FILE_KEYS, "error", "__entry", F.col("__slot.offset").alias("offset"), F.col("__slot.e").alias("__e"))
     rows = rows.where(F.col("offset").isNotNull() | F.col("error").isNotNull())
-    e = F.substring(c, (F.col("offset") + 1).cast("int"), F.col("__entry").cast("int"))
-    rows = rows.withColumn("__e", e).drop("content")
     e = F.col("__e")
     rows = rows.withColumns(
         {
@@ -119,7 +126,7 @@ def sample_signatures(streams: DataFrame, record_size: int | Column, n: int = 64
     ``mft_ok``: the first record is FILE. ``log_ok``: at least one log page signature was seen.
     """
     recs = F.col("__recs")
-    rows = streams.withColumn("__recs", _records(F.col("content"), record_size, n))
+    rows = settled(streams).withColumn("__recs", _records(F.col("content"), record_size, n))
     return rows.select(
         *FILE_KEYS,
         F.size(recs).cast("bigint").alias("sampled"),
@@ -141,7 +148,7 @@ def count_page_signatures(streams: DataFrame, page: int = 4096, magic: str = "IN
         F.sequence(F.lit(0), F.length(c) - 4, F.lit(page)),
     ).otherwise(F.array().cast("array<int>"))
     hits = F.filter(starts, lambda i: F.hex(F.substring(c, i + 1, F.lit(4))) == _magic(magic))
-    return streams.select(
+    return settled(streams.select(*FILE_KEYS, "content")).select(
         *FILE_KEYS,
         F.size(starts).cast("bigint").alias("expected_buffers"),
         F.size(hits).cast("bigint").alias("signature_buffers"),
