@@ -158,11 +158,9 @@ def utf16(b: Column) -> Column:
         )
 
     repaired = F.decode(F.unhex(F.array_join(repair(_hex_units(even)), "")), "UTF-16LE")
-    # a surrogate unit has a high byte D8..DF, that is at an odd 0-based byte position
-    has_surrogate = F.hex(even).rlike("D[89A-F]")
-    return F.when(has_surrogate, repaired).otherwise(
-        F.decode(F.when(~has_surrogate, even), "UTF-16LE")
-    )
+    # a surrogate unit has a high byte D8..DF; the lazy group keeps the search on unit boundaries
+    has_surrogate = F.hex(even).rlike("^(?:.{4})*?..D[89A-F]")
+    return F.when(has_surrogate, repaired).otherwise(F.decode(even, "UTF-16LE"))
 
 
 def utf16z(b: Column) -> Column:
