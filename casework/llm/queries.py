@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import lines, quality, sharding
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.base_failed(f) & (good >= 0.5)).alias("kept"),
         good.alias("good_probability"),
     )
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.drop_common_lines(docs, least_docs=10)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, t.i, t.line, lower_key.k FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1), lambda i: {'i': i, 'line': string_split(coalesce(text, ''), chr(10))[i]})) AS t FROM documents),
+    LATERAL (SELECT translate(regexp_replace(t.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k) lower_key),
+common AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
+    sha256(coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN common c ON l.k = c.k GROUP BY doc_id
+"""
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
