@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, quality, sharding
+from . import lines, mixing, quality, sharding
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,35 @@ FROM l LEFT JOIN common c ON l.k = c.k GROUP BY doc_id
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS u FROM documents),
+e AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class FROM d),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM e GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3 AS full_size FROM s),
+l AS (SELECT *, row_number() OVER o AS pos,
+    (sum(source_size) OVER () - coalesce(sum(full_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl FROM w
+    WINDOW o AS (ORDER BY full_size / weight, source NULLS LAST), b AS (ORDER BY full_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(full_size, coalesce(weight * (SELECT arg_min(lvl, pos) FROM l WHERE lvl * weight <= full_size), full_size)) AS target FROM l),
+c AS (SELECT e.source, class, sum(size) AS class_size, (class + 1)::DOUBLE * sum(size) AS mass FROM e GROUP BY ALL),
+f AS (SELECT c.*, t.source_size, t.target, CASE WHEN sum(mass) OVER p - coalesce(sum(mass) OVER b, 0) > 0 THEN
+    (target - 3 * CAST(coalesce(sum(class_size) OVER b, 0) AS DOUBLE)) / (sum(mass) OVER p - coalesce(sum(mass) OVER b, 0)) END AS factor
+    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+    WINDOW p AS (PARTITION BY c.source), b AS (PARTITION BY c.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, CASE WHEN class_size > 0 THEN greatest(least(3.0::DOUBLE, coalesce(arg_max(factor, class) FILTER (WHERE factor * (class + 1) <= 3) OVER (PARTITION BY source) * (class + 1), 3.0)), 0.0) ELSE 0.0 END AS copies FROM f),
+h AS (SELECT *, floor(copies) AS certain, copies - floor(copies) AS p, target - sum(floor(copies) * class_size) OVER (PARTITION BY source) AS rest FROM g),
+r AS (SELECT e.doc_id, e.size, e.source, h.source_size, h.target, certain, p, rest, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS rank
+    FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source AND e.class = h.class),
+k AS (SELECT *, p > 0 AS part, sum(size) OVER (PARTITION BY source, p > 0 ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin FROM r),
+m AS (SELECT *, max(fin - size / 2) OVER (PARTITION BY source, part ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS far FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+    CAST((certain + CASE WHEN part AND far <= rest AND rest > 0 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM m
+"""
