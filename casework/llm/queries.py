@@ -76,13 +76,13 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULL
 l AS (SELECT *, row_number() OVER o AS pos,
     (sum(source_size) OVER () - coalesce(sum(full_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl FROM w
     WINDOW o AS (ORDER BY full_size / weight, source NULLS LAST), b AS (ORDER BY full_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(full_size, coalesce(weight * (SELECT arg_min(lvl, pos) FROM l WHERE lvl * weight <= full_size), full_size)) AS target FROM l),
-c AS (SELECT e.source, class, sum(size) AS class_size, (class + 1)::DOUBLE * sum(size) AS mass FROM e GROUP BY ALL),
+t AS (SELECT source, source_size, least(full_size, coalesce(weight * (SELECT arg_min(x.lvl, x.pos) FROM l x WHERE x.lvl * x.weight <= x.full_size), full_size)) AS target FROM l),
+c AS (SELECT e.source, class, sum(size) AS class_size, (class + 1)::DOUBLE * sum(size) AS mass FROM e GROUP BY e.source, class),
 f AS (SELECT c.*, t.source_size, t.target, CASE WHEN sum(mass) OVER p - coalesce(sum(mass) OVER b, 0) > 0 THEN
     (target - 3 * CAST(coalesce(sum(class_size) OVER b, 0) AS DOUBLE)) / (sum(mass) OVER p - coalesce(sum(mass) OVER b, 0)) END AS factor
     FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
     WINDOW p AS (PARTITION BY c.source), b AS (PARTITION BY c.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT *, CASE WHEN class_size > 0 THEN greatest(least(3.0::DOUBLE, coalesce(arg_max(factor, class) FILTER (WHERE factor * (class + 1) <= 3) OVER (PARTITION BY source) * (class + 1), 3.0)), 0.0) ELSE 0.0 END AS copies FROM f),
+g AS (SELECT *, CASE WHEN class_size > 0 THEN greatest(least(3.0::DOUBLE, coalesce(arg_max(factor, CASE WHEN factor * (class + 1) <= 3 THEN class END) OVER (PARTITION BY source) * (class + 1), 3.0)), 0.0) ELSE 0.0 END AS copies FROM f),
 h AS (SELECT *, floor(copies) AS certain, copies - floor(copies) AS p, target - sum(floor(copies) * class_size) OVER (PARTITION BY source) AS rest FROM g),
 r AS (SELECT e.doc_id, e.size, e.source, h.source_size, h.target, certain, p, rest, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS rank
     FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source AND e.class = h.class),
