@@ -186,7 +186,8 @@ def text_key(text: str):  # noqa: ANN201
 
 def drop_common_lines(docs: DataFrame, least_docs: int = 10, text: str = "text", least_chars: int = 1) -> DataFrame:
     """``docs`` with the text's remaining lines joined by newlines (null becomes empty), and __n_lines, __n_dropped."""
-    common = common_lines(docs, least_docs, text, least_chars).select(F.col("text_key").alias("__key"), F.col("lines").alias("__drop"))
+    # stored, so that the join has a shuffle of its own and a text that very many rows share can be split
+    common = stored(common_lines(docs, least_docs, text, least_chars), "common-lines").select(F.col("text_key").alias("__key"), F.col("lines").alias("__drop"))
     joined = docs.withColumn("__key", text_key(text)).join(common, "__key", "left").drop("__key")
     schema = docs.schema
 
