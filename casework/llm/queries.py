@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, mixing, quality, sharding
+from . import jaccard, lines, mixing, quality, sharding
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ m AS (SELECT *, max(fin - size / 2) OVER (PARTITION BY source, part ORDER BY ran
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
     CAST((certain + CASE WHEN part AND far <= rest AND rest > 0 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM m
 """
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
