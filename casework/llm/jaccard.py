@@ -28,7 +28,8 @@ from .components import components
 from .scratch import stored
 from .shingles import WordHashes, mixed, shingle_hashes
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
+BLOCK = 1 << 12  # buckets in one row of counts
 SAMPLE = 1024  # one shingle in so many, chosen by hash, measures the mean length of lists
 FILTER_BITS = 1 << 20
 
@@ -44,28 +45,42 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: a = id, b = set hash, c = set size; kind 1: a = bucket, c = count; kind 2: a = sampled shingle."""
+    """kind 0: a = id, b = set hash, c = set size; kind 1: a = block, blob = its buckets' counts in a task; kind 2: a = sampled shingle."""
+
+    def rows(kind: int, a: pa.Array, **more: pa.Array) -> pa.RecordBatch:
+        none = {"b": pa.nulls(len(a), pa.int64()), "c": pa.nulls(len(a), pa.int64()), "blob": pa.nulls(len(a), pa.binary())}
+        return pa.record_batch({"kind": pa.array(np.full(len(a), kind, np.int8)), "a": a, **(none | more)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
-        rows = lambda kind, a, b, c: pa.record_batch({"kind": pa.array(np.full(len(a), kind, np.int8)), "a": a, "b": b, "c": c})
+        known, counts = WordHashes(), np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            sets, sizes, sampled = [], [], [np.empty(0, np.uint64)]
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text, n, known)
-                counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(h) > 20_000 else 0
-                if len(h) <= 20_000:
-                    np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-                sampled.append(h[(h >> np.uint64(20)) % np.uint64(SAMPLE) == 0])
-                sets.append(set_hash(h))
-                sizes.append(len(h))
-            yield rows(0, batch.column(0), _signed(np.array(sets, np.uint64)), pa.array(sizes, pa.int64()))
-            s = np.concatenate(sampled)
-            yield rows(2, _signed(s), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()))
-        some = np.flatnonzero(counts)
-        yield rows(1, pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(counts[some]))
+            each = [shingle_hashes(text, n, known) for text in batch.column(1).to_pylist()]
+            flat = np.concatenate([*each, np.empty(0, np.uint64)])
+            bucket, times = np.unique((flat & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
+            counts[bucket] += times.astype(np.int32)
+            yield rows(0, batch.column(0), b=_signed(np.array([set_hash(h) for h in each], np.uint64)), c=pa.array([len(h) for h in each], pa.int64()))
+            yield rows(2, _signed(flat[(flat >> np.uint64(32)) % np.uint64(SAMPLE) == 0]))
+        blocks = counts.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        yield rows(1, pa.array(some), blob=pa.array([blocks[i].tobytes() for i in some], pa.binary()))
+
+    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, c bigint, blob binary")
+
 
-    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, c bigint")
+def bucket_ranks(facts: DataFrame) -> np.ndarray:
+    """Count of each bucket over all documents on a logarithmic scale: BUCKETS bytes, whatever the input."""
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for blob in rows.column("blob").to_pylist():
+            total += np.frombuffer(blob, np.int32)
+        scaled = np.minimum(255, np.round(6 * np.log2(1 + total))).astype(np.uint8)
+        return pa.table({"a": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([scaled.tobytes()], pa.binary())})
+
+    out = np.zeros(BUCKETS, np.uint8)
+    for a, blob in facts.where("kind = 1").select("a", "blob").groupBy("a").applyInArrow(add, "a bigint, blob binary").collect():
+        out[a * BLOCK : (a + 1) * BLOCK] = np.frombuffer(blob, np.uint8)
+    return out
 
 
 def set_hash(h: np.ndarray) -> int:
@@ -88,8 +103,8 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int, mos
 
 
 def file_keys(docs: DataFrame, n: int, percent: int, boundary: int, counts: np.ndarray) -> DataFrame:
-    """Each distinct set under the keys of its prefix: (key, listed, heavy, pos, h, n)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+    """Each distinct set under the keys of its prefix: (key, h, facts); facts packs what ``unpacked`` gives."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordHashes(), shared.value
@@ -110,20 +125,27 @@ def file_keys(docs: DataFrame, n: int, percent: int, boundary: int, counts: np.n
                 if size <= boundary:
                     e = h[first[: keep + 2]]
                     i, j = np.triu_indices(len(e), 1)
-                    parts.append((mixed(e[i] * np.uint64(0x9E3779B97F4A7C15) + e[j]), False, j, name, size))
+                    parts.append((mixed(mixed(e[i]) * np.uint64(0x9E3779B97F4A7C15) + e[j]), False, j, name, size))
                 if size > boundary or size >= -(-percent * (boundary + 1) // 100):
                     e = h[first[: keep + 1]]
                     parts.append((e, True, np.arange(len(e)), name, size))
             each = [len(p[0]) for p in parts]
-            flat = lambda k, kind: np.repeat(np.array([p[k] for p in parts], kind), each)
+            flat = lambda k: np.repeat(np.array([p[k] for p in parts], np.uint64), each)
             if parts:
-                size = flat(4, np.int32)
-                yield pa.record_batch({
-                    "key": _signed(np.concatenate([p[0] for p in parts])), "listed": pa.array(flat(1, bool)), "heavy": pa.array(size > boundary),
-                    "pos": pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)), "h": _signed(flat(3, np.uint64)), "n": pa.array(size),
-                })
+                pos = np.concatenate([p[2] for p in parts]).astype(np.uint64)
+                facts = (pos << np.uint64(32)) | (flat(4) << np.uint64(2)) | (flat(1) << np.uint64(1)) | (flat(4) > boundary)
+                yield pa.record_batch({"key": _signed(np.concatenate([p[0] for p in parts])), "h": _signed(flat(3)), "facts": _signed(facts)})
+
+    return docs.mapInArrow(run, "key bigint, h bigint, facts bigint")
 
-    return docs.mapInArrow(run, "key bigint, listed boolean, heavy boolean, pos int, h bigint, n int")
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """Rank of the key in the set (pos), size of the set (n), whether the key is an element (listed), whether the set is heavy."""
+    f = F.col("facts")
+    return df.select(
+        "key", "h", F.shiftright(f, 32).cast("int").alias("pos"), F.shiftright(f, 2).bitwiseAND(F.lit((1 << 30) - 1)).cast("int").alias("n"),
+        (F.shiftright(f, 1).bitwiseAND(F.lit(1)) == 1).alias("listed"), (f.bitwiseAND(F.lit(1)) == 1).alias("heavy"),
+    )
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -184,24 +206,21 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     facts = stored(describe(docs, n), "jaccard-facts")
     rows = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("h"), F.col("c").cast("int").alias("n"))
     sets = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("h", "n").agg(F.min("doc_id").alias("v")), "jaccard-sets")
-    counts = np.zeros(BUCKETS, np.int64)
-    for b, c in facts.where("kind = 1").groupBy("a").agg(F.sum("c")).collect():  # at most BUCKETS rows
-        counts[b] = c
-    counts = np.minimum(counts, np.iinfo(np.int32).max)
+    counts = bucket_ranks(facts)
     distinct, total = facts.where("kind = 2").groupBy("a").count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     sizes = {r[0]: r[1] for r in sets.groupBy(F.least("n", F.lit(256)).alias("n")).count().collect()}
     boundary = choose_boundary(sizes, total / max(1, distinct), percent)
 
     keys = stored(file_keys(docs, n, percent, boundary, counts), "jaccard-keys")
-    member = F.struct(~F.col("heavy"), "pos", -F.col("n"), "h", "n", "heavy", "listed")
-    files = keys.groupBy("key", "listed").agg(
-        F.min(member).alias("m"), F.min(F.struct("n", "h")).alias("lo"), F.max(F.struct("n", "h")).alias("hi"), F.max("heavy").alias("any_heavy")
-    ).where((F.col("lo") != F.col("hi")) & (~F.col("listed") | F.col("any_heavy")))
-    center = files.select("key", "listed", F.col("m.pos").alias("cpos"), F.col("m.h").alias("ch"), F.col("m.n").alias("cn"), F.col("m.heavy").alias("cheavy"))
-    shared = stored(keys.join(center, ["key", "listed"]), "jaccard-files")
-
-    a = shared.select("listed", "heavy", "pos", "h", "n").alias("a")  # noqa: F841
-    row = shared.select(
+    # most keys are of one set only: they go before anything else is looked at
+    files = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.col("facts").bitwiseAND(F.lit(3)) != 2).alias("useful"))
+    files = files.where((F.col("lo") != F.col("hi")) & F.col("useful")).select("key")
+    shared = stored(unpacked(keys.join(files, "key")), "jaccard-files")
+    # heavy ones first, then the lowest rank, then the largest
+    order = F.when(F.col("heavy"), 0).otherwise(1) * F.lit(1 << 62) + F.col("pos") * F.lit(1 << 31) - F.col("n")
+    center = shared.groupBy("key").agg(F.min_by(F.struct("pos", "h", "n", "heavy"), F.struct(order, "h")).alias("m"))
+    center = center.select("key", F.col("m.pos").alias("cpos"), F.col("m.h").alias("ch"), F.col("m.n").alias("cn"), F.col("m.heavy").alias("cheavy"))
+    row = shared.join(center, "key").select(
         F.struct("listed", "heavy", "pos", "h", "n").alias("a"),
         F.struct("listed", F.col("cheavy").alias("heavy"), F.col("cpos").alias("pos"), F.col("ch").alias("h"), F.col("cn").alias("n")).alias("b"),
     ).where("a.h <> b.h OR a.n <> b.n").where(may_link("a", "b", percent))
@@ -212,12 +231,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     # files that still hold several components: pairs between them
     named = shared.join(sets, ["h", "n"]).join(roots.withColumnRenamed("vertex", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = stored(named.select("key", "listed", "heavy", "pos", "h", "n", "root").distinct(), "jaccard-members")
-    several = named.groupBy("key", "listed").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "listed")
-    open_ = named.join(several, ["key", "listed"])
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_ = stored(named.join(several, "key"), "jaccard-open")
     x, y = open_.alias("a"), open_.alias("b")
     cross = x.join(
         y,
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.listed") == F.col("b.listed")) & (F.col("a.root") < F.col("b.root")) & may_link("a", "b", percent),
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_link("a", "b", percent),
     ).select(F.col("a.h").alias("ah"), F.col("a.n").alias("an"), F.col("b.h").alias("bh"), F.col("b.n").alias("bn")).distinct()
     stars_too = stars.select("ah", "an", "bh", "bn").union(stars.select("bh", "bn", "ah", "an"))
     cross = stored(cross.join(stars_too, ["ah", "an", "bh", "bn"], "left_anti"), "jaccard-cross")
