@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import partitions
@@ -125,46 +127,66 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     before = {p: filled[i - 1] for i, p in enumerate(filled)}  # the first range follows the last
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one range travel together, compressed."""
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            part = part_of(batch.column(0))
-            ids = batch.column(0).to_pylist()
-            again = [i for i, (p, x) in enumerate(zip(part.tolist(), ids, strict=True)) if x == first[p]]
-            yield pa.record_batch({"part": pa.array(part, pa.int32()), "next": pa.array([False] * len(ids)), "doc_id": batch.column(0), "text": batch.column(1)})
-            if again:
-                lent = batch.take(pa.array(again))
-                yield pa.record_batch({
-                    "part": pa.array([before[int(p)] for p in part[again]], pa.int32()), "next": pa.array([True] * len(again)),
-                    "doc_id": lent.column(0), "text": lent.column(1),
-                })
-
-    dealt = docs.mapInArrow(deal, "part int, next boolean, doc_id bigint, text string").repartition(parts, "part")
-    dealt = dealt.sortWithinPartitions("part", "next", F.col("doc_id").asc_nulls_first(), "text")
+            part, ids = part_of(batch.column(0)), batch.column(0).to_pylist()
+            lent = [i for i, (p, x) in enumerate(zip(part.tolist(), ids, strict=True)) if x == first[p]]
+            rows = pa.Table.from_batches([batch]).append_column("next", pa.array([False] * len(ids)))
+            more = rows.take(lent).set_column(2, "next", pa.array([True] * len(lent), pa.bool_()))
+            to = np.concatenate([part, np.array([before[int(p)] for p in part[lent]], part.dtype)])
+            rows = pa.concat_tables([rows, more])
+            parts, blobs = [], []
+            for p in np.unique(to):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write_table(rows.take(np.flatnonzero(to == p)).combine_chunks())
+                parts.append(p)
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch({"part": pa.array(parts, pa.int32()), "rows": pa.array(blobs, pa.binary())})
+
+    dealt = docs.mapInArrow(deal, "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, tables = WordHashes(), None, []
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != at and tables:
+                    yield from one_range(tables, known)
+                    tables = []
+                at = part
+                tables.append(pa.ipc.open_stream(blob).read_all())
+        if tables:
+            yield from one_range(tables, known)
+
+    def one_range(tables: list[pa.Table], known: WordHashes) -> Iterator[pa.RecordBatch]:
+        """A range of ids in order, and behind it the first document of the next."""
         import hashlib
 
-        known = WordHashes()
+        table = pa.concat_tables(tables)
+        order = pa.compute.sort_indices(table, sort_keys=[("next", "ascending"), ("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        table = table.take(order).select(["doc_id", "text", "next"])
+        names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+        types = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
         row = None  # the row whose next one has not come yet
-        for batch in batches:
-            out: dict[str, list] = {name: [] for name in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-            for part, borrowed, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row is None and borrowed:
-                    continue
+        for batch in table.to_batches(2000):
+            out: dict[str, list] = {name: [] for name in names}
+            for doc_id, text, lent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row is None and lent:
+                    break  # only the first of several rows with the id that was lent
                 own = sketch(text.encode(), k, words, known)
                 if row is not None:
-                    if row[0] != part:
-                        raise ValueError("a range ends without the next document")
-                    _, last_id, last, mark = row
+                    last_id, last, mark = row
                     half = len(last) // 2
                     edited = (last[: len(last) - half] + text[:half]).encode()
                     other = sketch(edited, k, words, known)
-                    for name, v in zip(
-                        out, (last_id, len(last), hashlib.sha256(edited).hexdigest(), packed(mark), packed(other), likeness(mark, other, k), likeness(mark, own, k)), strict=True
-                    ):
+                    facts = (last_id, len(last), hashlib.sha256(edited).hexdigest(), packed(mark), packed(other), likeness(mark, other, k), likeness(mark, own, k))
+                    for name, v in zip(names, facts, strict=True):
                         out[name].append(v)
-                row = None if borrowed else (part, doc_id, text, own)
-            types = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+                row = None if lent else (doc_id, text, own)
             yield pa.record_batch({name: pa.array(v, types.get(name, pa.string())) for name, v in out.items()})
+            if row is None:
+                break
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(run, schema)
