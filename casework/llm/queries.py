@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, hpylm, jaccard, lines, mixing, pieces, quality, sharding
+from . import chat, fingerprints, hpylm, jaccard, lines, mixing, pieces, pii, quality, sharding
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,30 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(F.col("conversation").alias("conv_id"), "speaker", "part", "n_turns", "n_learned", "rendered", mask.alias("mask"))
+
+
+ORACLES["op3_chat_perspectives"] = r"""
+WITH t AS (SELECT conv_id, coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS part, turn, role, text, replace(coalesce(text, ''), '<|', '<\|') || '<|im_end|>' AS rest FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL),
+r AS (SELECT t.*, speaker, role IS NOT DISTINCT FROM speaker AS own, CASE WHEN role IS NOT DISTINCT FROM speaker THEN '<|im_start|>assistant' || chr(10)
+    ELSE '<|im_start|>user name=' || replace(coalesce(role, 'unknown'), '<|', '<\|') || chr(10) END AS head FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, sum(length(head) + length(rest) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS fin FROM r)
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_learned,
+    string_agg(head || rest || chr(10), '' ORDER BY fin) AS rendered,
+    coalesce(string_agg(CAST(fin - 1 - length(rest) AS VARCHAR) || '-' || CAST(fin - 1 AS VARCHAR), ',' ORDER BY fin) FILTER (WHERE own), '') AS mask
+FROM s GROUP BY conv_id, speaker, part
+"""
+
+
+@query
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymised(docs, key="documents")
+    return out.select("doc_id", "text", F.size("__replaced").cast("long").alias("n_replaced"), F.col("__replaced").alias("replaced"))
