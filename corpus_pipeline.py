@@ -1,27 +1,64 @@
-"""From raw documents to token ids: quality rules, line dedup, near duplicates, source mixing, pieces."""
+"""From raw documents to token ids: quality rules, line dedup, near duplicates, source mixing, pieces.
+
+Each stage reads what the one before it kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casework.llm import quality
-from casework.llm.scratch import shared_folder
+from casework.llm import jaccard, lines, mixing, pieces, quality
+from casework.llm.scratch import shared_folder, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_DOCS = 10
+SHINGLE_WORDS, PERCENT = 5, 80
+WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the basic limits or whose votes make them probably poor go."""
+    """Documents that fail the basic limits, or whose votes make them probably poor, go."""
     return quality.judge(docs).where("__kept").select(*COLUMNS)
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in LEAST_DOCS documents or more go from all of them; n_chars follows the text."""
+    out = lines.drop_common_lines(docs, LEAST_DOCS)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles, the one with the smallest id stays; rows without id stay."""
+    classes = jaccard.jaccard_classes(docs, SHINGLE_WORDS, PERCENT)
+    gone = stored(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it, which may be none; rows with the same id are taken alike."""
+    mixed = mixing.mix(stored(mixing.sized(docs), "mix-sizes"), WEIGHTS, MOST_COPIES)
+    taken = stored(mixed.groupBy("doc_id").agg(F.max("repeats").alias("__repeats")).where("__repeats > 0"), "mix-taken")
+    out = docs.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("t.__repeats").cast("int")))
+    return out.select(*[F.col(f"d.{c}") for c in COLUMNS], copies.alias("__copy")).drop("__copy")
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pieces.encode(docs)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("near duplicates", keep_one),
+    ("source mixing", mix_sources),
+    ("pieces", to_pieces),
 ]
 
-#: Estimation and sampling over several passes have no SQL form; tests compare with brute force.
+#: Estimation, similarity classes and pieces have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
