@@ -133,7 +133,7 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
             part, ids = part_of(batch.column(0)), batch.column(0).to_pylist()
             lent = [i for i, (p, x) in enumerate(zip(part.tolist(), ids, strict=True)) if x == first[p]]
             rows = pa.Table.from_batches([batch]).append_column("next", pa.array([False] * len(ids)))
-            more = rows.take(lent).set_column(2, "next", pa.array([True] * len(lent), pa.bool_()))
+            more = rows.take(pa.array(lent, pa.int64())).set_column(2, "next", pa.array([True] * len(lent), pa.bool_()))
             to = np.concatenate([part, np.array([before[int(p)] for p in part[lent]], part.dtype)])
             rows = pa.concat_tables([rows, more])
             parts, blobs = [], []
