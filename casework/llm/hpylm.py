@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from .scratch import stored
 from .shingles import WordHashes
 
-ORDER = 5
-PACK_BYTES = 32 << 20
+ORDER = 6
+PACK_BYTES = 64 << 20
 SLICE = 4 << 20
 BUCKET_ROWS = 20_000
 EXACT = 32  # customers up to which the number of tables is drawn from its exact distribution
@@ -40,7 +40,7 @@ SAMPLES = 3
 SWEEPS = 4
 END = b"\n"
 
-NGRAM, WORD, PACK = 1, 2, 0
+SIGN = 1 << 63
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -151,6 +151,11 @@ class Lookup:
         return out
 
 
+def word_keys(words: list[bytes], known: WordHashes) -> np.ndarray:
+    """Hashes with the sign bit set; n-grams of up to seven bytes have none."""
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) | np.uint64(SIGN)
+
+
 def _body(text: bytes | None) -> tuple[bytes, list[bytes]]:
     words = (text or b"").lower().split()
     return b" ".join(words) + END, words
@@ -180,13 +185,13 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
-    """kind 0: a pack's texts and ids; kinds 1 and 2: its distinct n-grams and words with their training counts."""
+    """Of each pack its texts and ids (key null), and its distinct n-grams (keys from 0) and words (keys below 0) with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, made, known = TaskContext.get().partitionId(), 0, WordHashes()
-        end_key = known[END]
+        end_key = known[END] | SIGN
         empty = lambda n, kind: pa.nulls(n, kind)
 
         def pack(bodies: list[bytes], ids: list[int | None], words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +205,14 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
                     found.append((k, c * count))
                 if len(found) > 16:
                     found = [_counted(found)]
-            for kind, (k, c) in ((NGRAM, _counted(found)), (WORD, _counted([*words, (np.array([end_key], np.uint64), np.array([(~held).sum()]))]))):
+            for k, c in (_counted(found), _counted([*words, (np.array([end_key], np.uint64), np.array([(~held).sum()]))])):
                 yield pa.record_batch({
-                    "pack": pa.array(np.full(len(k), number)), "kind": pa.array(np.full(len(k), kind, np.int8)), "key": pa.array(k.view(np.int64)), "n": pa.array(c),
+                    "pack": pa.array(np.full(len(k), number)), "key": pa.array(k.view(np.int64)), "n": pa.array(c),
                     "body": empty(len(k), pa.binary()), "ids": empty(len(k), pa.list_(pa.int64())),
                 })
             yield pa.record_batch({
-                "pack": pa.array([number]), "kind": pa.array([PACK], pa.int8()), "key": empty(1, pa.int64()), "n": empty(1, pa.int64()),
-                "body": pa.array([zstandard.compress(b"".join(bodies), 1)], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64())),
+                "pack": pa.array([number]), "key": empty(1, pa.int64()), "n": empty(1, pa.int64()),
+                "body": pa.array([zstandard.compress(b"".join(bodies), 6)], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64())),
             })
 
         bodies, ids, words, size = [], [], [], 0
@@ -219,7 +224,7 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
                     bodies, ids, words, size, made = [], [], [], 0, made + 1
                 bodies.append(body)
                 ids.append(doc_id)
-                h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+                h = word_keys(w, known)
                 words.append((h, np.full(len(h), not held_out(doc_id), np.int64)))
                 if len(words) > 2000:
                     words = [_counted(words)]
@@ -227,7 +232,7 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
         if bodies:
             yield from pack(bodies, ids, words)
 
-    return docs.mapInArrow(run, "pack bigint, kind tinyint, key bigint, n bigint, body binary, ids array<bigint>")
+    return docs.mapInArrow(run, "pack bigint, key bigint, n bigint, body binary, ids array<bigint>")
 
 
 def fit(counts: DataFrame, order: int = ORDER, samples: int = SAMPLES, sweeps: int = SWEEPS, seed: int = 7) -> DataFrame:
@@ -289,7 +294,7 @@ def fit(counts: DataFrame, order: int = ORDER, samples: int = SAMPLES, sweeps: i
     every = spark.createDataFrame([], "key bigint, value double")
     for s in out:
         every = every.union(s)
-    return every.groupBy("key").agg(F.log10(F.avg("value")).alias("value"))
+    return every.groupBy("key").agg(F.log10(F.avg("value")).cast("float").alias("value"))
 
 
 def _sampled(levels: list[Level], up: list[np.ndarray], root: np.ndarray, sweeps: int, rng: np.random.Generator) -> np.ndarray:
@@ -317,21 +322,22 @@ def score(docs: DataFrame, order: int = ORDER, pack_bytes: int = PACK_BYTES, doc
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     if not 4 <= order <= 7:
         raise ValueError("order must be 4 to 7 bytes")
-    found = stored(packs(docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("binary")), order, pack_bytes), "hpylm-packs")
-    asked = found.where(f"kind <> {PACK}").select("pack", "kind", "key", "n")
-    words = stored(asked.where(f"kind = {WORD}").groupBy("key").agg(F.sum("n").alias("n")), "hpylm-words")
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    # fewer, fuller packs ask for fewer n-grams; small inputs still keep every core busy
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // pack_bytes)))
+    found = stored(packs(docs, order, pack_bytes), "hpylm-packs")
+    asked = found.where("key IS NOT NULL").select("pack", "key", "n")
+    words = stored(asked.where("key < 0").groupBy("key").agg(F.sum("n").alias("n")), "hpylm-words")
     n_train, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    model = fit(asked.where(f"kind = {NGRAM}").groupBy("key").agg(F.sum("n").alias("n")), order)
-    values = model.select(F.lit(NGRAM).cast("tinyint").alias("kind"), "key", "value").union(
-        words.select(F.lit(WORD).cast("tinyint"), "key", F.col("n").cast("double"))
-    )
-    values = stored(values, "hpylm-values")
-    answers = asked.select(F.col("pack").alias("asking"), "kind", "key").join(values, ["kind", "key"])
+    model = fit(asked.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), order)
+    values = stored(model.union(words.select("key", F.col("n").cast("float"))), "hpylm-values")
+    answers = asked.select(F.col("pack").alias("asking"), "key").join(values, "key").select("asking", "key", "value")
 
     def run(key: tuple, pack: pa.Table, answers: pa.Table) -> pa.Table:
-        known, kind = WordHashes(), answers.column("kind").to_numpy()
-        k, v = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy()
-        by_gram, by_word = (Lookup(k[kind == x], v[kind == x]) for x in (NGRAM, WORD))
+        known = WordHashes()
+        k, v = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy().astype(np.float64)
+        by_gram, by_word = (Lookup(k[x], v[x]) for x in (k < np.uint64(SIGN), k >= np.uint64(SIGN)))
         ids = pack.column("ids")[0].as_py()
         bodies = [b + END for b in zstandard.decompress(pack.column("body")[0].as_py()).split(END)[:-1]]
         total, tokens, n_known, base = (np.zeros(len(ids)) for _ in range(4))
@@ -340,13 +346,13 @@ def score(docs: DataFrame, order: int = ORDER, pack_bytes: int = PACK_BYTES, doc
         unit = n_train + 0.1 * (n_types + 1)
         for i, body in enumerate(bodies):
             w = [*body.split(), END]
-            c = by_word[np.fromiter(map(known.__getitem__, w), np.uint64, len(w))]
+            c = by_word[word_keys(w, known)]
             tokens[i], n_known[i], base[i] = len(w), (c > 0).sum(), np.log10((c + 0.1) / unit).sum()
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(tokens.astype(np.int64)),
             "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), n_train)), "base_score": pa.array(base), "score": pa.array(total),
         })
 
-    bodies = found.where(f"kind = {PACK}").select("pack", "body", "ids")
+    bodies = found.where("key IS NULL").select("pack", "body", "ids")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return bodies.groupBy("pack").cogroup(answers.groupBy("asking")).applyInArrow(run, schema)

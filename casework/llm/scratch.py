@@ -22,7 +22,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back: lineage ends there."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
