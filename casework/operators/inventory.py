@@ -303,13 +303,17 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 def verify_hashes(files: DataFrame, manifest: DataFrame, keys: Sequence[str] = ("case_id", "archive_path")) -> DataFrame:
     """Recomputed against recorded SHA-256 per file: ok, mismatch, missing or extra.
 
-    Hashing happens before the join, so file contents are never shuffled.
+    ``files`` has the content, or ``sha256`` already where a member is too large for one cell (``hash_members``).
+    Hashing happens before the join, so file contents are never shuffled. A file that is there but gave no hash is
+    ``unreadable``, not missing.
     """
-    actual = files.select(*keys, F.sha2("content", 256).alias("actual_sha256"))
+    digest = F.col("sha256") if "sha256" in files.columns else F.sha2("content", 256)
+    actual = files.select(*keys, digest.alias("actual_sha256"), F.lit(True).alias("__there"))
     recorded = manifest.select(*keys, F.lower("sha256").alias("recorded_sha256"))
     joined = actual.join(recorded, list(keys), "full_outer")
     status = (
-        F.when(F.col("actual_sha256").isNull(), "missing")
+        F.when(F.col("__there").isNull(), "missing")
+        .when(F.col("actual_sha256").isNull(), "unreadable")
         .when(F.col("recorded_sha256").isNull(), "extra")
         .when(F.col("actual_sha256") == F.col("recorded_sha256"), "ok")
         .otherwise("mismatch")
@@ -319,11 +323,13 @@ def verify_hashes(files: DataFrame, manifest: DataFrame, keys: Sequence[str] = (
 
 def hash_failures(verified: DataFrame, keys: Sequence[str] = ("case_id", "archive_path")) -> DataFrame:
     """Failure rows (operation, error) of a verification."""
-    bad = verified.where(F.col("status").isin("mismatch", "missing"))
+    bad = verified.where(F.col("status").isin("mismatch", "missing", "unreadable"))
     return bad.select(
         *keys,
         F.when(F.col("status") == "missing", "copy").otherwise("verify").alias("operation"),
-        F.when(F.col("status") == "missing", "file is not in the package").otherwise(
+        F.when(F.col("status") == "missing", "file is not in the package").when(
+            F.col("status") == "unreadable", "file cannot be read"
+        ).otherwise(
             F.concat(F.lit("SHA-256 mismatch: recorded "), "recorded_sha256", F.lit(", found "), "actual_sha256")
         ).alias("error"),
     )

@@ -352,13 +352,13 @@ def sidecar_key(archive_path: Column) -> Column:
     return F.regexp_replace(archive_path, r"\.[^./]*$", ".bin.metadata.json")
 
 
-def stream_metadata(streams: DataFrame, files: DataFrame) -> DataFrame:
-    """Each stream's metadata document: the adjacent one first, else its volume's collector manifest."""
+def sidecar_paths(streams: DataFrame) -> DataFrame:
+    """Where a stream's metadata document may be, by priority: next to it, or in its volume's collector manifest."""
     lower = text.ascii_lower(paths.file_name(F.col("archive_path")))
     legacy = F.upper(F.regexp_extract(lower, r"^(.+)_usn_journal_j\.bin$", 1))
     volume = F.when(lower == "$j.bin", F.substring_index("archive_path", "/", 1)).otherwise(text.null_if_empty(legacy))
     central = paths.manifest_path(volume, F.lit("windows_usn_journal"))
-    wanted = streams.select(
+    return streams.select(
         *FILE_KEYS,
         F.explode(
             F.array(
@@ -367,6 +367,11 @@ def stream_metadata(streams: DataFrame, files: DataFrame) -> DataFrame:
             )
         ).alias("c"),
     ).select(*FILE_KEYS, "c.*")
+
+
+def stream_metadata(streams: DataFrame, files: DataFrame) -> DataFrame:
+    """Each stream's metadata document: the adjacent one first, else its volume's collector manifest."""
+    wanted = sidecar_paths(streams)
     docs = files.where(F.col("archive_path").endswith(".json")).select(
         "case_id", "archive_path", F.from_json(text.utf8_lossy(F.col("content")), SIDECAR_SCHEMA).alias("doc")
     )

@@ -12,6 +12,7 @@ from casework.sources import sqlite
 
 Decoder = Callable[[DataFrame], DataFrame]
 _DECODERS: dict[str, Decoder] = {}
+_PROBLEMS: dict[str, Decoder] = {}
 
 
 class UnknownDecoder(KeyError):
@@ -42,6 +43,16 @@ def decode(files: DataFrame, name: str) -> DataFrame:
     return _DECODERS[name](files)
 
 
+def register_problems(name: str, reader: Decoder) -> None:
+    """Register what lists the files of an artifact that its decoder cannot read: (case_id, os_path, error)."""
+    _PROBLEMS[name] = reader
+
+
+def problems(files: DataFrame, name: str) -> DataFrame | None:
+    """Files that were opened but not decoded; None for decoders that read anything."""
+    return _PROBLEMS[name](files).select("case_id", "os_path", "error").distinct() if name in _PROBLEMS else None
+
+
 def registered() -> tuple[str, ...]:
     return tuple(_DECODERS)
 
@@ -80,3 +91,22 @@ BUILT_IN: dict[str, Decoder] = {
 for _artifact, _decoder in BUILT_IN.items():
     register(_artifact, _decoder)
 
+
+
+def _unread(tables: dict) -> Decoder:
+    """Problems with the first table of a database; what fails there fails the others alike."""
+    name, columns = next(iter(tables.items()))
+    return lambda files: sqlite.read_sqlite_table(files, name, columns)[1]
+
+
+for _artifact, _tables in {
+    "Windows.Applications.Chrome.History": sqlite.CHROMIUM_TABLES,
+    "Windows.Applications.Edge.History": sqlite.CHROMIUM_TABLES,
+    "Windows.Applications.Firefox.History": sqlite.FIREFOX_TABLES,
+    "Windows.Forensics.Timeline.ActivitiesCache": sqlite.TIMELINE_TABLES,
+    "MacOS.Applications.Chrome.History": sqlite.MAC_CHROME_TABLES,
+    "MacOS.System.QuarantineEvents": sqlite.QUARANTINE_TABLES,
+}.items():
+    register_problems(_artifact, _unread(_tables))
+register_problems("Windows.RecycleBin.Info2", lambda files: artifacts.split_errors(artifacts.decode_info2(files))[1])
+register_problems("Windows.Forensics.RestorePoint.Log", lambda files: artifacts.split_errors(artifacts.decode_rp_log(files))[1])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casework.operators import runs, usn
 from casework.operators.detect import build_plans, detect, select_plans
 from casework.plans import decoders
 from casework.sinks.results import write_manifest
-from casework.sources.files import list_packages, read_member_chunks
+from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks
 
 USN_ARTIFACT = "Windows.NTFS.UsnJournal.RawStream"
 CELL = 1 << 30
@@ -30,91 +32,131 @@ def inspect_packages(spark: SparkSession, path: str) -> DataFrame:
     return build_plans(detect(package_files(list_packages(spark, path))))
 
 
-def contents(members: DataFrame) -> DataFrame:
-    """Content of listed members, one row each; members past one cell's size are left to range reads."""
-    small = members.where(F.col("size") <= CELL)
-    return read_member_chunks(small, CELL).select(
-        F.regexp_replace(F.substring_index("package", "/", -1), r"(?i)\.zip$", "").alias("case_id"),
+def case_of(package: Column) -> Column:
+    return F.regexp_replace(F.substring_index(package, "/", -1), r"(?i)\.zip$", "")
+
+
+def contents(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """Content of listed members, one row each, and ``error``: null, or why a member has no content.
+
+    A member that is larger than one cell may be is such an error too, so that its plan says so.
+    """
+    fits = read_member_chunks(members.where(F.col("size") <= cell), cell)
+    large = members.where((F.col("status") == "ok") & (F.col("size") > cell)).withColumns(
+        {"status": F.concat(F.lit("larger than one cell: "), F.col("size").cast("string"), F.lit(" bytes")), "content": F.lit(None).cast("binary")}
+    )
+    columns = ["package", "archive_path", "size", "status", "content"]
+    return fits.select(*columns).unionByName(large.select(*columns)).select(
+        case_of(F.col("package")).alias("case_id"),
         F.col("archive_path").alias("os_path"),
-        "archive_path", "size", "content",
+        "archive_path", "size", "content", F.when(F.col("status") != "ok", F.col("status")).alias("error"),
+    )
+
+
+def package_problems(members: DataFrame) -> DataFrame:
+    """(case_id, os_path, error) of packages that cannot be listed and members that would leave their root."""
+    why = F.when(F.col("status") == "rejected", "member leaves its root").otherwise(F.col("status"))
+    return members.where(F.col("status") != "ok").select(
+        case_of(F.col("package")).alias("case_id"), F.coalesce("member", F.lit("")).alias("os_path"), why.alias("error")
     )
 
 
 def extract_members(members: DataFrame, folder: str) -> DataFrame:
-    """Write members below a shared folder; returns (case_id, archive_path, size, os_path) of the copies.
+    """Write members below a shared folder; returns (case_id, archive_path, size, os_path, error) of the copies.
 
     Needed where a decoder reads byte ranges, which a compressed member cannot serve.
     """
-    import zipfile
-
-    import pyarrow as pa
-    import pyarrow.fs as pafs
-
-    schema = pa.schema([("case_id", pa.string()), ("archive_path", pa.string()), ("size", pa.int64()), ("os_path", pa.string())])
+    schema = pa.schema([("case_id", pa.string()), ("archive_path", pa.string()), ("size", pa.int64()), ("os_path", pa.string()), ("error", pa.string())])
 
     def copy(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                filesystem, source = pafs.FileSystem.from_uri(row["package"])
-                target_fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-                case = row["package"].rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                target = f"{base}/{case}/{row['archive_path']}"
-                target_fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                # a retried task rewrites the same file
-                with filesystem.open_input_file(source) as handle, zipfile.ZipFile(handle) as archive:
-                    with archive.open(archive.infolist()[row["member_no"]]) as member, target_fs.open_output_stream(target) as out:
-                        while data := member.read(1 << 20):
-                            out.write(data)
-                yield pa.RecordBatch.from_pylist(
-                    [{"case_id": case, "archive_path": row["archive_path"], "size": row["size"], "os_path": target}],
-                    schema=schema,
-                )
-
-    spread = members.repartition(F.col("package"), F.col("member_no"))
-    return spread.mapInArrow(copy, "case_id string, archive_path string, size bigint, os_path string")
+        packages = _Packages()
+        target_fs, base = located(folder)
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    case = re.sub(r"(?i)\.zip$", "", row["package"].rsplit("/", 1)[-1])
+                    target, problem = f"{base}/{case}/{row['archive_path']}", None
+                    target_fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    try:  # a retried task rewrites the same file
+                        archive, info = packages.member(row)
+                        with archive.open(info) as member, target_fs.open_output_stream(target) as out:
+                            while data := member.read(1 << 20):
+                                out.write(data)
+                    except MEMBER_ERRORS as error:
+                        problem = f"unreadable: {error}"
+                    yield pa.RecordBatch.from_pylist(
+                        [{"case_id": case, "archive_path": row["archive_path"], "size": row["size"], "os_path": target, "error": problem}],
+                        schema=schema,
+                    )
+        finally:
+            packages.close()
+
+    spread = members.repartition("package", "member_no").sortWithinPartitions("package", "member_no")
+    return spread.mapInArrow(copy, "case_id string, archive_path string, size bigint, os_path string, error string")
 
 
 def parse_members(
-    spark: SparkSession, members: DataFrame, out: str, scratch: str, selection: Sequence[str] | None = None
+    spark: SparkSession, members: DataFrame, out: str, scratch: str, selection: Sequence[str] | None = None, cell: int = CELL
 ) -> DataFrame:
     """Decode all detected artifacts of listed members into ``out``; returns the manifest entries.
 
-    Members are classified from their names; only those a decoder wants are opened. Each artifact is
-    written on its own, and a failing one becomes an error entry while the others go on.
+    The listing is stored once. Members are classified from their names; only those a decoder wants are opened, once, into
+    ``scratch``. Each artifact is written on its own. A member that cannot be read, or not decoded, goes to
+    ``out``/diagnostics; its plan gets an error entry in its own case only, and all other rows stay. A package that cannot
+    be listed, or holds members that would leave their root, has an error entry of its own.
     """
+    members.write.mode("overwrite").parquet(f"{scratch}/members")
+    members = spark.read.parquet(f"{scratch}/members")
     listed = package_files(members)
     found = detect(listed)
     plans = build_plans(found)
     if selection is not None:
         plans = select_plans(plans, selection, check=True)
         found = found.where(F.concat_ws("::", "family", "artifact").isin(*selection))
+    plans.write.mode("overwrite").parquet(f"{scratch}/plans")
+    plans = spark.read.parquet(f"{scratch}/plans")
     outcomes = []
     present = {(r.family, r.artifact) for r in plans.select("family", "artifact").distinct().collect()}
     for family, artifact in sorted(present):
-        mine = found.where(F.col("artifact") == artifact)
+        plan = F.lit(f"{family}::{artifact}").alias("plan_id")
+        mine = found.where((F.col("family") == family) & (F.col("artifact") == artifact))
         try:
             if artifact == USN_ARTIFACT:
-                sidecars = contents(listed.where(F.col("archive_path").endswith(".json")))
-                streams = extract_members(mine, f"{scratch}/streams")
-                streams.write.mode("overwrite").parquet(f"{scratch}/extracted")
-                rows, _ = usn.parse_usn(sidecars, spark.read.parquet(f"{scratch}/extracted"))
+                extract_members(mine, f"{scratch}/streams").write.mode("overwrite").parquet(f"{scratch}/extracted")
+                opened = spark.read.parquet(f"{scratch}/extracted")
+                beside = usn.sidecar_paths(opened).select("case_id", "archive_path").distinct()
+                sidecars = contents(listed.join(beside, ["case_id", "archive_path"], "left_semi"), cell)
+                rows, problems = usn.parse_usn(sidecars, opened.where(F.col("error").isNull()))
+                problems = problems.select("case_id", "os_path", F.col("problem").alias("error"))
             elif artifact in decoders.registered():
-                rows = decoders.decode(contents(mine), artifact)
+                contents(mine, cell).write.mode("overwrite").parquet(f"{scratch}/contents/{artifact}")
+                opened = spark.read.parquet(f"{scratch}/contents/{artifact}")
+                readable = opened.where(F.col("error").isNull()).drop("error")
+                rows, problems = decoders.decode(readable, artifact), decoders.problems(readable, artifact)
             else:
                 continue  # decoded elsewhere; its lines join through union_results
             target = f"{out}/{family}/{artifact}"
             rows.write.mode("overwrite").json(target)
+            bad = opened.where(F.col("error").isNotNull()).select("case_id", "os_path", "error")
+            bad = bad if problems is None else bad.unionByName(problems)
+            bad.write.mode("overwrite").json(f"{out}/diagnostics/{family}/{artifact}")
+            unread = opened.groupBy("case_id").agg(F.min("error").alias("error"))
             counts = spark.read.schema("case_id string").json(target).groupBy("case_id").agg(F.count("*").alias("n"))
-            outcomes.append(counts.select("case_id", F.lit(f"{family}::{artifact}").alias("plan_id"),
-                                          F.lit(None).cast("string").alias("error"), F.col("n").alias("exported_records")))
+            done = unread.join(counts, "case_id", "left")
+            outcomes.append(done.select("case_id", plan, "error", F.col("n").alias("exported_records")))
         except Exception as error:  # noqa: BLE001 - one failing artifact must not end the run
             cases = mine.select("case_id").distinct()
-            outcomes.append(cases.select("case_id", F.lit(f"{family}::{artifact}").alias("plan_id"),
-                                         F.lit(str(error)[:500]).alias("error"), F.lit(None).cast("bigint").alias("exported_records")))
+            outcomes.append(cases.select("case_id", plan, F.lit(str(error)).alias("error"), F.lit(None).cast("bigint").alias("exported_records")))
     done = runs.union_outputs(outcomes) if outcomes else spark.createDataFrame(
         [], "case_id string, plan_id string, error string, exported_records bigint"
     )
-    entries = runs.manifest_entries(plans, done, listed.select("case_id").distinct(), selection=selection is not None)
+    cases = members.select(case_of(F.col("package")).alias("case_id")).distinct()
+    entries = runs.manifest_entries(plans, done, cases, selection=selection is not None)
+    package = package_problems(members).select(
+        "case_id", F.lit("package").alias("parser"), F.lit("").alias("collection"), F.col("os_path").alias("artifact"),
+        F.lit("error").alias("status"), "error", F.lit(None).cast("bigint").alias("exported_records"),
+    )
+    entries = entries.unionByName(package)
     write_manifest(entries, f"{out}/manifests")
     return entries
 

@@ -19,6 +19,7 @@ def build_session(master: str | None = None, app_name: str = "casework", **conf)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         # binary columns make rows heavy: keep split sizes moderate
         "spark.sql.files.maxPartitionBytes": "134217728",
     }
@@ -31,11 +32,13 @@ def build_session(master: str | None = None, app_name: str = "casework", **conf)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used instead.
+    A local session may leave that setting out (tests); a cluster may not, since its machines share no temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="casework-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +32,7 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None, with_cont
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", "true")
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -53,9 +57,33 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None, with_cont
 # ---- zip packages ------------------------------------------------------------------------
 
 
-def _open(uri: str):
-    filesystem, path = pafs.FileSystem.from_uri(uri)
-    return filesystem.open_input_file(path)
+class UnsupportedScheme(Exception):
+    """Spark can list a path, but nothing here can open it; never taken for a damaged file."""
+
+
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and plain path of a path as Spark prints it: not quoted, so blanks, % and # are part of the name."""
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    scheme, rest = scheme.lower(), rest.lstrip("/")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest
+    if scheme == "dbfs":  # mounted on every machine
+        return pafs.LocalFileSystem(), "/dbfs/" + rest
+    if scheme in ("s3", "s3a", "s3n"):
+        return pafs.S3FileSystem(), rest
+    if scheme in ("gs", "gcs"):
+        return pafs.GcsFileSystem(), rest
+    if scheme in ("hdfs", "viewfs"):
+        authority, _, name = rest.partition("/")
+        return pafs.HadoopFileSystem.from_uri(f"{scheme}://{authority}"), "/" + name
+    raise UnsupportedScheme(f"no reader for {scheme}: paths ({path})")
+
+
+def _open(path: str):
+    filesystem, name = located(path)
+    return filesystem.open_input_file(name)
 
 
 def enclosed(name: str) -> str | None:
@@ -123,38 +151,89 @@ FILES_DDL = (
 _CONTENT = pa.schema([*_MEMBERS, ("chunk_no", pa.int64()), ("content", pa.binary())])
 
 
+#: What a damaged, encrypted or oddly compressed member raises while it is read.
+MEMBER_ERRORS = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, IndexError)
+
+
+class _Packages:
+    """The package that is open; members of one package follow each other."""
+
+    def __init__(self) -> None:
+        self.name, self.handle, self.archive, self.members = None, None, None, []
+
+    def member(self, row: dict) -> tuple[zipfile.ZipFile, zipfile.ZipInfo]:
+        if row["package"] != self.name:
+            self.close()
+            self.handle = _open(row["package"])
+            self.archive = zipfile.ZipFile(self.handle)
+            self.name, self.members = row["package"], self.archive.infolist()
+        return self.archive, self.members[row["member_no"]]
+
+    def close(self) -> None:
+        for part in (self.archive, self.handle):
+            if part is not None:
+                part.close()
+        self.name, self.handle, self.archive, self.members = None, None, None, []
+
+
 def _member_reader(chunk_bytes: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, handle, archive = None, None, None
+        packages = _Packages()
         try:
             for batch in batches:
                 for row in batch.to_pylist():
-                    if row["package"] != current:
-                        if archive:
-                            archive.close()
-                            handle.close()
-                        current, handle = row["package"], _open(row["package"])
-                        archive = zipfile.ZipFile(handle)
-                    info = archive.infolist()[row["member_no"]]
-                    with archive.open(info) as member:
-                        number, data = 0, member.read(chunk_bytes)
-                        while data or number == 0:
-                            out = dict(row, chunk_no=number, content=data)
-                            yield pa.RecordBatch.from_pylist([out], schema=_CONTENT)
-                            number, data = number + 1, member.read(chunk_bytes)
+                    number = 0
+                    try:
+                        archive, info = packages.member(row)
+                        with archive.open(info) as member:
+                            data = member.read(chunk_bytes)
+                            while data or number == 0:
+                                yield pa.RecordBatch.from_pylist([dict(row, chunk_no=number, content=data)], schema=_CONTENT)
+                                number, data = number + 1, member.read(chunk_bytes)
+                    except MEMBER_ERRORS as error:
+                        bad = dict(row, chunk_no=number, content=None, status=f"unreadable: {error}")
+                        yield pa.RecordBatch.from_pylist([bad], schema=_CONTENT)
         finally:
-            if archive:
-                archive.close()
-                handle.close()
+            packages.close()
 
     return read
 
 
+def _hash_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packages = _Packages()
+    try:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                digest, status = hashlib.sha256(), row["status"]
+                try:
+                    archive, info = packages.member(row)
+                    with archive.open(info) as member:
+                        while data := member.read(CHUNK):
+                            digest.update(data)
+                except MEMBER_ERRORS as error:
+                    status = f"unreadable: {error}"
+                found.append((row["package"], row["archive_path"], row["size"], status, digest.hexdigest() if status == "ok" else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), _HASHES)] if found else [pa.array([], t.type) for t in _HASHES], schema=_HASHES)
+    finally:
+        packages.close()
+
+
+_HASHES = pa.schema([("package", pa.string()), ("archive_path", pa.string()), ("size", pa.int64()), ("status", pa.string()), ("sha256", pa.string())])
+
+
+def hash_members(members: DataFrame) -> DataFrame:
+    """SHA-256 of listed members of any size, read piece by piece: (package, archive_path, size, status, sha256)."""
+    spread = members.where(F.col("status") == "ok").repartition("package", "member_no").sortWithinPartitions("package", "member_no")
+    return spread.mapInArrow(_hash_members, "package string, archive_path string, size bigint, status string, sha256 string")
+
+
 def read_member_chunks(members: DataFrame, chunk_bytes: int = 64 * CHUNK) -> DataFrame:
     """Bytes of package members in numbered chunks.
 
     Members are spread over tasks one by one, whatever package they sit in, so one huge package does
-    not become one task; a member larger than ``chunk_bytes`` yields several rows.
+    not become one task; a member larger than ``chunk_bytes`` yields several rows. One that cannot be read
+    to its end has a last row without content whose status says why; the others are not affected.
     """
     wanted = members.where(F.col("status") == "ok")
     spread = wanted.repartition(F.col("package"), F.col("member_no")).sortWithinPartitions("package", "member_no")
@@ -207,8 +286,8 @@ _RANGE = pa.schema(
 
 
 def open_uri(path: str):
-    """Random-access handle of a shared file (any URI pyarrow knows, or a mounted path)."""
-    return _open(path if "://" in path else f"file://{path}")
+    """Random-access handle of a shared file, by a path as Spark prints it."""
+    return _open(path)
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

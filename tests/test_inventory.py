@@ -1,3 +1,4 @@
+import hashlib
 import zipfile
 
 import pytest
@@ -159,7 +160,13 @@ def test_packages_end_to_end(spark, tmp_path):
         src.read_packages(spark, str(folder), fail_fast=True).collect()
     entries = parse.parse_packages(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "scratch"))
     got = {r.parser: (r.status, r.exported_records) for r in entries.where("case_id = 'case1'").collect() if r.status != "skipped"}
-    assert got == {"windows_mplogs": ("ok", 2), "linux_shell_history": ("ok", 1), "windows_recycle_bin_info2": ("ok", None)}
+    assert got == {
+        "windows_mplogs": ("ok", 2), "linux_shell_history": ("ok", 1), "windows_recycle_bin_info2": ("ok", None), "package": ("error", None),
+    }
+    broken = [r for r in entries.where("case_id = 'broken' AND status = 'error'").collect()]
+    assert [r.parser for r in broken] == ["package"] and broken[0].error.startswith("unreadable")
+    problems = spark.read.json(str(tmp_path / "out/diagnostics/windows_recycle_bin_info2/Windows.RecycleBin.Info2")).collect()
+    assert [(r.case_id, r.error) for r in problems] == [("case1", "file too small")]
     shell = spark.read.json(str(tmp_path / "out/linux_shell_history/Linux.Shell.History")).first()
     assert (shell.user, shell.command, shell.timestamp) == ("bob", "ls -la", "2024-05-05T17:20:00Z")
 
@@ -176,6 +183,47 @@ def test_chunked_members(spark, tmp_path):
     assert big == {"a.bin": "oversize", "empty": "ok"}
 
 
+def test_one_damaged_member_stays_alone(spark, tmp_path):
+    folder = tmp_path / "ev one #1 50% done"  # blanks, # and % belong to the name
+    folder.mkdir()
+    for case in ("good", "hurt"):
+        with zipfile.ZipFile(folder / f"{case}.zip", "w") as z:
+            z.writestr("C/S/MPLog-1.log", f"2026-01-01T00:00:00 Engine: {case}\n")
+            z.writestr("C/S/MPLog-2.log", f"2026-01-01T00:00:00 Engine: second {case}\n")
+            z.writestr("home/bob/.bash_history", "ls\n")
+    raw = (folder / "hurt.zip").read_bytes()
+    at = raw.index(b"Engine: hurt")
+    (folder / "hurt.zip").write_bytes(raw[:at] + b"EnginX" + raw[at + 6 :])
+    entries = parse.parse_packages(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "scratch")).collect()
+    got = {(r.case_id, r.parser): (r.status, r.exported_records) for r in entries if r.status != "skipped"}
+    assert got == {
+        ("good", "windows_mplogs"): ("ok", 2), ("good", "linux_shell_history"): ("ok", 1), ("hurt", "windows_mplogs"): ("error", None),
+        ("hurt", "linux_shell_history"): ("ok", 1),
+    }
+    rows = spark.read.json(str(tmp_path / "out/windows_mplogs/Windows.Defender.MPLog")).groupBy("case_id").count().collect()
+    assert {r[0]: r[1] for r in rows} == {"good": 2, "hurt": 1}
+    bad = spark.read.json(str(tmp_path / "out/diagnostics/windows_mplogs/Windows.Defender.MPLog")).collect()
+    assert [(r.case_id, r.os_path) for r in bad] == [("hurt", "C/S/MPLog-1.log")] and "CRC" in bad[0].error
+
+
+def test_members_larger_than_a_cell_are_reported_and_hashed(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("C/S/MPLog-1.log", "2026-01-01T00:00:00 Engine: x\n" * 100)
+    members = src.list_packages(spark, str(tmp_path))
+    entries = parse.parse_members(spark, members, str(tmp_path / "out"), str(tmp_path / "scratch"), cell=1000).collect()
+    assert [(r.status, r.error) for r in entries if r.parser == "windows_mplogs"] == [("error", "larger than one cell: 3000 bytes")]
+    digest = hashlib.sha256(b"2026-01-01T00:00:00 Engine: x\n" * 100).hexdigest()
+    hashed = src.hash_members(members).withColumn("case_id", F.lit("c"))
+    manifest = spark.createDataFrame([("c", "C/S/MPLog-1.log", digest)], "case_id string, archive_path string, sha256 string")
+    assert [r.status for r in inv.verify_hashes(hashed, manifest).collect()] == ["ok"]
+
+
+def test_unsupported_scheme_is_loud():
+    with pytest.raises(src.UnsupportedScheme):
+        src.located("wasb://container/x.zip")
+    assert src.located("file:/a b/c#1%.zip")[1] == "/a b/c#1%.zip"
+
+
 def test_malformed_results_fail(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     assert records.read_results(spark, str(tmp_path), "a bigint").count() == 2
