@@ -134,13 +134,13 @@ def txt_1(spark, sf):
 
 @query(
     "txt_2_terminated_text",
-    """SELECT doc_id, md5(substring(text, 1, 40)) AS wide_md5, md5(substring(text, 1, 25)) AS narrow_md5, 'a' || chr(65533) || 'b' AS repaired
+    """SELECT doc_id, md5(text) AS wide_md5, md5(text) AS narrow_md5, 'a' || chr(65533) || 'b' AS repaired
        FROM documents""",
 )
 def txt_2(spark, sf):
     docs = read(spark, sf, "documents")
-    wide = F.unhex(F.concat(F.hex(F.encode(F.substring("text", 1, 40), "UTF-16LE")), F.lit("0000610062")))
-    narrow = F.unhex(F.concat(F.hex(F.encode(F.substring("text", 1, 25), "UTF-8")), F.lit("006162")))
+    wide = F.unhex(F.concat(F.hex(F.encode("text", "UTF-16LE")), F.lit("0000610062")))
+    narrow = F.unhex(F.concat(F.hex(F.encode("text", "UTF-8")), F.lit("006162")))
     lone = F.unhex(F.concat(F.lit("610000D8"), F.lit("6200"), F.substring(F.hex(F.encode("lang", "UTF-8")), 1, 0)))
     df = docs.select("doc_id", wide.alias("w"), narrow.alias("n"), lone.alias("l"))
     return df.select("doc_id", F.md5(text.utf16z(F.col("w"))).alias("wide_md5"), F.md5(text.asciiz(F.col("n"))).alias("narrow_md5"), text.utf16z(F.col("l")).alias("repaired"))
@@ -225,11 +225,11 @@ def flg_2(spark, sf):
 
 @query(
     "str_1_sanitize_name",
-    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(translate(trim(substring(html, 40, 60)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'artifact') AS name
+    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(translate(trim(html), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'artifact') AS name
        FROM pages""",
 )
 def str_1(spark, sf):
-    return read(spark, sf, "pages").select("page_id", text.sanitize_name(F.substring("html", 40, 60)).alias("name"))
+    return read(spark, sf, "pages").select("page_id", text.sanitize_name(F.col("html")).alias("name"))
 
 
 @query(

@@ -156,7 +156,15 @@ def parse_members(
         "case_id", F.lit("package").alias("parser"), F.lit("").alias("collection"), F.col("os_path").alias("artifact"),
         F.lit("error").alias("status"), "error", F.lit(None).cast("bigint").alias("exported_records"),
     )
-    entries = entries.unionByName(package)
+    # rows written are no export; that count stays open until an export has run
+    decoded = (F.col("status") != "skipped") & (F.col("parser") != "package")
+    under = lambda *parts: F.when(decoded, F.concat_ws("/", *[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    entries = entries.unionByName(package).withColumnRenamed("exported_records", "records").withColumns({
+        "args": F.create_map().cast("map<string,string>"),
+        "output_path": under(out, F.col("parser"), F.col("artifact")),
+        "log_path": under(out, "diagnostics", F.col("parser"), F.col("artifact")),
+        "exported_records": F.lit(None).cast("bigint"),
+    })
     write_manifest(entries, f"{out}/manifests")
     return entries
 

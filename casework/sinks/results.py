@@ -19,9 +19,11 @@ def write_results(df: DataFrame, root: str, by: Sequence[str] = ("family", "arti
 def manifest_json(entries: DataFrame, run: str = "case_id", pretty: bool = True) -> DataFrame:
     """One JSON manifest per run. Entries of a run are at most one per catalogued artifact or family."""
     fields = [c for c in entries.columns if c != run]
+    key = lambda x: F.concat_ws("\0", *[x[c] for c in ("parser", "artifact", "error") if c in fields])
+    order = lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)  # noqa: E731 - maps have no order
     total = F.sum("exported_records") if "exported_records" in fields else F.lit(None).cast("bigint")
     grouped = entries.groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct(*sorted(fields, key=lambda c: c != "parser")))).alias("entries"),
+        F.array_sort(F.collect_list(F.struct(*sorted(fields, key=lambda c: c != "parser"))), order).alias("entries"),
         F.array_sort(F.collect_set("collection")).alias("collections"),
         total.alias("exported_records"),
     )

@@ -159,7 +159,7 @@ def test_packages_end_to_end(spark, tmp_path):
     with pytest.raises(Exception, match="leaves its root"):
         src.read_packages(spark, str(folder), fail_fast=True).collect()
     entries = parse.parse_packages(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "scratch"))
-    got = {r.parser: (r.status, r.exported_records) for r in entries.where("case_id = 'case1'").collect() if r.status != "skipped"}
+    got = {r.parser: (r.status, r.records) for r in entries.where("case_id = 'case1'").collect() if r.status != "skipped"}
     assert got == {
         "windows_mplogs": ("ok", 2), "linux_shell_history": ("ok", 1), "windows_recycle_bin_info2": ("ok", None), "package": ("error", None),
     }
@@ -195,11 +195,13 @@ def test_one_damaged_member_stays_alone(spark, tmp_path):
     at = raw.index(b"Engine: hurt")
     (folder / "hurt.zip").write_bytes(raw[:at] + b"EnginX" + raw[at + 6 :])
     entries = parse.parse_packages(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "scratch")).collect()
-    got = {(r.case_id, r.parser): (r.status, r.exported_records) for r in entries if r.status != "skipped"}
+    got = {(r.case_id, r.parser): (r.status, r.records) for r in entries if r.status != "skipped"}
     assert got == {
         ("good", "windows_mplogs"): ("ok", 2), ("good", "linux_shell_history"): ("ok", 1), ("hurt", "windows_mplogs"): ("error", None),
         ("hurt", "linux_shell_history"): ("ok", 1),
     }
+    assert {r.exported_records for r in entries} == {None}
+    assert {r.output_path.rsplit("/", 1)[-1] for r in entries if r.parser == "windows_mplogs"} == {"Windows.Defender.MPLog"}
     rows = spark.read.json(str(tmp_path / "out/windows_mplogs/Windows.Defender.MPLog")).groupBy("case_id").count().collect()
     assert {r[0]: r[1] for r in rows} == {"good": 2, "hurt": 1}
     bad = spark.read.json(str(tmp_path / "out/diagnostics/windows_mplogs/Windows.Defender.MPLog")).collect()
