@@ -48,7 +48,8 @@ def packed(a: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, words: int = WORDS) -> DataFrame:
-    """``docs`` and a fingerprint of each row's text."""
+    """``docs`` and a fingerprint of each row's text; a column that has the name already is replaced."""
+    docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()

@@ -313,7 +313,8 @@ def _giants(docs: DataFrame, text: str, shared, chunk: int) -> DataFrame:  # noq
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` and the piece ids of each row's text."""
+    """``docs`` and the piece ids of each row's text; a column that has the name already is replaced."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(Model.load(model))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +335,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = M
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``df`` and the text of each row's piece ids; null ids give null."""
+    """``df`` and the text of each row's piece ids; null ids give null; a column that has the name already is replaced."""
+    df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(Model.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
