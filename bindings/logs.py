@@ -11,7 +11,6 @@ from casework.operators import lines, mplog
 from casework.sinks.results import with_provenance
 
 # small chunks, so that the carried state is exercised on these tables too
-WIDTH = 500
 
 
 def _document_files(spark, sf):
@@ -49,7 +48,7 @@ WS = "' ' || chr(9) || chr(13)"
                md5(string_agg(line, chr(10) ORDER BY line_no)) AS raw_md5, count(*) AS n_lines FROM h GROUP BY case_id, os_path, rec""",
 )
 def win_1(spark, sf):
-    out = lines.merge_continuations(_indented(spark, sf), WIDTH)
+    out = lines.merge_continuations(_indented(spark, sf))
     return out.select("case_id", "os_path", "line_no", F.md5("message").alias("message_md5"), F.md5("raw").alias("raw_md5"), "n_lines")
 
 
@@ -66,7 +65,7 @@ SHELL = r""", s AS (SELECT case_id, os_path, line_no, trim(line) AS line FROM v_
 
 @query("win_2_pending_time", cte("v_shell") + SHELL + " SELECT * FROM r")
 def win_2(spark, sf):
-    return lines.attach_pending_time(view(spark, sf, "v_shell"), WIDTH)
+    return lines.attach_pending_time(view(spark, sf, "v_shell"))
 
 
 @query(
@@ -74,7 +73,7 @@ def win_2(spark, sf):
     cte("v_shell") + SHELL + " SELECT case_id, 'bash' AS shell, regexp_extract(os_path, '^home/([^/]+)/', 1) AS \"user\", command, line_no AS line_number, os_path, timestamp FROM r",
 )
 def shl_1(spark, sf):
-    return lines.shell_rows(view(spark, sf, "v_shell"), WIDTH)
+    return lines.shell_rows(view(spark, sf, "v_shell"))
 
 
 @query(
@@ -262,7 +261,7 @@ def mpl_8(spark, sf):
     df = _log(spark, sf).select(
         "case_id", "os_path", "line_no", "line", F.lit("utf-8").alias("encoding"), F.lit(False).alias("decode_lossy"), F.lit("").alias("source_sha256")
     )
-    out = mplog.parse_mplog_lines(df, WIDTH)
+    out = mplog.parse_mplog_lines(df)
     return out.select(
         "case_id", "os_path", "line_no", F.md5("message").alias("message_md5"), "timestamp_raw", "timestamp_utc", "level", "component",
         "event_type", "threat_id", "path", "action", "result", "hresult",

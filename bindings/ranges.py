@@ -13,7 +13,6 @@ from casework.operators import artifacts, ranges, usn
 from casework.session import shared_dir
 from casework.sources.files import read_ranges
 
-WIDTH = 50
 
 
 @query(
@@ -35,7 +34,7 @@ def join_12(spark, sf):
         SELECT * FROM r UNION ALL SELECT case_id, os_path, 0, window_start, window_end - window_start FROM v_windows WHERE window_start < window_end AND os_path NOT IN (SELECT os_path FROM r)""",
 )
 def win_3(spark, sf):
-    return ranges.coalesce_ranges(view(spark, sf, "v_runs"), view(spark, sf, "v_windows"), width=WIDTH)
+    return ranges.coalesce_ranges(view(spark, sf, "v_runs"), view(spark, sf, "v_windows"))
 
 
 @query(
@@ -48,7 +47,7 @@ def win_3(spark, sf):
         FROM i GROUP BY case_id, os_path, run""",
 )
 def win_4(spark, sf):
-    return ranges.build_runs(view(spark, sf, "v_runs"), width=WIDTH)
+    return ranges.build_runs(view(spark, sf, "v_runs"))
 
 
 @query(
@@ -85,7 +84,7 @@ def win_6(spark, sf):
     entries = read(spark, sf, "lineitem").groupBy("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")).agg(
         F.max(F.col("l_quantity").cast("bigint") - 5).alias("length")
     )
-    return ranges.pack_offsets(entries, ["l_suppkey"], width=5000)
+    return ranges.pack_offsets(entries, ["l_suppkey"])
 
 
 @query(
@@ -146,7 +145,7 @@ def _decoded(spark, sf):
     folder = shared_dir(spark, "usn-records")
     _journal_records(spark, sf).select(
         F.lit("host").alias("case_id"), F.col("stream").cast("string").alias("os_path"), F.col("event_id").alias("record_offset"),
-        F.length("record").cast("bigint").alias("record_length"), "record",
+        F.length("record").cast("bigint").alias("record_length"), F.col("record").alias("head_bytes"),
     ).write.parquet(folder)
     return usn.decode_usn(spark.read.parquet(folder))
 

@@ -218,7 +218,7 @@ def run_1(spark, sf):
 )
 def win_7(spark, sf):
     samples = view(spark, sf, "v_counters").withColumn("seconds", F.col("sample_no") * 30.0)
-    return runs.counter_rate(samples, ["host"], "sample_no", "bytes", "seconds", width=16)
+    return runs.counter_rate(samples, ["host"], "sample_no", "bytes", "seconds")
 
 
 @query(
@@ -228,7 +228,7 @@ def win_7(spark, sf):
 )
 def win_7b(spark, sf):
     samples = view(spark, sf, "v_counters").withColumn("seconds", F.col("sample_no") * 30.0)
-    return runs.counter_rate(samples, ["host"], "sample_no", "bytes", "seconds", target="V5", width=16)
+    return runs.counter_rate(samples, ["host"], "sample_no", "bytes", "seconds", target="V5")
 
 
 @query(
@@ -241,7 +241,7 @@ def win_8(spark, sf):
     samples = read(spark, sf, "events").select(
         "user_id", "event_id", (F.call_function("div", e, F.lit(3)) * 7).alias("kernel"), F.call_function("div", e, F.lit(2)).alias("usr"), (e % 100 * 5).alias("idle")
     )
-    return runs.busy_fraction(samples, ["user_id"], "event_id", "idle", "kernel", "usr", width=500)
+    return runs.busy_fraction(samples, ["user_id"], "event_id", "idle", "kernel", "usr")
 
 
 @query(
@@ -252,7 +252,7 @@ def win_8(spark, sf):
 )
 def win_9(spark, sf):
     events = view(spark, sf, "v_events").withColumns({"s": F.col("seq") % 1000, "total": F.col("run_id").cast("bigint") % 40})
-    return runs.progress(events, ["run_id"], "seq", "s", "total", F.col("type") == "plan_finished", width=500)
+    return runs.progress(events, ["run_id"], "seq", "s", "total", F.col("type") == "plan_finished")
 
 
 STATE = """, pe AS (SELECT *, parser || '::' || artifact AS plan_id, CASE WHEN type = 'plan_started' THEN 'Running' WHEN status = 'ok' THEN 'Complete' WHEN type = 'plan_finished' THEN 'Failed' END AS shown FROM v_events WHERE parser IS NOT NULL),
@@ -275,7 +275,7 @@ def stm_3(spark, sf):
     t = F.col("event_type")
     kind = F.when(t == "view", "collector_progress").when(t == "error", "collector_started").when(t == "click", "collector_finished").otherwise("noise")
     events = read(spark, sf, "events").select("user_id", "event_id", kind.alias("type"), (F.col("value") / 100).alias("progress_value"))
-    return runs.collector_progress(events, ["user_id"], "event_id", F.col("user_id") % 9 * 10, width=500)
+    return runs.collector_progress(events, ["user_id"], "event_id", F.col("user_id") % 9 * 10)
 
 
 @query(
@@ -302,7 +302,7 @@ def set_1(spark, sf):
 )
 def snk_4(spark, sf):
     df = read(spark, sf, "events").select("event_type", "event_id", F.to_json(F.struct("event_id", "user_id")).alias("doc"))
-    out = results.bulk_batches(df, ["event_type"], "event_id", F.col("doc"), width=700)
+    out = results.bulk_batches(df, ["event_type"], "event_id", F.col("doc"))
     return out.select("event_type", "batch_no", "records", F.char_length("payload").cast("bigint").alias("payload_chars"))
 
 

@@ -19,18 +19,19 @@ from casework.sources.files import CHUNK, open_uri
 
 FILE_KEYS = ["case_id", "os_path"]
 
-# A name lies within 16-bit offset + 16-bit length, so no field is ever beyond this many bytes.
+# ``head_bytes`` of a record are its header and name: a name lies within 16-bit offset + 16-bit length, so no field
+# is ever beyond this many bytes. ``record_length`` is the whole record's.
 MAX_USED = 2 * 0xFFFF
 
 _NONZERO = re.compile(rb"[^\x00]")
 
 SPLIT_DDL = (
     "case_id string, os_path string, seq bigint, kind string, stream_offset bigint, "
-    "amount bigint, record binary"
+    "amount bigint, head_bytes binary"
 )
 _SPLIT = pa.schema(
     [("case_id", pa.string()), ("os_path", pa.string()), ("seq", pa.int64()), ("kind", pa.string()),
-     ("stream_offset", pa.int64()), ("amount", pa.int64()), ("record", pa.binary())]
+     ("stream_offset", pa.int64()), ("amount", pa.int64()), ("head_bytes", pa.binary())]
 )
 
 
@@ -225,7 +226,7 @@ def split_usn(ranges: DataFrame, piece: int = 256 * CHUNK) -> tuple[DataFrame, D
         "record_offset", F.col("stream_offset") + F.coalesce("__base", F.lit(0))
     )
     records = placed.where(F.col("kind") == "record").select(
-        *FILE_KEYS, "seq", "record_offset", F.col("amount").alias("record_length"), "record"
+        *FILE_KEYS, "seq", "record_offset", F.col("amount").alias("record_length"), "head_bytes"
     )
     silent = (F.col("kind") == "zero_tail") & (F.col("seq") == F.col("__top"))
     diagnostics = placed.where((F.col("kind") != "record") & ~silent).select(
@@ -251,7 +252,7 @@ def decode_usn(records: DataFrame) -> DataFrame:
 
     Each block of fixed fields is mirrored once, and every field is then one substring of it.
     """
-    r, size, major = F.col("record"), F.col("record_length"), F.col("major_version")
+    r, size, major = F.col("head_bytes"), F.col("record_length"), F.col("major_version")
     df = records.withColumn("__version", mirrored_hex(F.substring(r, 5, 4)))
     df = df.withColumns(
         {
@@ -287,7 +288,7 @@ def decode_usn(records: DataFrame) -> DataFrame:
     df = df.withColumn("error", error)
     name = text.utf16z(F.substring(r, (start + 1).cast("int"), F.col("file_name_length").cast("int")))
     df = df.withColumn("file_name", F.when(F.col("error").isNull(), name))
-    return settled(df.drop("record", "__version", "__ref", "__tail"))
+    return settled(df.drop("head_bytes", "__version", "__ref", "__tail"))
 
 
 def usn_rows(decoded: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
