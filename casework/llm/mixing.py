@@ -62,53 +62,85 @@ def class_copies(classes: DataFrame, most: int) -> DataFrame:
     return df.withColumn("copies", F.when(F.col("class_size") > 0, F.greatest(copies, F.lit(0.0))).otherwise(0.0))
 
 
-def mix(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """Adds source_size, target and ``repeats`` to rows with doc_id, source and size.
+def _named(df: DataFrame) -> DataFrame:
+    """The source as two columns that can be joined on: null is a source, and not the empty one."""
+    return df.withColumn("__name", F.coalesce(F.col("source"), F.lit(""))).withColumn("__none", F.col("source").isNull())
 
-    ``rows`` is read several times and should be a stored table.
+
+def _classed(df: DataFrame) -> DataFrame:
+    return df.withColumn("__class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
+
+
+def _ranked(df: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """Adds the plan of a row's source and class, __rank (odds of its random number by odds of its chance, put on the
+    scale from 0 to 1 by x / (1 + x)) and __slice of that scale; both null where nothing is left to chance."""
+    df = _named(_classed(df)).join(plan, ["__name", "__none", "__class"]).withColumn("__u", uniform(F.col("doc_id"), seed))
+    u, p = F.col("__u"), F.col("__chance")
+    df = df.withColumn("__rank", F.when(p > 0, u * (1 - p) / (u * (1 - p) + p * (1 - u))))
+    return df.withColumn("__slice", F.least(F.floor(F.col("__rank") * SLICES), F.lit(SLICES - 1)).cast("int"))
+
+
+ORDER = ("__rank", "doc_id", "size")
+
+
+def plan_mix(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
+    """What the mix takes: a row per source and size class, with the certain copies, the chance of one more, and the source's cut.
+
+    ``rows`` (doc_id, source, size) is read several times and should be a stored table.
     """
-    named = lambda df: df.withColumn("__name", F.coalesce(F.col("source"), F.lit(""))).withColumn("__none", F.col("source").isNull())
-    rows = rows.withColumn("class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
-    classes = rows.groupBy("source", "class").agg(F.sum("size").alias("class_size"))
+    classes = _classed(rows).groupBy("source", F.col("__class").alias("class")).agg(F.sum("size").alias("class_size"))
     sources = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights, most)
-    classes = named(classes).join(named(sources).drop("source"), ["__name", "__none"])
+    classes = _named(classes).join(_named(sources).drop("source"), ["__name", "__none"])
     classes = class_copies(classes, most)
     classes = classes.withColumn("certain", F.floor("copies")).withColumn("chance", F.col("copies") - F.col("certain"))
     rest = F.col("target") - F.sum(F.col("certain") * F.col("class_size")).over(Window.partitionBy("source"))
-    classes = stored(classes.withColumn("rest", rest).select("__name", "__none", "class", "source_size", "target", "certain", "chance", "rest"), "mix-classes")
-
-    df = named(rows).join(classes, ["__name", "__none", "class"])
-    u, p = uniform(F.col("doc_id"), seed), F.col("chance")
-    # odds(u) / odds(p), put on the scale from 0 to 1 by x / (1 + x)
-    df = df.withColumn("u", u).withColumn("rank", F.when(p > 0, F.col("u") * (1 - p) / (F.col("u") * (1 - p) + p * (1 - F.col("u")))))
-    df = df.withColumn("slice", F.least(F.floor(F.col("rank") * SLICES), F.lit(SLICES - 1)).cast("int"))
-    slices = df.where(p > 0).groupBy("__name", "__none", "slice").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    so_far = F.sum("words").over(Window.partitionBy("__name", "__none").orderBy("slice"))
+    plan = classes.withColumn("rest", rest).select(
+        "__name", "__none", F.col("class").alias("__class"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+        F.col("certain").alias("__certain"), F.col("chance").alias("__chance"), F.col("rest").alias("__rest"),
+    )
+    plan = stored(plan, "mix-classes")
+
+    df = _ranked(rows, plan, seed).where("__chance > 0")
+    slices = df.groupBy("__name", "__none", "__slice").agg(F.sum("size").alias("words"), F.max("__rest").alias("rest"))
+    so_far = F.sum("words").over(Window.partitionBy("__name", "__none").orderBy("__slice"))
     slices = slices.withColumn("begin", so_far - F.col("words"))
     cut = slices.where((F.col("begin") < F.col("rest")) & (F.col("begin") + F.col("words") >= F.col("rest")))
-    cut = stored(cut.select("__name", "__none", F.col("slice").alias("cut"), "begin"), "mix-cuts")
-    df = df.join(cut, ["__name", "__none"], "left")
+    cut = stored(cut.select("__name", "__none", F.col("__slice").alias("__cut"), F.col("begin").alias("__begin")), "mix-cuts")
     # of the slice with the cut, documents whose middle lies before it are taken
-    in_cut = (F.col("slice") == F.col("cut")) & (p > 0)
-    order = Window.partitionBy("__name", "__none").orderBy("rank", "doc_id", "size")
-    ends = df.where(in_cut).withColumn("end", F.col("begin") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("far", F.max(F.col("end") - F.col("size") / 2).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("extra", F.when(F.col("far") <= F.col("rest"), 1).otherwise(0)).drop("end", "far")
+    inside = df.join(cut, ["__name", "__none"]).where("__slice = __cut")
+    order = Window.partitionBy("__name", "__none").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("end", F.col("__begin") + F.sum("size").over(order))
+    inside = inside.withColumn("far", F.max(F.col("end") - F.col("size") / 2).over(order)).where("far <= __rest")
+    last = inside.groupBy("__name", "__none").agg(F.max(F.struct(*ORDER)).alias("__last"))
+    cuts = cut.drop("__begin").join(last, ["__name", "__none"], "left")
+    return stored(plan.join(cuts, ["__name", "__none"], "left"), "mix-plan")
+
+
+def apply_mix(df: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
+    """Adds source_size, target and repeats to rows with doc_id, source and size. Joins with the plan only, never with documents."""
+    df = _ranked(df, plan, seed)
     # without a cut the slices end before the target does: all are taken
-    others = df.where(~F.coalesce(in_cut, F.lit(False))).withColumn(
-        "extra", F.when((p > 0) & (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("slice") < F.col("cut"))), 1).otherwise(0)
+    more = F.when(F.col("__cut").isNull(), F.col("__rest") > 0).otherwise(
+        (F.col("__slice") < F.col("__cut")) | ((F.col("__slice") == F.col("__cut")) & F.coalesce(F.struct(*ORDER) <= F.col("__last"), F.lit(False)))
     )
-    out = others.unionByName(ends)
-    return out.withColumn("repeats", (F.col("certain") + F.col("extra")).cast("long"))
+    extra = F.when((F.col("__chance") > 0) & more, 1).otherwise(0)
+    return df.withColumns({
+        "source_size": F.col("__source_size"), "target": F.col("__target"), "repeats": (F.col("__certain") + extra).cast("long"),
+    }).drop(*plan.columns, "__u", "__rank", "__slice")
+
+
+def size_of(text: Column) -> Column:
+    return F.size(words(text)).cast("long")
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     return docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")
     )
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, size, source, source_size, target, repeats and taken (words, repeats counted) of every row."""
-    out = mix(stored(sized(docs), "mix-sizes"), weights, most, seed)
+    rows = stored(sized(docs), "mix-sizes")
+    out = apply_mix(rows, plan_mix(rows, weights, most, seed), seed)
     return out.select("doc_id", "size", "source", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))

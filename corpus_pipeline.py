@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casework.llm import jaccard, lines, mixing, pieces, quality
 from casework.llm.scratch import shared_folder, stored
+from casework.operators.shape import settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_DOCS = 10
@@ -37,12 +38,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, which may be none; rows with the same id are taken alike."""
-    mixed = mixing.mix(stored(mixing.sized(docs), "mix-sizes"), WEIGHTS, MOST_COPIES)
-    taken = stored(mixed.groupBy("doc_id").agg(F.max("repeats").alias("__repeats")).where("__repeats > 0"), "mix-taken")
-    out = docs.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("t.__repeats").cast("int")))
-    return out.select(*[F.col(f"d.{c}") for c in COLUMNS], copies.alias("__copy")).drop("__copy")
+    """Each document as many times as the mix takes it, which may be none. Texts pass once, beside the small plan of the mix."""
+    plan = mixing.plan_mix(stored(mixing.sized(docs), "mix-sizes"), WEIGHTS, MOST_COPIES)
+    sized = settled(docs.select(*COLUMNS, mixing.size_of(F.col("text")).alias("size")))  # words are split once
+    out = mixing.apply_mix(sized, plan)
+    copies = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
+    return out.where("repeats > 0").select(*COLUMNS, copies.alias("__copy")).drop("__copy")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
