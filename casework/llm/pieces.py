@@ -33,8 +33,9 @@ CHUNK = 32_768
 BLOCK = 256  # matrices multiplied in one group
 MARK = "\u2581"
 NONE = -(1 << 30)  # minus infinity
-MOST_WORDS = 300_000
-MOST_JOINTS = 600_000
+MOST_WORDS = 200_000
+MOST_JOINTS = 300_000
+ROWS = 200  # texts whose ids are held as Python numbers at a time
 
 
 #: Every path passes at line ends, in front of a run of marks, and where letters and other characters meet.
@@ -234,9 +235,16 @@ def states(matrices: list[np.ndarray], begin: int, end: int | None) -> list[int]
     return out[::-1]
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((x for r in rows for x in r), np.int32, int(ends[-1]))))
+def _lists(rows: list[list[int] | np.ndarray]) -> pa.Array:
+    each = [np.asarray(r, np.int32) for r in rows]
+    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*each, np.empty(0, np.int32)])))
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _giants(docs: DataFrame, text: str, shared, chunk: int) -> DataFrame:  # noqa: ANN001
@@ -319,7 +327,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in _few(batches):
             ids = [encoder.encode(t) for t in batch.column("__body").to_pylist()]
             yield pa.record_batch([*batch.columns[:-1], _lists(ids)], names=[*batch.schema.names[:-1], out])
 
@@ -341,7 +349,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in _few(batches):
             texts = [None if x is None else m.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
