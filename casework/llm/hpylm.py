@@ -31,8 +31,8 @@ from .scratch import stored
 from .shingles import WordHashes
 
 ORDER = 6
-PACK_BYTES = 64 << 20
-SLICE = 4 << 20
+PACK_BYTES = 28 << 20
+SLICE = 1 << 20
 BUCKET_ROWS = 20_000
 EXACT = 32  # customers up to which the number of tables is drawn from its exact distribution
 CONCENTRATION = 1.0
@@ -129,7 +129,7 @@ class Lookup:
     """Values of distinct uint64 keys: a table by hash, and a sorted rest of the keys whose slot was taken."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 8))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         slot = self.slot(keys)
         self.keys, self.values = np.full(1 << self.bits, ~np.uint64(0), np.uint64), np.zeros(1 << self.bits)
         _, first = np.unique(slot, return_index=True)
@@ -203,7 +203,7 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
                 for part, count in ((keys[trained], True), (keys[~trained], False)):
                     k, c = np.unique(part, return_counts=True)
                     found.append((k, c * count))
-                if len(found) > 16:
+                if len(found) > 8:
                     found = [_counted(found)]
             for k, c in (_counted(found), _counted([*words, (np.array([end_key], np.uint64), np.array([(~held).sum()]))])):
                 yield pa.record_batch({
@@ -226,7 +226,7 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
                 ids.append(doc_id)
                 h = word_keys(w, known)
                 words.append((h, np.full(len(h), not held_out(doc_id), np.int64)))
-                if len(words) > 2000:
+                if len(words) > 1000:
                     words = [_counted(words)]
                 size += len(body)
         if bodies:
