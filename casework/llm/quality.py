@@ -21,6 +21,7 @@ from casework.operators.shape import settled
 from .text import words
 
 SYMBOLS = "[#*$%&|<>]"
+UNSEEN = 1e-9  # stands for the share of a rule's bad votes where it has none
 
 
 @dataclass(frozen=True)
@@ -134,23 +135,33 @@ class LabelModel:
         return p[0] / sum(p[1:], p[0])
 
 
-def estimate(patterns: dict[tuple[int, ...], int], n_rules: int, most_false: float = 0.002, rounds: int = 200) -> LabelModel:
-    """Maximum a posteriori by expectation-maximisation over counts of vote patterns.
+def estimate(
+    patterns: dict[tuple[int, ...], int], n_rules: int, most_false: float = 0.002, rounds: int = 200, least_right: float = 0.95
+) -> LabelModel:
+    """Maximum a posteriori by expectation-maximisation over shares of vote patterns.
 
     Faults need not come together, so one poor class would leave a fault that shows in one rule alone to the good class.
-    Each rule therefore has a poor kind of its own, and on good documents votes bad at most ``most_false`` of the time, which is
-    what makes it a rule. Weak Beta priors keep rates inside (0, 1).
+    Each rule therefore has a poor kind of its own. On good documents it votes bad at most ``most_false`` of the time, and at least
+    ``least_right`` of its bad votes fall to poor documents, however rare they are, which is what makes it a rule. Beta priors keep
+    rates inside (0, 1); they are shares of all documents or of the rule's bad votes, so that neither the size of the corpus nor
+    the share of a fault changes a verdict.
     """
     kinds = range(n_rules + 1)
-    # prior counts of bad votes and of all votes, by kind and rule
-    prior = [[(0.1, 100.0) if k == 0 else (9.0, 10.0) if k == j + 1 else (1.0, 4.0) for j in range(n_rules)] for k in kinds]
+    documents = sum(patterns.values())
+    rows = sorted((vote, count / documents) for vote, count in patterns.items() if count)
+    cast = [sum(x for vote, x in rows if vote[j] >= 0) for j in range(n_rules)]
+    noticed = [sum(x for vote, x in rows if vote[j] == 0) for j in range(n_rules)]
+    most = [min(most_false, (1 - least_right) * (n / c if n else UNSEEN)) for n, c in zip(noticed, cast, strict=True)]
+    # prior shares of bad votes and of all votes, by kind and rule
+    weak = [0.001 if k == 0 else 0.1 * (noticed[k - 1] or UNSEEN) for k in kinds]
+    mean = [[0.001 if k == 0 else 0.9 if k == j + 1 else 0.25 for j in range(n_rules)] for k in kinds]
     model = LabelModel(
-        tuple(0.9 if k == 0 else 0.1 / n_rules for k in kinds), tuple(tuple(a / b for a, b in row) for row in prior)
+        tuple(0.9 if k == 0 else 0.1 / n_rules for k in kinds),
+        tuple(tuple(min(x, most[j]) if k == 0 else x for j, x in enumerate(row)) for k, row in enumerate(mean)),
     )
-    rows = sorted(patterns.items())
     for _ in range(rounds):
-        share = [9.0 if k == 0 else 1.0 / n_rules for k in kinds]
-        bad, all_ = ([[x[i] for x in row] for row in prior] for i in (0, 1))
+        share = [0.001 if k == 0 else 0.1 * noticed[k - 1] or UNSEEN for k in kinds]
+        bad, all_ = [[w * x for x in row] for w, row in zip(weak, mean, strict=True)], [[w] * n_rules for w in weak]
         for vote, count in rows:
             for k, q in enumerate(model.shares(vote)):
                 share[k] += count * q
@@ -158,9 +169,9 @@ def estimate(patterns: dict[tuple[int, ...], int], n_rules: int, most_false: flo
                     if v >= 0:
                         all_[k][j] += count * q
                         bad[k][j] += count * q * (v == 0)
-        rates = [[min(a / b, most_false if k == 0 else 1.0) for a, b in zip(bad[k], all_[k], strict=True)] for k in kinds]
+        rates = [[min(a / b, most[j] if k == 0 else 1.0) for j, (a, b) in enumerate(zip(bad[k], all_[k], strict=True))] for k in kinds]
         new = LabelModel(tuple(x / sum(share) for x in share), tuple(map(tuple, rates)))
-        moved = max(abs(a - b) for a, b in zip(sum(new.bad, new.weight), sum(model.bad, model.weight), strict=True))
+        moved = max(abs(a - b) / max(a, b) for a, b in zip(sum(new.bad, new.weight), sum(model.bad, model.weight), strict=True))
         model = new
         if moved < 1e-9:
             break

@@ -329,6 +329,24 @@ def test_quality_estimate():
     assert quality.estimate({}, 3).shares(good)[0] > 0.5
 
 
+def test_quality_verdict_is_the_same_at_any_size_and_share():
+    for rule in (0, 4):
+        lone = tuple(int(j != rule) for j in range(6))
+        for share in (0.0002, 0.0005, 0.001, 0.003, 0.01, 0.05):
+            p = []
+            for n in (10**4, 10**5, 3 * 10**6, 10**7):
+                model = quality.estimate({(1,) * 6: n - round(n * share), lone: round(n * share)}, 6)
+                assert model.shares((1,) * 6)[0] > 0.9
+                p.append(model.shares(lone)[0])
+            assert max(p) < 0.5
+            assert max(p) - min(p) < 1e-6
+    # a fault that the estimate has not met is one too, and a model of a mix does not depend on how often it is repeated
+    mix = {(1,) * 6: 97_000, (0, 1, 1, 1, 1, 1): 20, (1, -1, 0, 1, 1, -1): 2900, (-1,) * 6: 80}
+    one, many = quality.estimate(mix, 6), quality.estimate({v: 1000 * c for v, c in mix.items()}, 6)
+    assert one.weight == pytest.approx(many.weight)
+    assert one.shares((1, 1, 1, 1, 1, 0))[0] < 0.5 < one.shares((-1,) * 6)[0]
+
+
 @needs_tables
 def test_quality_against_labels(spark):
     d = "/root/testdata/sf0.01"
