@@ -1,7 +1,7 @@
 """Language-model scoring by a hierarchical Pitman-Yor model over the bytes of tokens.
 
 Tokens are words and one end per text; a word is spelled byte by byte and closed by a space, the last one by the end, so the
-probability of a text is the product over its bytes and no word is unknown. A restaurant belongs to a context of up to
+probability of a text is the product over its bytes and no word is unknown. Contexts of eight bytes reach into the word before. A restaurant belongs to a context of up to
 ``order`` - 1 bytes and shares its parent with all contexts that end alike; the root's base is uniform over bytes. Each
 table of a restaurant is a customer of its parent. Seating is sampled by Gibbs sweeps: the tables of one dish in one restaurant
 are drawn anew, given those of all others and the parent's predictive probabilities. Dishes of one sweep are drawn side by
@@ -28,17 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import stored
-from .shingles import WordHashes
+from .shingles import WordHashes, mixed
 
-ORDER = 6
-PACK_BYTES = 28 << 20
+ORDER = 9
+PACK_BYTES = 10 << 20
 SLICE = 1 << 20
+SENT_ROWS = 200_000  # of a pack at a time
 BUCKET_ROWS = 20_000
 EXACT = 32  # customers up to which the number of tables is drawn from its exact distribution
 CONCENTRATION = 1.0
 SAMPLES = 3
 SWEEPS = 4
 END = b"\n"
+NEAR = 7  # bytes of an n-gram in its key; those before them are in ``far``
 
 SIGN = 1 << 63
 
@@ -116,43 +118,55 @@ class Level:
         return (np.maximum(self.c - self.d * self.t, 0.0) + back * base) / np.where(total > 0, CONCENTRATION + total, 1.0)
 
 
-def grams(stream: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each byte from order - 1 on, as one number."""
-    wide = stream.astype(np.uint64)
-    key = np.zeros(len(wide) - order + 1, np.uint64)
+Grams = tuple[np.ndarray, np.ndarray]
+
+
+def grams(stream: np.ndarray, order: int) -> Grams:
+    """The n-gram that ends at each byte from order - 1 on, as the numbers of its last NEAR bytes and of those before."""
+    size = len(stream) - order + 1
+    near, far = np.zeros(size, np.uint64), np.zeros(size, np.uint16)
     for j in range(order):
-        key = (key << np.uint64(8)) | wide[j : len(wide) - order + 1 + j]
-    return key
+        if j < order - NEAR:
+            far = (far << np.uint16(8)) | stream[j : size + j].astype(np.uint16)
+        else:
+            near = (near << np.uint64(8)) | stream[j : size + j].astype(np.uint64)
+    return near, far
+
+
+def _taken(g: Grams, at: np.ndarray) -> Grams:
+    return g[0][at], g[1][at]
 
 
 class Lookup:
-    """Values of distinct uint64 keys: a table by hash, and a sorted rest of the keys whose slot was taken."""
+    """Values of distinct n-grams: a table by hash, and another of those whose slot was taken."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+    def __init__(self, keys: Grams, values: np.ndarray, turn: int = 0) -> None:
+        n, self.turn = len(values), turn
+        self.bits = max(4, int(np.ceil(np.log2(max(1, n) * 2))))
+        self.near, self.far = np.full(1 << self.bits, ~np.uint64(0), np.uint64), np.zeros(1 << self.bits, np.uint16)
+        self.values = np.zeros(1 << self.bits, np.float32)
         slot = self.slot(keys)
-        self.keys, self.values = np.full(1 << self.bits, ~np.uint64(0), np.uint64), np.zeros(1 << self.bits)
         _, first = np.unique(slot, return_index=True)
-        self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
-        rest = np.setdiff1d(np.arange(len(keys)), first)
-        rest = rest[np.argsort(keys[rest])]
-        self.more_keys, self.more = keys[rest], values[rest]
+        self.near[slot[first]], self.far[slot[first]], self.values[slot[first]] = *_taken(keys, first), values[first]
+        rest = np.ones(n, bool)
+        rest[first] = False
+        self.rest = Lookup(_taken(keys, rest), values[rest], turn + 1) if rest.any() else None
 
-    def slot(self, keys: np.ndarray) -> np.ndarray:
+    def slot(self, keys: Grams) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+            return (mixed(mixed(keys[0] + np.uint64(self.turn)) + keys[1]) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+    def __getitem__(self, keys: Grams) -> np.ndarray:
         slot = self.slot(keys)
-        out = self.values[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
+        out = self.values[slot].astype(np.float64)
+        miss = np.flatnonzero((self.near[slot] != keys[0]) | (self.far[slot] != keys[1])) if self.rest else []
         if len(miss):
-            out[miss] = self.more[np.searchsorted(self.more_keys, keys[miss])]
+            out[miss] = self.rest[_taken(keys, miss)]
         return out
 
 
 def word_keys(words: list[bytes], known: WordHashes) -> np.ndarray:
-    """Hashes with the sign bit set; n-grams of up to seven bytes have none."""
+    """Hashes with the sign bit set; the keys of n-grams, NEAR bytes, have none."""
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) | np.uint64(SIGN)
 
 
@@ -161,7 +175,7 @@ def _body(text: bytes | None) -> tuple[bytes, list[bytes]]:
     return b" ".join(words) + END, words
 
 
-def _slices(bodies: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+def _slices(bodies: list[bytes], order: int) -> Iterator[tuple[Grams, np.ndarray, int, int]]:
     """n-grams of consecutive texts, where each text's begin, and which texts; a slice holds whole texts."""
     pad, at = END * (order - 1), 0
     while at < len(bodies):
@@ -175,13 +189,25 @@ def _slices(bodies: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.nd
         real = np.ones(int(begin[-1] + length[-1]), bool)
         for j in range(len(pad)):
             real[begin[1:] - 1 - j] = False
-        yield grams(stream, order)[real], np.cumsum([0, *length[:-1]]), at, end
+        yield _taken(grams(stream, order), real), np.cumsum([0, *length[:-1]]), at, end
         at = end
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of parts (near, far, count) and the sums of their counts."""
+    near, far, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    at = np.argsort(near)
+    at = at[np.argsort(far[at], kind="stable")]
+    near, far = near[at], far[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (near[1:] != near[:-1]) | (far[1:] != far[:-1])
+    first = np.flatnonzero(new)
+    return near[first], far[first], np.add.reduceat(n[at], first).astype(np.int64) if len(at) else n[:0].astype(np.int64)
+
+
+def _words(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return keys, np.zeros(len(keys), np.uint16), n
 
 
 def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
@@ -194,24 +220,25 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
         end_key = known[END] | SIGN
         empty = lambda n, kind: pa.nulls(n, kind)
 
-        def pack(bodies: list[bytes], ids: list[int | None], words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def pack(bodies: list[bytes], ids: list[int | None], words: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             number = (task << 32) + made
             held = np.array([held_out(i) for i in ids])
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for keys, begin, a, b in _slices(bodies, order):
-                trained = np.repeat(~held[a:b], np.diff([*begin, len(keys)]))
-                for part, count in ((keys[trained], True), (keys[~trained], False)):
-                    k, c = np.unique(part, return_counts=True)
-                    found.append((k, c * count))
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for (near, far), begin, a, b in _slices(bodies, order):
+                trained = np.repeat(~held[a:b], np.diff([*begin, len(near)]))
+                found.append(_counted([(near, far, trained.astype(np.int64))]))
                 if len(found) > 8:
                     found = [_counted(found)]
-            for k, c in (_counted(found), _counted([*words, (np.array([end_key], np.uint64), np.array([(~held).sum()]))])):
-                yield pa.record_batch({
-                    "pack": pa.array(np.full(len(k), number)), "key": pa.array(k.view(np.int64)), "n": pa.array(c),
-                    "body": empty(len(k), pa.binary()), "ids": empty(len(k), pa.list_(pa.int64())),
-                })
+            for k, far, c in (_counted(found), _counted([*words, _words(np.array([end_key], np.uint64), np.array([(~held).sum()]))])):
+                for x in range(0, len(k), SENT_ROWS):
+                    some = slice(x, x + SENT_ROWS)
+                    m = len(k[some])
+                    yield pa.record_batch({
+                        "pack": pa.array(np.full(m, number)), "key": pa.array(k[some].view(np.int64)), "far": pa.array(far[some].astype(np.int32)), "n": pa.array(c[some]),
+                        "body": empty(m, pa.binary()), "ids": empty(m, pa.list_(pa.int64())),
+                    })
             yield pa.record_batch({
-                "pack": pa.array([number]), "key": empty(1, pa.int64()), "n": empty(1, pa.int64()),
+                "pack": pa.array([number]), "key": empty(1, pa.int64()), "far": empty(1, pa.int32()), "n": empty(1, pa.int64()),
                 "body": pa.array([zstandard.compress(b"".join(bodies), 6)], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64())),
             })
 
@@ -225,22 +252,22 @@ def packs(docs: DataFrame, order: int, pack_bytes: int) -> DataFrame:
                 bodies.append(body)
                 ids.append(doc_id)
                 h = word_keys(w, known)
-                words.append((h, np.full(len(h), not held_out(doc_id), np.int64)))
+                words.append(_words(h, np.full(len(h), not held_out(doc_id), np.int64)))
                 if len(words) > 1000:
                     words = [_counted(words)]
                 size += len(body)
         if bodies:
             yield from pack(bodies, ids, words)
 
-    return docs.mapInArrow(run, "pack bigint, key bigint, n bigint, body binary, ids array<bigint>")
+    return docs.mapInArrow(run, "pack bigint, key bigint, far int, n bigint, body binary, ids array<bigint>")
 
 
 def fit(counts: DataFrame, order: int = ORDER, samples: int = SAMPLES, sweeps: int = SWEEPS, seed: int = 7) -> DataFrame:
-    """(key, value): log10 of the averaged probability of the last byte of each n-gram. ``counts``: key, n (0: not trained on)."""
+    """(key, far, value): log10 of the averaged probability of the last byte of each n-gram. ``counts``: key, far, n (0: not trained on)."""
     spark = counts.sparkSession
     buckets = max(1, -(-counts.count() // BUCKET_ROWS))
     suffix = lambda n: F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
-    rows = counts.select("key", "n", suffix(3).alias("top"), F.pmod(F.xxhash64(F.shiftright(suffix(4), 8)), F.lit(buckets)).cast("int").alias("bucket"))
+    rows = counts.select("key", "far", "n", suffix(3).alias("top"), F.pmod(F.xxhash64(F.shiftright(suffix(4), 8)), F.lit(buckets)).cast("int").alias("bucket"))
     rows = stored(rows, "hpylm-rows")
     # at first every dish of a context has one table
     tables = rows.where("n > 0").select(suffix(4).alias("key")).distinct()
@@ -265,12 +292,14 @@ def fit(counts: DataFrame, order: int = ORDER, samples: int = SAMPLES, sweeps: i
 
     def lower(sample: int):  # noqa: ANN202
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            table = table.sort_by("key")
+            table = table.sort_by([("key", "ascending"), ("far", "ascending")])
             k, rng = table.column("key").to_numpy().astype(np.uint64), np.random.default_rng([seed, sample, key[0].as_py() + 1])
             levels, up = [], []
             c, base = table.column("n").to_numpy(), table.column("base").to_numpy()
+            far = table.column("far").to_numpy().astype(np.uint64)
+            context, k = k >> np.uint64(8) | far << np.uint64(8 * (NEAR - 1)), k | far << np.uint64(8 * NEAR)  # eight bytes each at most
             for n in range(order, 3, -1):
-                levels.append(Level(k >> np.uint64(8), c))
+                levels.append(Level(context if n == order else k >> np.uint64(8), c))
                 if n > 4:
                     k2, at, first = (lambda u: (u[0], u[2], u[1]))(np.unique(k & np.uint64((1 << 8 * (n - 1)) - 1), return_index=True, return_inverse=True))
                     up.append(at)
@@ -278,8 +307,8 @@ def fit(counts: DataFrame, order: int = ORDER, samples: int = SAMPLES, sweeps: i
                     k = k2
             p = _sampled(levels, up, base, sweeps, rng)
             n = table.num_rows
-            own = pa.table({"kind": pa.array(np.full(n, 0, np.int8)), "key": table.column("key"), "value": pa.array(p)})
-            some = pa.table({"kind": pa.array(np.full(len(k), 1, np.int8)), "key": pa.array((k & np.uint64((1 << 24) - 1)).astype(np.int64)), "value": pa.array(levels[-1].t.astype(np.float64))})
+            own = pa.table({"kind": pa.array(np.full(n, 0, np.int8)), "key": table.column("key"), "far": table.column("far"), "value": pa.array(p)})
+            some = pa.table({"kind": pa.array(np.full(len(k), 1, np.int8)), "key": pa.array((k & np.uint64((1 << 24) - 1)).astype(np.int64)), "far": pa.array(np.zeros(len(k), np.int32)), "value": pa.array(levels[-1].t.astype(np.float64))})
             return pa.concat_tables([own, some])
 
         return run
@@ -287,14 +316,14 @@ def fit(counts: DataFrame, order: int = ORDER, samples: int = SAMPLES, sweeps: i
     out = []
     for sample in range(samples):
         base = stored(tables.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(upper(sample), "top bigint, base double"), "hpylm-base")
-        seated = rows.join(base, "top").select("bucket", "key", "n", "base").groupBy("bucket").applyInArrow(lower(sample), "kind tinyint, key bigint, value double")
+        seated = rows.join(base, "top").select("bucket", "key", "far", "n", "base").groupBy("bucket").applyInArrow(lower(sample), "kind tinyint, key bigint, far int, value double")
         seated = stored(seated, "hpylm-seated")
-        out.append(seated.where("kind = 0").select("key", "value"))
+        out.append(seated.where("kind = 0").select("key", "far", "value"))
         tables = seated.where("kind = 1").groupBy("key").agg(F.sum("value").cast("bigint").alias("n"))
-    every = spark.createDataFrame([], "key bigint, value double")
+    every = spark.createDataFrame([], "key bigint, far int, value double")
     for s in out:
         every = every.union(s)
-    return every.groupBy("key").agg(F.log10(F.avg("value")).cast("float").alias("value"))
+    return every.groupBy("key", "far").agg(F.log10(F.avg("value")).cast("float").alias("value"))
 
 
 def _sampled(levels: list[Level], up: list[np.ndarray], root: np.ndarray, sweeps: int, rng: np.random.Generator) -> np.ndarray:
@@ -320,24 +349,25 @@ def _sampled(levels: list[Level], up: list[np.ndarray], root: np.ndarray, sweeps
 
 def score(docs: DataFrame, order: int = ORDER, pack_bytes: int = PACK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    if not 4 <= order <= 7:
-        raise ValueError("order must be 4 to 7 bytes")
+    if not 4 <= order <= NEAR + 2:
+        raise ValueError("order must be 4 to 9 bytes")
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     # fewer, fuller packs ask for fewer n-grams; small inputs still keep every core busy
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // pack_bytes)))
     found = stored(packs(docs, order, pack_bytes), "hpylm-packs")
-    asked = found.where("key IS NOT NULL").select("pack", "key", "n")
+    asked = found.where("key IS NOT NULL").select("pack", "key", "far", "n")
     words = stored(asked.where("key < 0").groupBy("key").agg(F.sum("n").alias("n")), "hpylm-words")
     n_train, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    model = fit(asked.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), order)
-    values = stored(model.union(words.select("key", F.col("n").cast("float"))), "hpylm-values")
-    answers = asked.select(F.col("pack").alias("asking"), "key").join(values, "key").select("asking", "key", "value")
+    model = fit(asked.where("key >= 0").groupBy("key", "far").agg(F.sum("n").alias("n")), order)
+    values = stored(model.union(words.select("key", F.lit(0).alias("far"), F.col("n").cast("float"))), "hpylm-values")
+    answers = asked.select(F.col("pack").alias("asking"), "key", "far").join(values, ["key", "far"]).select("asking", "key", "far", "value")
 
     def run(key: tuple, pack: pa.Table, answers: pa.Table) -> pa.Table:
         known = WordHashes()
-        k, v = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy().astype(np.float64)
-        by_gram, by_word = (Lookup(k[x], v[x]) for x in (k < np.uint64(SIGN), k >= np.uint64(SIGN)))
+        k, v = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy()
+        far = answers.column("far").to_numpy().astype(np.uint16)
+        by_gram, by_word = (Lookup((k[x], far[x]), v[x]) for x in (k < np.uint64(SIGN), k >= np.uint64(SIGN)))
         ids = pack.column("ids")[0].as_py()
         bodies = [b + END for b in zstandard.decompress(pack.column("body")[0].as_py()).split(END)[:-1]]
         total, tokens, n_known, base = (np.zeros(len(ids)) for _ in range(4))
@@ -346,7 +376,7 @@ def score(docs: DataFrame, order: int = ORDER, pack_bytes: int = PACK_BYTES, doc
         unit = n_train + 0.1 * (n_types + 1)
         for i, body in enumerate(bodies):
             w = [*body.split(), END]
-            c = by_word[word_keys(w, known)]
+            c = by_word[_words(word_keys(w, known), np.empty(0))[:2]]
             tokens[i], n_known[i], base[i] = len(w), (c > 0).sum(), np.log10((c + 0.1) / unit).sum()
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(tokens.astype(np.int64)),

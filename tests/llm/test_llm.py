@@ -268,6 +268,38 @@ def test_language_model(docs, empty, spark):
     assert hpylm.score(docs.limit(3).union(docs.limit(3))).count() == 6
 
 
+def test_language_model_knows_the_word_before(spark):
+    # words that end alike, each followed by the same one: their frequencies say nothing, the word before says all
+    r = random.Random(8)
+    words = [f"{c}ation" for c in "bdfghklmnprstvwz"]
+    after = dict(zip(words, r.sample(words, len(words)), strict=True))
+
+    def text():
+        w = [r.choice(words)]
+        while len(w) < 40:
+            w.append(after[w[-1]] if len(w) % 8 else r.choice(words))
+        return " ".join(w)
+
+    some = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id long, text string")
+    held = hpylm.score(some, pack_bytes=9_000).where("held_out").collect()
+    assert len(held) > 5
+    assert all(x["score"] > 0.7 * x["base_score"] for x in held)
+
+
+@needs_tables
+def test_language_model_beats_word_frequencies(spark):
+    held = hpylm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    n, score, base = held.agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
+    assert score / n > base / n + 0.3
+
+
+def test_lookup_of_wide_grams():
+    r = np.random.default_rng(4)
+    near, far = r.integers(0, 3, 5000).astype(np.uint64) << np.uint64(50), np.arange(5000).astype(np.uint16)
+    look = hpylm.Lookup((near, far), np.arange(5000))
+    assert (look[near, far] == np.arange(5000)).all()
+
+
 def test_restaurants():
     rng = np.random.default_rng(1)
     r, w = np.divmod(np.arange(40), 8)
