@@ -3,7 +3,8 @@
 Distinct line hashes with their document counts are dealt to shards of bounded size. Each shard becomes a minimal perfect
 hash (bit levels: a key sits at its position on the first level where no other remaining key wants it, its index is the rank
 of that bit) over two compact arrays, fingerprints and counts. Documents send line hashes, never lines, to the shards and
-get back the hashes to drop; shards that many documents ask are copied, so that no task answers for a common line alone.
+get back the hashes to drop, each task once for rows of the same text; shards that many documents ask are copied, so that no task
+answers for a common line alone.
 
 Defined cases: null or empty text is one empty line; lines are compared stripped of ASCII white space and in ASCII lower case;
 lines with fewer than ``least_chars`` code points are never dropped; every row is a document, so repeated rows count
@@ -23,6 +24,7 @@ from .scratch import partitions, stored
 
 SHARD_KEYS = 4096
 GAMMA = 1.6
+MOST_TEXTS = 500_000  # whose asking a task remembers
 
 
 def line_key(line: bytes) -> bytes:
@@ -132,6 +134,29 @@ def build_index(counts: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("shard").applyInArrow(build, schema), shards
 
 
+def questions(batches: Iterator[pa.RecordBatch], shards: int, copies: dict[int, int], least_chars: int) -> Iterator[pa.RecordBatch]:
+    """Of (text_key, text): which copy of which shard is asked for which line; a task asks once for rows with the same text."""
+    asked: set[bytes] = set()
+    for batch in batches:
+        owner, lines = [], []
+        for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key in asked:
+                continue
+            if len(asked) >= MOST_TEXTS:
+                asked.clear()
+            asked.add(key)
+            mine = set(keys_of(t, least_chars)) - {b""}
+            lines += mine
+            owner += [key] * len(mine)
+        shard = _shard_of(_pairs(lines), shards) if lines else np.empty(0, np.int64)
+        turn = np.frombuffer(b"".join(owner), np.uint32)[::4] if lines else np.empty(0, np.uint32)
+        many = np.array([copies.get(s, 1) for s in shard.tolist()], np.int64)
+        yield pa.record_batch({
+            "shard": pa.array(shard), "copy": pa.array(turn.astype(np.int64) % np.maximum(many, 1)),
+            "text_key": pa.array(owner, pa.binary()), "line": pa.array(lines, pa.binary()),
+        })
+
+
 def common_lines(docs: DataFrame, least_docs: int, text: str = "text", least_chars: int = 1) -> DataFrame:
     """For each text (md5) that has any: the hashes of its lines found in at least ``least_docs`` documents."""
     spark = docs.sparkSession
@@ -149,19 +174,7 @@ def common_lines(docs: DataFrame, least_docs: int, text: str = "text", least_cha
     index = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), several.cast("bigint") - 1)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, lines = [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = set(keys_of(t, least_chars)) - {b""}
-                lines += mine
-                owner += [key] * len(mine)
-            shard = _shard_of(_pairs(lines), shards) if lines else np.empty(0, np.int64)
-            turn = np.frombuffer(b"".join(owner), np.uint32)[::4] if lines else np.empty(0, np.uint32)
-            many = np.array([copies.get(s, 1) for s in shard.tolist()], np.int64)
-            yield pa.record_batch({
-                "shard": pa.array(shard), "copy": pa.array(turn.astype(np.int64) % np.maximum(many, 1)),
-                "text_key": pa.array(owner, pa.binary()), "line": pa.array(lines, pa.binary()),
-            })
+        return questions(batches, shards, copies, least_chars)
 
     def answer(key: tuple, asking: pa.Table, shard: pa.Table) -> pa.Table:
         blob = {c: shard.column(c)[0].as_py() for c in ("sizes", "bits", "prints", "counts")} if shard.num_rows else None

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -335,6 +336,15 @@ def test_lines(docs, empty):
     assert lines.drop_common_lines(twice.union(twice), 2).where("__n_dropped > 0").count() > 0
 
 
+def test_lines_are_asked_once_for_equal_texts(spark):
+    batch = pa.record_batch({"key": pa.array([b"a" * 16] * 500 + [b"b" * 16], pa.binary()), "text": pa.array([b"one\ntwo\none"] * 500 + [b"two"], pa.binary())})
+    asked = pa.Table.from_batches(lines.questions(iter([batch, batch]), 1, {0: 7}, 1))
+    assert sorted(asked.column("text_key").to_pylist()) == [b"a" * 16] * 2 + [b"b" * 16]
+    rows = spark.createDataFrame([(i, "hot\ncommon") for i in range(300)] + [(300 + i, f"own {i}\ncommon") for i in range(9)] + [(400, "own")], "doc_id long, text string")
+    got = as_dict(lines.drop_common_lines(rows, 10), "text", "__n_dropped")
+    assert got == {**{i: ("", 2) for i in range(300)}, **{300 + i: (f"own {i}", 1) for i in range(9)}, 400: ("own", 0)}
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(2).integers(0, 1 << 63, (5000, 2)).astype(np.uint64)
     mph = lines.PerfectHash.build(keys)
