@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, hpylm, jaccard, lines, mixing, pieces, pii, quality, sharding
+from . import audit, chat, fingerprints, hpylm, jaccard, lines, mixing, pieces, pii, quality, sharding
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +144,30 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymised(docs, key="documents")
     return out.select("doc_id", "text", F.size("__replaced").cast("long").alias("n_replaced"), F.col("__replaced").alias("replaced"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.documents_with_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    orders = list(permutations("ABCDE"))
+    return audit.audit(rows, "ABCDE", orders, mask="mask", part="part", measures={"good_lost": F.col("good"), "toxic_lost": F.col("toxic")})
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+y AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN y ON m.doc_id = y.doc_id GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (SELECT a.name || b.name || x.name || d.name || e.name AS filter_order, [a.bit, b.bit, x.bit, d.bit, e.bit] AS bits
+    FROM f a, f b, f x, f d, f e WHERE a.bit + b.bit + x.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, x.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM o, range(1, 6) r(step)),
+p AS (SELECT part, filter_order, CAST(step AS INT) AS step, bit,
+    CAST(sum(n) FILTER (WHERE mask & (before | bit) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS removed,
+    CAST(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant, CAST(sum(n) FILTER (WHERE mask = bit) AS BIGINT) AS unique_fails,
+    CAST(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS toxic_lost
+    FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+    coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM p
+"""
