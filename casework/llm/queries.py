@@ -7,7 +7,7 @@ from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, chat, fingerprints, hpylm, jaccard, lines, mixing, pieces, pii, quality, sharding
+from . import audit, chat, fingerprints, hpylm, jaccard, lines, mixing, pieces, pii, quality, sharding, webtext
 from .scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,9 @@ p AS (SELECT part, filter_order, CAST(step AS INT) AS step, bit,
 SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
     coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM p
 """
+
+
+@query
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return webtext.extract(pages, webtext.fit(webtext.labelled(pages)))
