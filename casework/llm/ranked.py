@@ -146,6 +146,24 @@ def waves(sizes: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+class Asked:
+    """The items of a pack: their terms as numbers among the pack's terms, and weights."""
+
+    def __init__(self, items: list[dict]) -> None:
+        self.terms = pa.array(sorted({t["term"] for i in items for t in i["terms"]}), pa.string())
+        number = {t: n for n, t in enumerate(self.terms.to_pylist())}
+        self.items = [(i["item"], np.array([number[t["term"]] for t in i["terms"]], np.int64), np.array([t["weight"] for t in i["terms"]], np.int64)) for i in items]
+
+    def rows_in(self, vocabulary: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each item with rows of the block's grid and weights of those terms that the block has."""
+        rows = pc.fill_null(pc.index_in(self.terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for item, terms_, weights in self.items:
+            own = rows[terms_]
+            here = own >= 0
+            if here.any():
+                yield item, own[here], weights[here]
+
+
 def search(index: Index, items: DataFrame, item_id: str = "item_id", text: str = "text", k: int = 20) -> DataFrame:
     """item_id, rank, doc_id, score: the ``k`` best documents of each item, exactly.
 
@@ -162,19 +180,17 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, int]]] = {}  # by item: (-score, id), best first
+        asked: dict[int, Asked] = {}  # by pack of this wave
         for batch in batches:
             for i in range(batch.num_rows):
+                pack = batch.column("pack")[i].as_py()
+                if pack not in asked:
+                    asked[pack] = Asked(batch.column("items")[i].as_py())
                 treap, vocabulary = Treap.unpacked(batch.column("treap")[i].as_py()), batch.column("vocabulary")[i].values
                 ids = [LAST_ID if d is None else d for d in batch.column("ids")[i].as_py()]
-                for asked in batch.column("items")[i].as_py():
-                    item = asked["item"]
-                    rows = pc.index_in(pa.array([t["term"] for t in asked["terms"]], pa.string()), value_set=vocabulary)
-                    here = rows.is_valid().to_numpy(zero_copy_only=False)
-                    if not here.any():
-                        continue
-                    weights = np.array([t["weight"] for t in asked["terms"]], np.int64)[here]
+                for item, rows, weights in asked[pack].rows_in(vocabulary):
                     old = best.get(item, [])
-                    columns, scores = treap.best_columns(rows.drop_null().to_numpy().astype(np.int64), weights, k, -old[-1][0] if len(old) == k else 1)
+                    columns, scores = treap.best_columns(rows, weights, k, -old[-1][0] if len(old) == k else 1)
                     best[item] = sorted(old + [(-s, ids[c]) for c, s in zip(columns.tolist(), scores.tolist())])[:k]
                 if len(best) > MOST_HELD:
                     yield hits(best)

@@ -29,8 +29,9 @@ class Treap:
     """Cells of all levels, the root first: ``masks``, ``maxima`` and ``first``, the place of each cell's first child."""
 
     def __init__(self, height: int, masks: np.ndarray, maxima: np.ndarray) -> None:
-        self.height, self.masks, self.maxima = height, masks, maxima
-        self.first = 1 + np.cumsum(ONES[masks], dtype=np.int64) - ONES[masks]
+        """Arrays without the empty cell at the end; it is added here."""
+        self.height, self.masks, self.maxima = height, np.append(masks, np.uint8(0)), np.append(maxima, 0)
+        self.first = 1 + np.cumsum(ONES[self.masks], dtype=np.int64) - ONES[self.masks]
 
     @classmethod
     def of(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> Treap:
@@ -51,21 +52,22 @@ class Treap:
         return cls(height, np.concatenate([m for m, _ in levels]), np.concatenate([v for _, v in levels]))
 
     def child(self, cells: np.ndarray, quadrants: np.ndarray) -> np.ndarray:
-        """Places of the given quadrants (2 * lower half + right half); -1 where a quadrant is empty or the cell is -1."""
-        masks = np.where(cells >= 0, self.masks[cells], 0)
-        return np.where((masks >> quadrants) & 1, self.first[cells] + ONES_BELOW[masks, quadrants], -1)
+        """Places of the given quadrants (2 * lower half + right half); -1 where a quadrant is empty or the cell is -1.
 
-    def top(self, cells: np.ndarray) -> np.ndarray:
-        return np.where(cells >= 0, self.maxima[cells], 0)
+        Place -1 is also the last place of the arrays, where an empty cell stands.
+        """
+        masks = self.masks[cells]
+        return np.where((masks >> quadrants) & 1, self.first[cells] + ONES_BELOW[masks, quadrants], -1)
 
     def packed(self) -> bytes:
         """Masks as nibbles, maxima as differences from the cell above."""
-        inner = np.flatnonzero(self.masks)
-        parents = np.repeat(inner, ONES[self.masks[inner]])
-        drops = np.concatenate([self.maxima[:1], self.maxima[parents] - self.maxima[1:]]).astype("<u4")
-        masks = np.concatenate([self.masks, np.zeros(len(self.masks) % 2, np.uint8)])
+        own, maxima = self.masks[:-1], self.maxima[:-1]
+        inner = np.flatnonzero(own)
+        parents = np.repeat(inner, ONES[own[inner]])
+        drops = np.concatenate([maxima[:1], maxima[parents] - maxima[1:]]).astype("<u4")
+        masks = np.append(own, np.zeros(len(own) % 2, np.uint8))
         planes = drops.view(np.uint8).reshape(-1, 4).T  # equal places of all numbers together
-        body = struct.pack("<II", self.height, len(self.masks)) + (masks[::2] | masks[1::2] << np.uint8(4)).tobytes() + planes.tobytes()
+        body = struct.pack("<II", self.height, len(own)) + (masks[::2] | masks[1::2] << np.uint8(4)).tobytes() + planes.tobytes()
         return zstandard.compress(body, 3)
 
     @classmethod
@@ -76,15 +78,15 @@ class Treap:
         masks = np.empty(2 * len(nibbles), np.uint8)
         masks[::2], masks[1::2] = nibbles & 15, nibbles >> 4
         planes = np.frombuffer(body, np.uint8, 4 * n, 8 + len(nibbles)).reshape(4, n)
-        drops = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-        out = cls(height, masks[:n], drops)
+        maxima = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        masks = masks[:n]
         begin, end = 0, 1
         while end < n:  # a level's maxima follow from the level above
-            many = ONES[out.masks[begin:end]]
+            many = ONES[masks[begin:end]]
             size = int(many.sum(dtype=np.int64))
-            drops[end : end + size] = np.repeat(drops[begin:end], many) - drops[end : end + size]
+            maxima[end : end + size] = np.repeat(maxima[begin:end], many) - maxima[end : end + size]
             begin, end = end, end + size
-        return out
+        return cls(height, masks, maxima)
 
     def best_columns(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int = 1, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """Columns with the ``k`` largest weighted sums over ``rows``, and the sums: largest first, equal ones by column.
@@ -92,10 +94,16 @@ class Treap:
         A range of columns is bounded by the weighted maxima of its cells in each row's path. The best ranges are halved first, many
         at a time, until no range left can reach the k-th sum. Sums below ``least`` are not looked for.
         """
-        found, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        exact = int(self.maxima[0]) * int(weights.sum()) < 1 << 53  # then sums are whole numbers in doubles too, and faster
+        kind = np.float64 if exact else np.int64
+        maxima, weights = self.maxima, weights.astype(kind)
+        sum_of = lambda cells: maxima[cells].astype(kind) @ weights
+        lower = [2 * ((rows >> (self.height - 1 - d)) & 1) for d in range(self.height)]
+        lower = np.stack(lower).astype(np.uint8)
+        found, sums = np.empty(0, np.int64), np.empty(0, kind)
         cells = np.zeros((1, len(rows)), np.int64)
         at, depth = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        bounds = (self.top(cells) * weights).sum(axis=1)
+        bounds = sum_of(cells)
         while len(bounds):
             keep = bounds >= least
             if not keep.all():
@@ -107,12 +115,11 @@ class Treap:
                 now, later = order[:batch], order[batch:]
             else:
                 now, later = np.arange(len(bounds)), np.empty(0, np.int64)
-            lower = (rows[None, :] >> (self.height - 1 - depth[now])[:, None]) & 1
-            halves = [self.child(cells[now], 2 * lower + right) for right in (0, 1)]
-            new_cells = np.concatenate(halves)
-            new_bounds = (self.top(new_cells) * weights).sum(axis=1)
+            left = lower[depth[now]]
+            new_cells = np.concatenate([self.child(cells[now], left), self.child(cells[now], left + np.uint8(1))])
+            new_bounds = sum_of(new_cells)
             new_at = np.concatenate([2 * at[now], 2 * at[now] + 1])
-            new_depth = np.concatenate([depth[now], depth[now]]) + 1
+            new_depth = np.tile(depth[now] + 1, 2)
             possible = new_bounds >= least
             done = possible & (new_depth == self.height)
             if done.any():
@@ -125,4 +132,4 @@ class Treap:
             bounds, at, depth, cells = (
                 np.concatenate([old[later], new[more]]) for old, new in ((bounds, new_bounds), (at, new_at), (depth, new_depth), (cells, new_cells))
             )
-        return found, sums
+        return found, sums.astype(np.int64)
