@@ -34,7 +34,7 @@ def join_12(spark, sf):
         SELECT * FROM r UNION ALL SELECT case_id, os_path, 0, window_start, window_end - window_start FROM v_windows WHERE window_start < window_end AND os_path NOT IN (SELECT os_path FROM r)""",
 )
 def win_3(spark, sf):
-    return ranges.coalesce_ranges(view(spark, sf, "v_runs"), view(spark, sf, "v_windows"))
+    return ranges.coalesce_ranges(view(spark, sf, "v_runs"), view(spark, sf, "v_windows"), width=2_000)
 
 
 @query(
@@ -47,7 +47,7 @@ def win_3(spark, sf):
         FROM i GROUP BY case_id, os_path, run""",
 )
 def win_4(spark, sf):
-    return ranges.build_runs(view(spark, sf, "v_runs"))
+    return ranges.build_runs(view(spark, sf, "v_runs"), width=2_000)
 
 
 @query(
@@ -84,7 +84,7 @@ def win_6(spark, sf):
     entries = read(spark, sf, "lineitem").groupBy("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")).agg(
         F.max(F.col("l_quantity").cast("bigint") - 5).alias("length")
     )
-    return ranges.pack_offsets(entries, ["l_suppkey"])
+    return ranges.pack_offsets(entries, ["l_suppkey"], width=10_000)
 
 
 @query(

@@ -55,7 +55,7 @@ def read_split_lines(spark: SparkSession, path: str, case_id: Column | None = No
     )
 
 
-def merge_continuations(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def merge_continuations(lines: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Join white-space-led lines to the record before them.
 
     Blank lines vanish first. The first kept line of a file opens a record even when it is indented.
@@ -108,7 +108,7 @@ def bash_marker(line: Column) -> Column:
     return time.unix_s_text(F.when(line.rlike(r"^#\d+$"), F.substring(line, F.lit(2), F.char_length(line)).try_cast("bigint")))
 
 
-def attach_pending_time(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def attach_pending_time(lines: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Commands of shell-history lines with the time that applies to each.
 
     A marker line sets the pending time; the next command without its own time consumes it.
@@ -139,7 +139,7 @@ def attach_pending_time(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFra
     )
 
 
-def shell_rows(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def shell_rows(lines: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     out = attach_pending_time(lines, width)
     return out.select(
         "case_id",
@@ -152,7 +152,7 @@ def shell_rows(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     )
 
 
-def parse_shell_history(files: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def parse_shell_history(files: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Shell-history rows of history files; bytes are taken as UTF-8, bad sequences replaced."""
     lines = explode_lines(files, text.utf8_lossy(F.col("content")), *FILE_KEYS)
     return shell_rows(lines, width)

@@ -373,7 +373,7 @@ RECORD_COLUMNS = (
 )
 
 
-def parse_mplog_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def parse_mplog_lines(lines: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Records of numbered lines that already carry encoding, decode_lossy and source_sha256."""
     parsed = annotate(merge_continuations(lines, width)).withColumns(
         {"data_type": F.lit("windows:defender:mplog:line"), "source_file": F.col("os_path")}
@@ -381,6 +381,6 @@ def parse_mplog_lines(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame
     return parsed.select("case_id", *RECORD_COLUMNS)
 
 
-def parse_mplog(files: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def parse_mplog(files: DataFrame, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     hashed = files.withColumn("source_sha256", sha256_hex(F.col("content")))
     return parse_mplog_lines(read_lines(hashed, "source_sha256"), width)

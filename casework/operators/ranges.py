@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casework.operators.ordered import DEFAULT_WIDTH, Carry, carry_forward, lagged
+from casework.operators.ordered import DEFAULT_WIDTH, Carry, carry_forward, scan
 
 STREAM_KEYS = ("case_id", "os_path")
+BEHIND_ALL = (1 << 63) - 1
 
 
 def _number(c: Column) -> Column:
@@ -60,55 +61,46 @@ def clip_ranges(runs: DataFrame, windows: DataFrame, keys: Sequence[str] = STREA
 
 
 def coalesce_ranges(
-    runs: DataFrame, windows: DataFrame, keys: Sequence[str] = STREAM_KEYS, width: int = DEFAULT_WIDTH
+    runs: DataFrame, windows: DataFrame, keys: Sequence[str] = STREAM_KEYS, width: int | None = DEFAULT_WIDTH
 ) -> DataFrame:
     """Contiguous ranges to read: clipped dense runs in listed order, joined where they touch.
 
-    A stream with no usable run falls back to its whole window.
+    A stream with no usable run falls back to its whole window, which stands behind all runs and is dropped where a row precedes it.
     """
     keys = list(keys)
-    clipped = lagged(clip_ranges(runs, windows, keys), keys, "seq", {"__end": F.col("end")}, width)
+    whole = windows.where(F.col("window_start") < F.col("window_end")).select(
+        *keys, F.lit(BEHIND_ALL).alias("seq"), F.col("window_start").alias("start"), F.col("window_end").alias("end")
+    )
+    listed = clip_ranges(runs, windows, keys).unionByName(whole)
     gap = F.when(F.col("__end").eqNullSafe(F.col("start")), 0).otherwise(1)
-    islands = carry_forward(clipped, keys, "seq", {"__island": Carry("sum", gap, inclusive=True)}, width)
-    merged = islands.groupBy(*keys, "__island").agg(
+    islands = scan(
+        listed, keys, "seq", {"__end": F.col("end")},
+        {"__island": Carry("sum", gap, inclusive=True), "__before": Carry("sum", F.lit(1))}, width,
+    )
+    used = islands.where((F.col("seq") != BEHIND_ALL) | (F.col("__before") == 0))
+    return used.groupBy(*keys, "__island").agg(
         F.min("seq").alias("seq"), F.min_by("start", "seq").alias("start"),
         F.sum(F.col("end") - F.col("start")).alias("length"),
-    )
-    covered = merged.select(*keys).distinct()
-    whole = windows.join(covered, keys, "left_anti").where(F.col("window_start") < F.col("window_end")).select(
-        *keys,
-        F.lit(0).cast("bigint").alias("seq"),
-        F.col("window_start").alias("start"),
-        (F.col("window_end") - F.col("window_start")).alias("length"),
-    )
-    return merged.select(*keys, "seq", "start", "length").unionByName(whole)
+    ).select(*keys, F.when(F.col("seq") == BEHIND_ALL, 0).otherwise(F.col("seq")).alias("seq"), "start", "length")
 
 
-def build_runs(extents: DataFrame, keys: Sequence[str] = STREAM_KEYS, width: int = DEFAULT_WIDTH) -> DataFrame:
+def build_runs(extents: DataFrame, keys: Sequence[str] = STREAM_KEYS, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Data runs of listed extents: neighbours join when contiguous in the stream and on the volume.
 
     Two extents without a volume offset count as contiguous there; one with and one without do not.
     """
     keys = list(keys)
-    prev = lagged(
-        extents,
-        keys,
-        "seq",
-        {
-            "__end": F.col("logical_offset") + F.col("length"),
-            "__sparse": F.col("sparse"),
-            "__vend": F.col("volume_offset") + F.col("length"),
-        },
-        width,
-    )
+    before = {
+        "__end": F.col("logical_offset") + F.col("length"),
+        "__sparse": F.col("sparse"),
+        "__vend": F.col("volume_offset") + F.col("length"),
+    }
     joins = (
         F.col("__end").eqNullSafe(F.col("logical_offset"))
         & F.col("__sparse").eqNullSafe(F.col("sparse"))
         & F.col("__vend").eqNullSafe(F.col("volume_offset"))
     )
-    runs = carry_forward(
-        prev, keys, "seq", {"__run": Carry("sum", F.when(joins, 0).otherwise(1), inclusive=True)}, width
-    )
+    runs = scan(extents, keys, "seq", before, {"__run": Carry("sum", F.when(joins, 0).otherwise(1), inclusive=True)}, width)
     return runs.groupBy(*keys, "__run").agg(
         F.min("seq").alias("seq"),
         F.min_by("logical_offset", "seq").alias("logical_offset"),
@@ -118,7 +110,7 @@ def build_runs(extents: DataFrame, keys: Sequence[str] = STREAM_KEYS, width: int
     ).drop("__run")
 
 
-def pack_offsets(entries: DataFrame, keys: Sequence[str], seq: str = "seq", width: int = DEFAULT_WIDTH) -> DataFrame:
+def pack_offsets(entries: DataFrame, keys: Sequence[str], seq: str = "seq", width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Offset of every packed entry: the running total of the lengths before it; empty entries skipped."""
     return carry_forward(
         entries.where(F.col("length") > 0), list(keys), seq, {"offset_in_pack": Carry("sum", F.col("length"))}, width

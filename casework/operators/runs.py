@@ -92,7 +92,7 @@ def manifest_entries(
 
 def counter_rate(
     samples: DataFrame, keys: Sequence[str], at: str, counter: str, seconds: str, volume: str = "volume",
-    target: str | None = None, width: int = DEFAULT_WIDTH,
+    target: str | None = None, width: int | None = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Bytes per second at each sample, over all volumes or one.
 
@@ -116,7 +116,7 @@ def counter_rate(
 
 
 def busy_fraction(
-    samples: DataFrame, keys: Sequence[str], at: str, idle: str, kernel: str, user: str, width: int = DEFAULT_WIDTH
+    samples: DataFrame, keys: Sequence[str], at: str, idle: str, kernel: str, user: str, width: int | None = DEFAULT_WIDTH
 ) -> DataFrame:
     """Share of non-idle time since the previous sample, within [0, 1]; null when no time passed."""
     total = F.col(kernel) + F.col(user)
@@ -131,7 +131,7 @@ def busy_fraction(
 
 def progress(
     events: DataFrame, keys: Sequence[str], order: str, seconds: str, total: str, finished: Column,
-    width: int = DEFAULT_WIDTH,
+    width: int | None = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Completed plans, share, rate and remaining time at every event of a run.
 
@@ -212,7 +212,7 @@ def fold_plan_state(events: DataFrame, run: str = "run_id", seq: str = "seq") ->
 
 
 def collector_progress(
-    events: DataFrame, keys: Sequence[str], order: str, total: Column, width: int = DEFAULT_WIDTH
+    events: DataFrame, keys: Sequence[str], order: str, total: Column, width: int | None = DEFAULT_WIDTH
 ) -> DataFrame:
     """Share done of a collector at each of its events: finished jobs plus the running one's part."""
     done = carry_forward(

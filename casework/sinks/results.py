@@ -47,7 +47,7 @@ def with_provenance(df: DataFrame, parser: Column, artifact: Column, package: Co
     )
 
 
-def batch_ids(df: DataFrame, keys: Sequence[str], order: str, batch_size: int = BULK_BATCH, width: int = DEFAULT_WIDTH) -> DataFrame:
+def batch_ids(df: DataFrame, keys: Sequence[str], order: str, batch_size: int = BULK_BATCH, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Add ``batch_no``: every ``batch_size`` consecutive records of an output, never fewer than one."""
     size = max(batch_size, 1)
     ranked = numbered(df, keys, order, "__rn", width)
@@ -56,7 +56,7 @@ def batch_ids(df: DataFrame, keys: Sequence[str], order: str, batch_size: int =
 
 def bulk_batches(
     df: DataFrame, keys: Sequence[str], order: str, document: Column, batch_size: int = BULK_BATCH,
-    width: int = DEFAULT_WIDTH,
+    width: int | None = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Bulk payloads: an action line and a document line per record; a group is one batch, so bounded."""
     rows = batch_ids(df.withColumn("__doc", document), keys, order, batch_size, width)

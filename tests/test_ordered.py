@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casework.operators import lines, ranges
-from casework.operators.ordered import Carry, carry_forward, first_by, lagged, numbered
+from casework.operators import lines, ordered, ranges
+from casework.operators.ordered import Carry, carry_forward, cut_points, first_by, lagged, numbered, scan
 
 
 def rows_of(seed=1, n=400):
@@ -46,6 +46,52 @@ def test_lag_and_rank(spark):
         prev[k] = o
 
 
+def islands(rows, gap):
+    """Rows with the row before and the number of the stretch they lie in, by a loop."""
+    out, last, island = {}, {}, {}
+    for k, o, v in sorted(rows, key=lambda r: r[1]):
+        before = last.get(k)
+        island[k] = island.get(k, 0) + (before is None or o - before[0] > gap)
+        out[k, o] = (before[0] if before else None, before[1] if before else None, island[k])
+        last[k] = (o, v)
+    return out
+
+
+@pytest.mark.parametrize("spacing", [1, 10**9])
+@pytest.mark.parametrize("width", [None, 1, 3, 40, 1000])
+def test_a_sum_may_depend_on_the_row_before(spark, spacing, width):
+    """Lag and islands in one scan, whether positions are dense or 10 ** 9 apart."""
+    rows = [(k, o * spacing, v) for k, o, v in rows_of(3)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint").repartition(5)
+    starts = F.when(F.col("po").isNull() | (F.col("o") - F.col("po") > 9 * spacing), 1).otherwise(0)
+    out = scan(df, ["k"], "o", {"po": F.col("o"), "pv": F.col("v")}, {"island": Carry("sum", starts, True)}, width)
+    assert {(r.k, r.o): (r.po, r.pv, r.island) for r in out.collect()} == islands(rows, 9 * spacing)
+
+
+@pytest.mark.parametrize("spacing", [1, 10**9, 10**13])
+def test_chunks_hold_about_equally_many_rows_whatever_the_gaps(spark, spacing):
+    n, width = 40_000, 2_000
+    df = spark.range(n).select((F.col("id") * spacing + F.when(F.col("id") > n // 2, 5 * 10**17).otherwise(0)).alias("o"))
+    cuts = [o for _, o in cut_points(df, n, F.lit(1).cast("bigint"), "o", width)]
+    places = sorted((o - (5 * 10**17 if o > 5 * 10**17 else 0)) // spacing for o in cuts)
+    sizes = [b - a for a, b in zip([0, *places], [*places, n])]
+    assert len(sizes) == n // width and max(sizes) < 2 * width
+
+
+def test_a_scan_shuffles_rows_once_and_states_in_addition(spark):
+    df = spark.createDataFrame(rows_of(4, 800), "k string, o bigint, v bigint")
+    out = scan(df, ["k"], "o", {"p": F.col("v")}, {"n": Carry("sum", F.when(F.col("p").isNull(), 1).otherwise(0), True), "m": Carry("max", F.col("v"))}, 50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hash" in line for line in plan.splitlines()) == 3  # rows, rows of divided sequences, one state per chunk
+
+
+def test_scan_of_nothing_and_without_keys(spark):
+    df = spark.createDataFrame([], "k string, o bigint, v bigint")
+    assert numbered(df, ["k"], "o").count() == 0
+    one = spark.range(300).select((F.col("id") * 7).alias("o"))
+    assert {r.o: r.rn for r in numbered(one, [], "o", width=11).collect()} == {7 * i: i + 1 for i in range(300)}
+
+
 def test_first_by(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
     assert sorted(tuple(r) for r in first_by(df, ["k"], F.col("o")).collect()) == [("a", 1, "y"), ("b", 3, None)]
@@ -114,6 +160,36 @@ def test_coalesce_ranges(spark, width):
     assert [(r.start, r.length) for r in whole] == [(500, 100)]
 
 
+def test_coalesce_and_runs_exchange_four_times(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 20)
+    many = runs_df(spark, [(i * 10 + 5 * (i % 7 == 0), 10, i % 5 == 0, None if i % 3 else i) for i in range(200)])
+    for df in (ranges.coalesce_ranges(many, windows_df(spark, 55, 1500)), ranges.build_runs(many)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hash" in line for line in plan.splitlines()) == 4
+
+
+def test_ranges_over_many_chunks_equal_a_loop(spark, monkeypatch):
+    r = random.Random(6)
+    at, runs = 0, []
+    for _ in range(300):
+        at += r.choice([0, 0, 0, 64])
+        runs.append((at, r.choice([0, 32, 64]), r.random() < 0.2, None))
+        at += runs[-1][1]
+    want, end = [], None
+    for o, n, sparse, _ in runs:
+        a, b = max(o, 500), min(o + n, 9000)
+        if sparse or n == 0 or a >= b:
+            continue
+        if a == end:
+            want[-1][1] += b - a
+        else:
+            want.append([a, b - a])
+        end = b
+    for width in (1, 13, None):
+        got = ranges.coalesce_ranges(runs_df(spark, runs), windows_df(spark, 500, 9000), width=width).collect()
+        assert sorted([x.start, x.length] for x in got) == sorted(want)
+
+
 @pytest.mark.parametrize("width", [1, 100])
 def test_build_runs(spark, width):
     extents = [(0, 10, False, 100), (10, 10, False, 110), (20, 10, False, 500), (30, 10, True, None), (40, 10, True, None), (50, 10, False, None)]
