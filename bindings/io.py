@@ -22,7 +22,7 @@ from casework.operators.browser import timeline_activity
 from casework.plans import decoders, parse
 from casework.session import shared_dir
 from casework.sinks import results
-from casework.sources import files as src, records, sqlite
+from casework.sources import files as src, records, sqlite, textlines
 from casework.streaming import events as ev, landing
 
 
@@ -82,6 +82,23 @@ def src_2(spark, sf):
     return src.read_tree(spark, folder).select("case_id", "archive_path", "volume", "size", F.sha2("content", 256).alias("sha256"))
 
 
+@query(
+    "src_4_split_lines",
+    """WITH f AS (SELECT source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY source),
+        l AS (SELECT source, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no, len(string_split(body, chr(10))) AS n FROM f)
+        SELECT source, line_no, md5(line) AS line_md5, 'utf-8' AS encoding, false AS decode_lossy FROM l WHERE line_no < n""",
+)
+def src_4_split(spark, sf):
+    """All texts of a source as one file, read in pieces of 64 KiB."""
+    docs = read(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    folder = shared_dir(spark, "texts")
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(folder)
+    tree = src.read_tree(spark, folder, glob="part-*", with_content=False)
+    files = tree.select(F.substring_index("case_id", "=", -1).alias("case_id"), "os_path", F.col("os_path").alias("path"), "size")
+    lines, _ = textlines.scan_text(files, piece=65_536)
+    return lines.select(F.col("case_id").alias("source"), "line_no", F.md5("line").alias("line_md5"), "encoding", "decode_lossy")
+
+
 def _databases(spark, sf):
     """An activity database per hundred events, as files."""
 

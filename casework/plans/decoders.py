@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casework.operators import artifacts, browser, lines, mplog
-from casework.sources import sqlite
+from casework.sources import sqlite, textlines
 
 Decoder = Callable[[DataFrame], DataFrame]
 _DECODERS: dict[str, Decoder] = {}
 _PROBLEMS: dict[str, Decoder] = {}
+_LINES: dict[str, tuple[Decoder, str | None, bool]] = {}
 
 
 class UnknownDecoder(KeyError):
@@ -37,6 +38,27 @@ def register_table_function(spark: SparkSession, name: str, fn, schema: str) ->
     spark.udtf.register(name, F.udtf(handler, returnType=schema, useArrow=True))
 
 
+def register_lines(name: str, decoder: Decoder, encoding: str | None = None, hashed: bool = False) -> None:
+    """Register what turns numbered lines (of ``scan_text``) into the rows of an artifact, for files too large for one cell.
+
+    ``encoding`` is what its files are taken for; ``hashed`` says that the lines need ``source_sha256`` of their file.
+    """
+    _LINES[name] = (decoder, encoding, hashed)
+
+
+def has_lines(name: str) -> bool:
+    return name in _LINES
+
+
+def decode_text(files: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and problems of line-based files (case_id, os_path, path, size) of any size; each file is read by many tasks."""
+    decoder, encoding, hashed = _LINES[name]
+    lines_, problems_ = textlines.scan_text(files, encoding=encoding)
+    if hashed:  # one row per file that is larger than a cell
+        lines_ = lines_.join(F.broadcast(textlines.hash_files(files)), ["case_id", "os_path"])
+    return decoder(lines_), problems_
+
+
 def decode(files: DataFrame, name: str) -> DataFrame:
     if name not in _DECODERS:
         raise UnknownDecoder(f"no decoder registered for {name}")
@@ -110,3 +132,5 @@ for _artifact, _tables in {
     register_problems(_artifact, _unread(_tables))
 register_problems("Windows.RecycleBin.Info2", lambda files: artifacts.split_errors(artifacts.decode_info2(files))[1])
 register_problems("Windows.Forensics.RestorePoint.Log", lambda files: artifacts.split_errors(artifacts.decode_rp_log(files))[1])
+register_lines("Windows.Defender.MPLog", mplog.parse_mplog_lines, hashed=True)
+register_lines("Linux.Shell.History", lines.shell_rows, encoding="utf-8-lossy")

@@ -12,7 +12,7 @@ from casework.operators import runs, usn
 from casework.operators.detect import build_plans, detect, select_plans
 from casework.plans import decoders
 from casework.sinks.results import write_manifest
-from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks
+from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks, spread
 
 USN_ARTIFACT = "Windows.NTFS.UsnJournal.RawStream"
 CELL = 1 << 30
@@ -91,8 +91,21 @@ def extract_members(members: DataFrame, folder: str) -> DataFrame:
         finally:
             packages.close()
 
-    spread = members.repartition("package", "member_no").sortWithinPartitions("package", "member_no")
-    return spread.mapInArrow(copy, "case_id string, archive_path string, size bigint, os_path string, error string")
+    dealt = spread(members, "package", "member_no").sortWithinPartitions("package", "member_no")
+    return dealt.mapInArrow(copy, "case_id string, archive_path string, size bigint, os_path string, error string")
+
+
+def large_text(spark: SparkSession, members: DataFrame, artifact: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of line-based members beyond one cell, and (case_id, os_path, error) of them all.
+
+    A compressed member cannot be read from its middle, so it is copied to the shared folder first.
+    """
+    extract_members(members, f"{folder}/files").write.mode("overwrite").parquet(f"{folder}/listing")
+    copies = spark.read.parquet(f"{folder}/listing")
+    named = copies.select("case_id", F.col("archive_path").alias("os_path"), F.col("os_path").alias("path"), "size", "error")
+    rows, problems = decoders.decode_text(named.where(F.col("error").isNull()).drop("error"), artifact)
+    known = named.join(problems.withColumnRenamed("error", "unread"), ["case_id", "os_path"], "left")
+    return rows, known.select("case_id", "os_path", F.coalesce("error", "unread").alias("error"))
 
 
 def parse_members(
@@ -100,6 +113,7 @@ def parse_members(
 ) -> DataFrame:
     """Decode all detected artifacts of listed members into ``out``; returns the manifest entries.
 
+    A member beyond one cell is read by the line source where its artifact is made of lines; else it is such a member too.
     The listing is stored once. Members are classified from their names; only those a decoder wants are opened, once, into
     ``scratch``. Each artifact is written on its own. A member that cannot be read, or not decoded, goes to
     ``out``/diagnostics; its plan gets an error entry in its own case only, and all other rows stay. A package that cannot
@@ -129,10 +143,15 @@ def parse_members(
                 rows, problems = usn.parse_usn(sidecars, opened.where(F.col("error").isNull()))
                 problems = problems.select("case_id", "os_path", F.col("problem").alias("error"))
             elif artifact in decoders.registered():
-                contents(mine, cell).write.mode("overwrite").parquet(f"{scratch}/contents/{artifact}")
+                large = mine.where((F.col("size") > cell) & F.lit(decoders.has_lines(artifact)))
+                contents(mine.where(F.col("size") <= cell) if decoders.has_lines(artifact) else mine, cell).write.mode("overwrite").parquet(f"{scratch}/contents/{artifact}")
                 opened = spark.read.parquet(f"{scratch}/contents/{artifact}")
                 readable = opened.where(F.col("error").isNull()).drop("error")
                 rows, problems = decoders.decode(readable, artifact), decoders.problems(readable, artifact)
+                opened = opened.select("case_id", "os_path", "error")
+                if not large.isEmpty():
+                    more, unread = large_text(spark, large, artifact, f"{scratch}/large/{artifact}")
+                    rows, opened = rows.unionByName(more), opened.unionByName(unread)
             else:
                 continue  # decoded elsewhere; its lines join through union_results
             target = f"{out}/{family}/{artifact}"

@@ -133,6 +133,11 @@ def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Small rows that stand for much reading, dealt to all shuffle partitions: without a number Spark would merge them by their own size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def list_packages(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     """Members of every zip below ``path``; only the central directories are read.
 
@@ -224,8 +229,8 @@ _HASHES = pa.schema([("package", pa.string()), ("archive_path", pa.string()), ("
 
 def hash_members(members: DataFrame) -> DataFrame:
     """SHA-256 of listed members of any size, read piece by piece: (package, archive_path, size, status, sha256)."""
-    spread = members.where(F.col("status") == "ok").repartition("package", "member_no").sortWithinPartitions("package", "member_no")
-    return spread.mapInArrow(_hash_members, "package string, archive_path string, size bigint, status string, sha256 string")
+    dealt = spread(members.where(F.col("status") == "ok"), "package", "member_no").sortWithinPartitions("package", "member_no")
+    return dealt.mapInArrow(_hash_members, "package string, archive_path string, size bigint, status string, sha256 string")
 
 
 def read_member_chunks(members: DataFrame, chunk_bytes: int = 64 * CHUNK) -> DataFrame:
@@ -236,8 +241,8 @@ def read_member_chunks(members: DataFrame, chunk_bytes: int = 64 * CHUNK) -> Dat
     to its end has a last row without content whose status says why; the others are not affected.
     """
     wanted = members.where(F.col("status") == "ok")
-    spread = wanted.repartition(F.col("package"), F.col("member_no")).sortWithinPartitions("package", "member_no")
-    return spread.mapInArrow(_member_reader(chunk_bytes), FILES_DDL)
+    dealt = spread(wanted, "package", "member_no").sortWithinPartitions("package", "member_no")
+    return dealt.mapInArrow(_member_reader(chunk_bytes), FILES_DDL)
 
 
 class RejectedMember(ValueError):
@@ -322,4 +327,4 @@ def read_ranges(ranges: DataFrame, piece: int = 64 * CHUNK) -> DataFrame:
         (F.col("start") + F.col("__at")).alias("start"),
         F.least(F.lit(piece).cast("bigint"), F.col("length") - F.col("__at")).alias("length"),
     )
-    return pieces.repartition("os_path", "start").mapInArrow(_read_ranges, _RANGE_DDL)
+    return spread(pieces, "os_path", "start").mapInArrow(_read_ranges, _RANGE_DDL)

@@ -210,16 +210,40 @@ def test_one_damaged_member_stays_alone(spark, tmp_path):
 
 def test_members_larger_than_a_cell_are_reported_and_hashed(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
-        z.writestr("C/S/MPLog-1.log", "2026-01-01T00:00:00 Engine: x\n" * 100)
+        z.writestr("C/RECYCLER/S-1-5-1/INFO2", b"x" * 3000)
     members = src.list_packages(spark, str(tmp_path))
     entries = parse.parse_members(spark, members, str(tmp_path / "out"), str(tmp_path / "scratch"), cell=1000).collect()
-    assert [(r.status, r.error) for r in entries if r.parser == "windows_mplogs"] == [("error", "larger than one cell: 3000 bytes")]
-    digest = hashlib.sha256(b"2026-01-01T00:00:00 Engine: x\n" * 100).hexdigest()
+    assert [(r.status, r.error) for r in entries if r.parser == "windows_recycle_bin_info2"] == [("error", "larger than one cell: 3000 bytes")]
+    digest = hashlib.sha256(b"x" * 3000).hexdigest()
     hashed = src.hash_members(members).withColumn("case_id", F.lit("c"))
-    manifest = spark.createDataFrame([("c", "C/S/MPLog-1.log", digest)], "case_id string, archive_path string, sha256 string")
+    manifest = spark.createDataFrame([("c", "C/RECYCLER/S-1-5-1/INFO2", digest)], "case_id string, archive_path string, sha256 string")
     assert [r.status for r in inv.verify_hashes(hashed, manifest).collect()] == ["ok"]
 
 
+def test_line_based_members_larger_than_a_cell_give_the_same_rows(spark, tmp_path):
+    """Logs and histories beyond one cell are read by pieces; a damaged one has an error and no rows."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    log = "".join(f"2026-01-01T00:00:{i % 60:02d} Engine: scan {i} path=C:\\\\f{i}\n" + "  more, indented\n" * (i % 3) for i in range(400))
+    with zipfile.ZipFile(folder / "one.zip", "w") as z:
+        z.writestr("C/S/MPLog-1.log", b"\xff\xfe" + log.encode("utf-16-le"))
+        z.writestr("C/S/MPLog-2.log", log)
+        z.writestr("home/bob/.bash_history", "#1714929600\nls \xff\n" * 300)
+        z.writestr("home/al/.bash_history", "#1714929600\nls\n")
+    with zipfile.ZipFile(folder / "two.zip", "w") as z:
+        z.writestr("C/S/MPLog-1.log", log)
+    raw = bytearray((folder / "two.zip").read_bytes())
+    raw[3000] ^= 1
+    (folder / "two.zip").write_bytes(raw)
+    results = {}
+    for name, cell in (("whole", 1 << 30), ("cut", 1000)):
+        out = str(tmp_path / name)
+        entries = parse.parse_members(spark, src.list_packages(spark, str(folder)), out, f"{out}-scratch", cell=cell).collect()
+        rows = [sorted(map(repr, spark.read.json(f"{out}/{p}").collect())) for p in ("windows_mplogs/Windows.Defender.MPLog", "linux_shell_history/Linux.Shell.History")]
+        results[name] = (sorted((r.case_id, r.parser, r.status, r.records) for r in entries if r.status != "skipped"), rows)
+    assert results["cut"] == results["whole"] and ("two", "windows_mplogs", "error", None) in results["cut"][0]
+
+
 def test_unsupported_scheme_is_loud():
     with pytest.raises(src.UnsupportedScheme):
         src.located("wasb://container/x.zip")
