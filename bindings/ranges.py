@@ -214,7 +214,7 @@ def _stream_ranges(spark, sf):
 
 @query("usn_1_record_split", USN_SQL)
 def usn_1(spark, sf):
-    records, _ = usn.split_usn(_stream_ranges(spark, sf))
+    records, _ = usn.split_usn(_stream_ranges(spark, sf), piece=usn.CHUNK)
     return _usn_output(usn.usn_rows(usn.decode_usn(records)))
 
 
@@ -223,7 +223,7 @@ def usn_1(spark, sf):
     "SELECT CAST(s AS BIGINT) AS stream, problem, amount FROM (SELECT DISTINCT event_id // 400 AS s FROM events), (VALUES ('zero_padding', 512), ('trailing', 12)) p(problem, amount)",
 )
 def usn_1b(spark, sf):
-    _, problems = usn.split_usn(_stream_ranges(spark, sf))
+    _, problems = usn.split_usn(_stream_ranges(spark, sf), piece=usn.CHUNK)
     return problems.select(F.regexp_extract("os_path", r"(\d+)\.bin$", 1).cast("bigint").alias("stream"), "problem", "amount")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Generator, Iterator
+from functools import reduce
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -15,7 +16,8 @@ from casework.functions.binary import mirrored_hex, mirrored_uint
 from casework.functions.flags import ATTRIBUTE, REASON, SOURCE, decode_flags
 from casework.operators.ranges import coalesce_ranges, parse_window
 from casework.operators.shape import settled
-from casework.sources.files import CHUNK, open_uri
+from casework.session import shared_dir
+from casework.sources.files import CHUNK, open_uri, spread
 
 FILE_KEYS = ["case_id", "os_path"]
 
@@ -26,12 +28,12 @@ MAX_USED = 2 * 0xFFFF
 _NONZERO = re.compile(rb"[^\x00]")
 
 SPLIT_DDL = (
-    "case_id string, os_path string, seq bigint, kind string, stream_offset bigint, "
+    "case_id string, os_path string, seq bigint, begin bigint, attempt int, kind string, stream_offset bigint, "
     "amount bigint, head_bytes binary"
 )
 _SPLIT = pa.schema(
-    [("case_id", pa.string()), ("os_path", pa.string()), ("seq", pa.int64()), ("kind", pa.string()),
-     ("stream_offset", pa.int64()), ("amount", pa.int64()), ("head_bytes", pa.binary())]
+    [("case_id", pa.string()), ("os_path", pa.string()), ("seq", pa.int64()), ("begin", pa.int64()), ("attempt", pa.int32()),
+     ("kind", pa.string()), ("stream_offset", pa.int64()), ("amount", pa.int64()), ("head_bytes", pa.binary())]
 )
 
 
@@ -146,25 +148,29 @@ def guess_entry(handle: BinaryIO, start: int, length: int, boundary: int) -> int
 
 
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of each listed segment, and one ``segment`` row with its entry and exit."""
+    """Parts of each listed segment, and one ``segment`` row with the entry and exit of its walk."""
     for batch in batches:
         for row in batch.to_pylist():
-            source = (row["case_id"], row["os_path"], row["seq"])
-            start, length, begin, limit = row["start"], row["length"], row["begin"], row["limit"]
+            source = (row["case_id"], row["os_path"], row["seq"], row["begin"], row["attempt"])
+            start, length, begin, limit, entry = row["start"], row["length"], row["begin"], row["limit"], row["entry"]
             rows: list[tuple] = []
+            held = 0
             try:
                 with open_uri(row["os_path"]) as handle:
-                    entry = start if begin == start else guess_entry(handle, start, length, begin)
+                    if entry is None:
+                        entry = start if begin == start else guess_entry(handle, start, length, begin)
                     walk = split_range(handle, start, length, entry, limit)
                     while True:
                         try:
-                            rows.append(source + next(walk))
+                            part = next(walk)
+                            rows.append(source + part)
+                            held += len(part[3] or b"")
                         except StopIteration as finished:
-                            rows.append(source + (f"segment {begin}", entry, finished.value, None))
+                            rows.append(source + ("segment", entry, finished.value, None))
                             break
-                        if len(rows) == 4096:
+                        if len(rows) == 4096 or held > 16 * CHUNK:
                             yield _batch(rows)
-                            rows = []
+                            rows, held = [], 0
             except (OSError, EOFError) as error:
                 rows.append(source + (f"unreadable: {error}", start, length, None))
             yield _batch(rows)
@@ -174,42 +180,84 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SPLIT)], schema=_SPLIT)
 
 
+RANGE = [*FILE_KEYS, "seq"]
+
+
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _walk(segments: DataFrame) -> DataFrame:
-    spread = segments.select(*FILE_KEYS, "seq", "start", "length", "begin", "limit")
-    return spread.repartition("os_path", "begin").mapInArrow(_split_batches, SPLIT_DDL)
+    wanted = segments.select(*RANGE, "start", "length", "begin", "limit", F.col("entry").cast("bigint").alias("entry"), F.col("attempt").cast("int").alias("attempt"))
+    return _kept(spread(wanted, "os_path", "begin").mapInArrow(_split_batches, SPLIT_DDL), "journal-walk")
 
 
-def _whole(ranges: DataFrame) -> DataFrame:
-    return ranges.withColumns({"begin": F.col("start"), "limit": F.col("start") + F.col("length")})
+def _exits(walked: DataFrame) -> DataFrame:
+    return walked.where(F.col("kind") == "segment").select(
+        *RANGE, "begin", "attempt", F.col("stream_offset").alias("entry"), F.col("amount").alias("stop")
+    )
 
 
-def _parts(ranges: DataFrame, piece: int) -> DataFrame:
-    """Parts of all ranges; those longer than ``piece`` are walked by several tasks.
+def compose(marks: DataFrame) -> DataFrame:
+    """What is to be done with each segment, given entry and exit of its last walk: adds ``came``, ``passed`` and ``redo``.
 
-    Each segment of a long range starts at a guessed chain position. The guesses of a range hold when
-    every segment begins where the one before it stopped; otherwise the range is walked in one go.
+    A segment fits when the one before it stopped at its entry. Where all before it fit, the chain stands at a known place: what
+    ends before that place is passed over by one large record. Then the first of any segments that do not fit is to be walked again
+    from where the one before it stopped; what comes behind it may fit then.
+    """
+    along = Window.partitionBy(*RANGE).orderBy("begin")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    came = F.lag("stop").over(along)
+    df = marks.withColumn("fits", came.isNull() | (came == F.col("entry")))
+    df = df.withColumn("sure", F.min("fits").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    df = df.withColumn("known", F.max(F.when(F.col("sure"), F.col("stop"))).over(whole))
+    df = df.withColumn("passed", ~F.col("sure") & (F.col("limit") <= F.col("known")) & (F.col("attempt") >= 0))
+    df = df.withColumns({"entry": F.when(F.col("passed"), F.col("known")).otherwise(F.col("entry")), "stop": F.when(F.col("passed"), F.col("known")).otherwise(F.col("stop"))})
+    df = df.withColumn("came", came).withColumn("fits", F.col("passed") | F.col("came").isNull() | (F.col("came") == F.col("entry")))
+    return df.withColumn("redo", ~F.col("fits") & F.lag("fits").over(along)).drop("fits", "sure", "known")
+
+
+def walk_ranges(ranges: DataFrame, piece: int) -> tuple[DataFrame, DataFrame]:
+    """Parts of all ranges, and their segments with entry, exit and how often each was walked.
+
+    A range longer than ``piece`` is cut into segments. Each is a function from the place where the chain enters it to the place
+    where it leaves, of which a first walk, from a guessed entry, finds one value; all segments are walked side by side. Composing
+    them finds the guesses that were wrong, and only those segments are walked again. Walks are written once; no part is
+    read twice from the stream unless its segment was entered at the wrong place.
     """
-    key = [*FILE_KEYS, "seq"]
-    long = ranges.where(F.col("length") > piece)
     cuts = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1, F.lit(piece).cast("bigint"))
-    segments = long.withColumn("begin", F.explode(cuts)).withColumn(
-        "limit", F.least(F.col("begin") + piece, F.col("start") + F.col("length"))
-    )
-    walked = _walk(segments)
-    marks = walked.where(F.col("kind").startswith("segment ")).select(
-        *key, F.substring_index("kind", " ", -1).cast("bigint").alias("begin"),
-        F.col("stream_offset").alias("entry"), F.col("amount").alias("stop"),
-    )
-    came = F.lag("stop").over(Window.partitionBy(*key).orderBy("begin"))
-    sound = marks.withColumn("fits", came.isNull() | (came == F.col("entry"))).groupBy(*key).agg(
-        F.bool_and("fits").alias("ok"), F.count("*").alias("n")
+    segments = ranges.where(F.col("length") > 0).select(*RANGE, "start", "length", F.explode(cuts).alias("begin")).withColumns(
+        {"limit": F.least(F.col("begin") + piece, F.col("start") + F.col("length")), "entry": F.lit(None), "attempt": F.lit(0)}
     )
-    wanted = segments.groupBy(*key).agg(F.count("*").alias("n"))
-    good = sound.where("ok").join(wanted, [*key, "n"], "left_semi").select(*key)
-    redone = _walk(_whole(long.join(good, key, "left_anti")))
-    short = _walk(_whole(ranges.where((F.col("length") > 0) & (F.col("length") <= piece))))
-    parts = short.unionByName(walked.join(good, key, "left_semi")).unionByName(redone)
-    return parts.where(~F.col("kind").startswith("segment "))
+    walked = [_walk(segments)]
+    failed = walked[0].where(F.col("kind").startswith("unreadable")).select(*RANGE).distinct()
+    places = segments.select(*RANGE, "begin", "start", "length", "limit")
+    marks = _exits(walked[0]).join(places, [*RANGE, "begin"]).withColumn("walks", F.lit(1))
+    broken = not failed.isEmpty()
+    if broken:  # its guesses are void: one walk says how far it can be read
+        marks = marks.join(failed, RANGE, "left_anti")
+    while True:
+        plan = _kept(compose(marks), "journal-segments")
+        if plan.where("redo OR passed").isEmpty():
+            break
+        again = plan.where("redo").withColumns({"entry": F.col("came"), "attempt": F.lit(len(walked))})
+        walked.append(_walk(again))
+        found = _exits(walked[-1]).select(*RANGE, "begin", F.col("entry").alias("e"), F.col("stop").alias("s"), F.col("attempt").alias("a"))
+        marks = plan.join(found, [*RANGE, "begin"], "left").select(
+            *RANGE, "begin", F.when(F.col("passed"), -1).otherwise(F.coalesce("a", "attempt")).alias("attempt"), F.coalesce("e", "entry").alias("entry"),
+            F.coalesce("s", "stop").alias("stop"), "start", "length", "limit", (F.col("walks") + F.when(F.col("redo"), 1).otherwise(0)).alias("walks"),
+        )
+    parts = walked[0]
+    if len(walked) > 1 or not plan.where("attempt < 0").isEmpty():
+        right = plan.select(*RANGE, "begin", "attempt")
+        parts = reduce(DataFrame.unionByName, walked).join(right, [*RANGE, "begin", "attempt"], "left_semi")
+    if broken:
+        whole = segments.where(F.col("begin") == F.col("start")).join(failed, RANGE, "left_semi")
+        redone = _walk(whole.withColumns({"limit": F.col("start") + F.col("length"), "attempt": F.lit(len(walked))}))
+        parts = parts.join(failed, RANGE, "left_anti").unionByName(redone.select(parts.columns))
+    return parts.where(F.col("kind") != "segment"), plan
 
 
 def split_usn(ranges: DataFrame, piece: int = 256 * CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +270,7 @@ def split_usn(ranges: DataFrame, piece: int = 256 * CHUNK) -> tuple[DataFrame, D
         raise ValueError("piece must be a multiple of the read chunk")
     base = F.col("base") if "base" in ranges.columns else F.lit(0).cast("bigint")
     tops = ranges.groupBy(*FILE_KEYS).agg(F.max("seq").alias("__top"), F.max(base).alias("__base"))
-    placed = _parts(ranges, piece).join(tops, FILE_KEYS).withColumn(
+    placed = walk_ranges(ranges, piece)[0].join(tops, FILE_KEYS).withColumn(
         "record_offset", F.col("stream_offset") + F.coalesce("__base", F.lit(0))
     )
     records = placed.where(F.col("kind") == "record").select(

@@ -94,6 +94,57 @@ def test_wrong_guess_falls_back_to_one_walk(spark, tmp_path):
     assert [r.file_name for r in rows] == ["example.txt", "outer", "last"] and problems == []
 
 
+def walks(spark, path, piece=CHUNK):
+    """(records, how often each segment was walked) of one stream."""
+    parts, segments = usn.walk_ranges(ranges_df(spark, path, [(0, path.stat().st_size)]), piece)
+    return parts.where("kind = 'record'").count(), [r.walks for r in segments.orderBy("begin").collect()]
+
+
+def test_each_byte_is_walked_once_and_a_segment_again_per_wrong_guess(spark, tmp_path):
+    path = tmp_path / "j.bin"
+    path.write_bytes(record("n" * 40) * (6 * CHUNK // len(record("n" * 40))))
+    n, walked = walks(spark, path)
+    assert walked == [1] * 6 and n == path.stat().st_size // len(record("n" * 40))
+    # records inside a record, ending anywhere but on its end: two segments are entered at wrong places, the rest is right
+    decoy, filler = record("inner"), record("f" * 30)
+    outer = record("outer", size=65_528)
+    trap = outer[:256] + (decoy * (65_000 // len(decoy)))[: 65_528 - 256 - 8] + bytes(8)
+    out = bytearray()
+    for k in range(6):
+        while len(out) < (k + 1) * CHUNK - 30_000:
+            out += filler
+        if k in (1, 3):
+            out += trap
+    path.write_bytes(bytes(out))
+    n, walked = walks(spark, path)
+    whole = list(usn.split_range(path.open("rb"), 0, len(out)))
+    assert n == sum(p[0] == "record" for p in whole)
+    assert sum(walked) <= len(walked) + 2 and walked[0] == 1
+
+
+def test_segments_inside_one_large_record_are_passed_over(spark, tmp_path):
+    path = tmp_path / "j.bin"
+    inner = record("inner")
+    huge = record("outer", size=5 * CHUNK + 8)
+    body = huge[:4096] + (inner * (5 * CHUNK // len(inner)))[: 5 * CHUNK + 8 - 4096]
+    path.write_bytes(record() + body + record("last") * 10)
+    n, walked = walks(spark, path)
+    assert n == 12 and walked == [1, 1, 1, 1, 1, 2]
+
+
+def test_one_short_stream_leaves_others_whole(spark, tmp_path):
+    good, short = tmp_path / "good.bin", tmp_path / "short.bin"
+    good.write_bytes(journal(3, 2 * CHUNK))
+    short.write_bytes(record() * 3)
+    rows = [("a", str(good), 0, 0, good.stat().st_size, 0), ("b", str(short), 0, 0, 3 * CHUNK, 0), ("c", str(tmp_path / "none"), 0, 0, 50, 0)]
+    df = spark.createDataFrame(rows, "case_id string, os_path string, seq bigint, start bigint, length bigint, base bigint")
+    records, problems = usn.split_usn(df, CHUNK)
+    alone, _ = usn.split_usn(df.where("case_id = 'a'"))
+    assert records.where("case_id = 'a'").count() == alone.count() > 0
+    bad = {(r.case_id, r.problem.split(":")[0]) for r in problems.where("case_id <> 'a'").collect()}
+    assert bad == {("b", "unreadable"), ("c", "unreadable")}
+
+
 def test_byte_ranges(spark, tmp_path):
     path = tmp_path / "d.bin"
     data = bytes(random.Random(1).randbytes(3 * CHUNK))
