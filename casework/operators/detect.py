@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.functions import paths, text
+from casework.functions.flags import present
 from casework.plans.catalog import (
     CHROMIUM_ROOTS, DETECTION_RULES, EDGE, HIVE_MAGIC, HIVE_NAMES, PARSER_FAMILIES, PathParts, Rule,
-    tag, with_path_parts,
+    tag_numbers, with_path_parts,
 )
 
 _CUSTOM_RULES: dict[str, tuple[str, str, str, Callable[[PathParts], Column]]] = {}
@@ -32,17 +33,38 @@ def detect(
 ) -> DataFrame:
     """Every (file, family, artifact) the rules bind; one file may match several.
 
-    All rules are tested in a single pass over the listing, without join or shuffle. Pass ``content`` to also test leading bytes; without it
+    One pass over the listing serves all rules, without join or shuffle: names and endings are looked up, other rules tested. Pass ``content`` to also test leading bytes; without it
     magic rules bind by name alone, so a metadata-only listing never reads file bodies.
     """
     df, parts = with_path_parts(files, path)
     head = F.hex(F.substring(F.col(content), 1, 4)) if content else None
-    tests = [r.matches(parts, head) for r in rules]
+    by_name, by_ext, tests = {}, {}, []
+    for i, rule in enumerate(rules):  # most rules are a name or an ending alone: one look-up serves them all
+        plain = not (rule.prefix or rule.suffix or rule.path_suffix or rule.contains or rule.excludes or rule.path_regex or (rule.magic and content))
+        if plain and bool(rule.names) != bool(rule.exts):
+            for key in rule.names or rule.exts:
+                (by_name if rule.names else by_ext).setdefault(key, []).append(i)
+        else:
+            tests.append((i, rule.matches(parts, head)))
     labels = [dict(family=r.family, artifact=r.artifact, grain=r.grain) for r in rules]
     for family, artifact, grain, test in _CUSTOM_RULES.values():
-        tests.append(test(parts))
+        tests.append((len(labels), test(parts)))
         labels.append(dict(family=family, artifact=artifact, grain=grain))
-    return tag(df, tests, labels).select(*files.columns, "family", "artifact", "grain")
+    found = [_looked_up(parts.name, by_name), _looked_up(parts.ext, by_ext), present([F.when(test, F.lit(i)) for i, test in tests])]
+    return tag_numbers(df, F.concat(*found), labels).select(*files.columns, "family", "artifact", "grain")
+
+
+def _looked_up(key: Column, rules: dict[str, list[int]]) -> Column:
+    """Numbers of the rules listed under a key."""
+    none = F.array().cast("array<int>")
+    if not rules:
+        return none
+    out = None
+    for numbers in sorted(map(list, {tuple(n) for n in rules.values()})):
+        keys = [k for k, n in rules.items() if n == numbers]
+        here = F.array(*map(F.lit, numbers))
+        out = F.when(key.isin(*keys), here) if out is None else out.when(key.isin(*keys), here)
+    return out.otherwise(none)
 
 
 def browser_kind(path: Column) -> Column:

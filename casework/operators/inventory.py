@@ -10,7 +10,8 @@ from casework.functions import paths, text
 from casework.operators.ordered import first_by
 from casework.operators.shape import settled
 from casework.plans import targets as T
-from casework.plans.catalog import tag
+from casework.plans.catalog import tag_numbers
+from casework.plans.ruleindex import RuleIndex
 
 
 def inside_volume(path: Column) -> Column:
@@ -30,17 +31,16 @@ def exclude_profiles(df: DataFrame, profile: Column, names: Sequence[str] = T.LO
 def find_targets(files: DataFrame, rules: Sequence[T.Target], path: str = "os_path") -> DataFrame:
     """Files each collector wants, with the first kind that fits; a file may serve several collectors."""
     df = files.withColumns({"__in": inside_volume(F.col(path)), "__profile": profile_of(F.col(path))})
-    kinds: dict[str, Column] = {}
-    for rule in rules:
-        test = rule.matches(F.col("__in"), F.col("__profile"))
-        kinds[rule.collector] = (
-            kinds[rule.collector].when(test, rule.kind) if rule.collector in kinds else F.when(test, rule.kind)
-        )
-    df = df.withColumns({f"__kind_{c}": kind for c, kind in kinds.items()})
-    tests = [F.col(f"__kind_{c}").isNotNull() for c in kinds]
-    found = tag(df, tests, [{"collector": c} for c in kinds])
-    kind = F.coalesce(*[F.when(F.col("collector") == c, F.col(f"__kind_{c}")) for c in kinds])
-    return found.select(*files.columns, "collector", kind.alias("kind"))
+    df = df.withColumn("__folders", F.split("__in", "/"))
+    numbers = RuleIndex([r.regex for r in rules]).hits(F.col("__in"), F.col("__folders"))
+    for profiles in {r.skip_profiles for r in rules if r.skip_profiles}:
+        without = F.array(*[F.lit(i) for i, r in enumerate(rules) if r.skip_profiles == profiles])
+        numbers = F.when(F.coalesce(F.col("__profile").isin(*profiles), F.lit(False)), F.array_except(numbers, without)).otherwise(numbers)
+    df = df.withColumn("__fit", numbers)
+    collectors = F.array(*[F.lit(r.collector) for r in rules])
+    first = F.filter("__fit", lambda i: ~F.exists("__fit", lambda j: (j < i) & (F.get(collectors, j) == F.get(collectors, i))))
+    found = tag_numbers(df, first, [{"collector": r.collector, "kind": r.kind} for r in rules])
+    return found.select(*files.columns, "collector", "kind")
 
 
 def powershell_kind(dir_kind: Column, name: Column) -> Column:
@@ -396,21 +396,14 @@ def artifact_label(path: Column) -> Column:
 def expected_vs_found(files: DataFrame, path: str = "os_path", keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """Per case every expected artifact with the number of files that arrived (0 when none).
 
-    Files are tagged in one pass and counted with map-side combine; the fixed
-    list of expectations is exploded from each case row, not cross joined.
+    Files are tagged in one pass, each by the few rules its folders lead to, and counted with map-side combine. A case has one
+    row of counts, at most one per expectation, from which the fixed list is exploded: no join, no second pass.
     """
-    inside = inside_volume(F.col(path))
-    df = files.select(*keys, inside.alias("__in"))
-    tests = [F.col("__in").rlike(rx) for _, _, rx in T.EXPECTED]
-    found = tag(df, tests, [{"title": t, "expected": e} for t, e, _ in T.EXPECTED])
-    found = found.groupBy(*keys, "title", "expected").agg(F.count("*").alias("found"))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(t).alias("title"), F.lit(e).alias("expected"))
-            for t, e, _ in T.EXPECTED
-        ]
-    )
-    every = files.select(*keys).distinct().select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*")
-    return every.join(found, [*keys, "title", "expected"], "left").select(
-        *keys, "title", "expected", F.coalesce("found", F.lit(0)).cast("bigint").alias("found")
-    )
+    df = files.select(*keys, inside_volume(F.col(path)).alias("__in")).select(*keys, "__in", F.split("__in", "/").alias("__folders"))
+    numbers = RuleIndex([rx for _, _, rx in T.EXPECTED]).hits(F.col("__in"), F.col("__folders"))
+    # a file that nothing expects still counts its case
+    hits = df.select(*keys, F.explode_outer(numbers).alias("__hit")).groupBy(*keys, "__hit").agg(F.count("*").alias("__n"))
+    cases = hits.groupBy(*keys).agg(F.collect_list(F.when(F.col("__hit").isNotNull(), F.struct("__hit", "__n"))).alias("__counts"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("title"), F.lit(e).alias("expected")) for i, (t, e, _) in enumerate(T.EXPECTED)])
+    every = cases.select(*keys, F.map_from_entries("__counts").alias("__counts"), F.explode(wanted).alias("w"))
+    return every.select(*keys, "w.title", "w.expected", F.coalesce(F.try_element_at("__counts", F.col("w.i")), F.lit(0)).cast("bigint").alias("found"))

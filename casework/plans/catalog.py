@@ -208,7 +208,11 @@ def tag(df: DataFrame, tests: list[Column], labels: list[dict[str, str]]) -> Dat
     Tests give an array of their numbers, which is exploded: no join and no shuffle. The explode is an
     outer one because a plain one would have its filter, and with it every test, evaluated twice.
     """
-    numbers = present([F.when(test, F.lit(i)) for i, test in enumerate(tests)])
+    return tag_numbers(df, present([F.when(test, F.lit(i)) for i, test in enumerate(tests)]), labels)
+
+
+def tag_numbers(df: DataFrame, numbers: Column, labels: list[dict[str, str]]) -> DataFrame:
+    """One row per number in an array, with the columns of its label."""
     hits = df.withColumn("__numbers", numbers).withColumn("__hit", F.explode_outer("__numbers"))
     hits = hits.where(F.col("__hit").isNotNull())
     named = {
