@@ -32,7 +32,7 @@ def find_targets(files: DataFrame, rules: Sequence[T.Target], path: str = "os_pa
     """Files each collector wants, with the first kind that fits; a file may serve several collectors."""
     df = files.withColumns({"__in": inside_volume(F.col(path)), "__profile": profile_of(F.col(path))})
     df = df.withColumn("__folders", F.split("__in", "/"))
-    numbers = RuleIndex([r.regex for r in rules]).hits(F.col("__in"), F.col("__folders"))
+    numbers = RuleIndex([r.regex for r in rules]).hits("__in", "__folders")
     for profiles in {r.skip_profiles for r in rules if r.skip_profiles}:
         without = F.array(*[F.lit(i) for i, r in enumerate(rules) if r.skip_profiles == profiles])
         numbers = F.when(F.coalesce(F.col("__profile").isin(*profiles), F.lit(False)), F.array_except(numbers, without)).otherwise(numbers)
@@ -400,7 +400,7 @@ def expected_vs_found(files: DataFrame, path: str = "os_path", keys: Sequence[st
     row of counts, at most one per expectation, from which the fixed list is exploded: no join, no second pass.
     """
     df = files.select(*keys, inside_volume(F.col(path)).alias("__in")).select(*keys, "__in", F.split("__in", "/").alias("__folders"))
-    numbers = RuleIndex([rx for _, _, rx in T.EXPECTED]).hits(F.col("__in"), F.col("__folders"))
+    numbers = RuleIndex([rx for _, _, rx in T.EXPECTED]).hits("__in", "__folders")
     # a file that nothing expects still counts its case
     hits = df.select(*keys, F.explode_outer(numbers).alias("__hit")).groupBy(*keys, "__hit").agg(F.count("*").alias("__n"))
     cases = hits.groupBy(*keys).agg(F.collect_list(F.when(F.col("__hit").isNotNull(), F.struct("__hit", "__n"))).alias("__counts"))

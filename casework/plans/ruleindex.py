@@ -53,24 +53,28 @@ class RuleIndex:
             rules = [(i, c) for i, c in rules if len(c) > k and c[k] in (folder, ANY)]
         return sorted({*waiting, *(i for i, _ in rules)})
 
-    def hits(self, path: Column, folders: Column) -> Column:
-        """Ascending numbers of the rules that fit ``path``, whose components are ``folders``."""
-        return F.array_compact(self._below(path, folders, 0, [], self.rules))
+    def hits(self, path: str, folders: str) -> Column:
+        """Ascending numbers of the rules that fit the column ``path``, whose components are in the column ``folders``.
 
-    def _below(self, path: Column, folders: Column, k: int, waiting: list[int], rules: list[tuple[int, list[str]]]) -> Column:
+        The tree is written as SQL text: one call to Spark instead of one per comparison.
+        """
+        return F.expr(f"array_compact({self._below(f'`{path}`', f'`{folders}`', 0, [], self.rules)})")
+
+    def _below(self, path: str, folders: str, k: int, waiting: list[int], rules: list[tuple[int, list[str]]]) -> str:
         waiting = waiting + [i for i, c in rules if len(c) == k]
         rules = [(i, c) for i, c in rules if len(c) > k]
         if len(rules) <= FEW:
             return self._tested(path, [*waiting, *(i for i, _ in rules)])
         anywhere = [r for r in rules if r[1][k] == ANY]
-        out = None
-        for name in sorted({c[k] for _, c in rules} - {ANY}):
-            here = self._below(path, folders, k + 1, waiting, [r for r in rules if r[1][k] in (name, ANY)])
-            out = F.when(F.get(folders, F.lit(k)) == name, here) if out is None else out.when(F.get(folders, F.lit(k)) == name, here)
         rest = self._below(path, folders, k + 1, waiting, anywhere) if anywhere else self._tested(path, waiting)
-        return rest if out is None else out.otherwise(rest)
+        names = sorted({c[k] for _, c in rules} - {ANY})
+        branches = [f"WHEN {_text(n)} THEN {self._below(path, folders, k + 1, waiting, [r for r in rules if r[1][k] in (n, ANY)])}" for n in names]
+        return f"CASE get({folders}, {k}) {' '.join(branches)} ELSE {rest} END" if branches else rest
+
+    def _tested(self, path: str, rules: list[int]) -> str:
+        tests = [f"IF({path} RLIKE {_text(self.regexes[i])}, {i}, NULL)" for i in sorted(rules)]
+        return f"CAST(array({', '.join(tests)}) AS array<int>)"
+
 
-    def _tested(self, path: Column, rules: list[int]) -> Column:
-        if not rules:
-            return F.array().cast("array<int>")
-        return F.array(*[F.when(path.rlike(self.regexes[i]), F.lit(i)) for i in sorted(rules)])
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
