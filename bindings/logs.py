@@ -76,15 +76,20 @@ def shl_1(spark, sf):
     return lines.shell_rows(view(spark, sf, "v_shell"))
 
 
-@query(
-    "lim_2_tail",
+TAIL_SQL = (
     f"""WITH f AS (SELECT source AS case_id, 'd' || doc_id AS os_path, encode(text) AS b FROM documents),
         t AS (SELECT case_id, os_path, octet_length(b) > 512 AS cut, CASE WHEN octet_length(b) > 512 THEN hex(b)[-1024:] ELSE hex(b) END AS h FROM f),
         l AS (SELECT case_id, os_path, cut, h, unnest(string_split(regexp_replace(h, '(..)', '\\1 ', 'g'), '0A ')) AS part,
               generate_subscripts(string_split(regexp_replace(h, '(..)', '\\1 ', 'g'), '0A '), 1) AS no FROM t),
         k AS (SELECT * FROM l WHERE NOT (cut AND no = 1 AND h NOT LIKE '0A%') AND NOT (part = '' AND no = (SELECT max(no) FROM l AS o WHERE o.os_path = l.os_path))),
         r AS (SELECT *, row_number() OVER (PARTITION BY case_id, os_path ORDER BY no DESC) AS from_end FROM k)
-        SELECT case_id, os_path, from_end, CAST(octet_length(unhex(replace(part, ' ', ''))) AS BIGINT) AS n_bytes FROM r WHERE from_end <= 3""".replace("\\\\1", "\\1"),
+        SELECT case_id, os_path, from_end, CAST(octet_length(unhex(replace(part, ' ', ''))) AS BIGINT) AS n_bytes FROM r WHERE from_end <= 3""".replace("\\\\1", "\\1")
+)
+
+
+@query(
+    "lim_2_tail",
+    TAIL_SQL,
 )
 def lim_2(spark, sf):
     out = lines.tail_lines(_document_files(spark, sf), 3, 512)

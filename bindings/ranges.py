@@ -5,13 +5,15 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from bindings.logs import TAIL_SQL
 from bindings.registry import query
 from bindings.scalars import flags_sql, le_bytes
 from bindings.views import cte, read, view
 from casework.functions import flags
-from casework.operators import artifacts, ranges, usn
+from casework.operators import artifacts, lines, ranges, usn
 from casework.session import shared_dir
-from casework.sources.files import read_ranges
+from casework.sources.files import located
+from casework.sources.ranges import read_ranges
 
 
 
@@ -207,6 +209,32 @@ def write_streams(spark, sf, folder):
     return spark.read.parquet(f"{folder}-listing")
 
 
+def written_files(df, folder: str):
+    """Each row's ``content`` as a file of its own: (case_id, os_path, size) of the copies, named by the row's os_path."""
+    base = located(folder)
+
+    def write(batches):
+        filesystem, root = base
+        filesystem.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                with filesystem.open_output_stream(f"{root}/{row['os_path']}.bin") as out:
+                    out.write(row["content"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["case_id"] for r in rows], pa.string()), pa.array([f"{root}/{r['os_path']}.bin" for r in rows], pa.string()), pa.array([len(r["content"]) for r in rows], pa.int64())],
+                names=["case_id", "os_path", "size"],
+            )
+
+    listing = f"{folder}-listing"
+    df.select("case_id", "os_path", "content").mapInArrow(write, "case_id string, os_path string, size bigint").write.parquet(listing)
+    return df.sparkSession.read.parquet(listing)
+
+
+def _named(df):
+    return df.withColumn("os_path", F.regexp_extract("os_path", r"([^/]+)\.bin$", 1)).drop("case_id")
+
+
 def _stream_ranges(spark, sf):
     streams = write_streams(spark, sf, shared_dir(spark, "usn"))
     return streams.select("case_id", "os_path", F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("start"), F.col("size").alias("length"))
@@ -237,6 +265,14 @@ def src_3(spark, sf):
     return data.groupBy(F.regexp_extract("os_path", r"(\d+)\.bin$", 1).cast("bigint").alias("stream")).agg(F.sum(F.length("bytes")).cast("bigint").alias("n_bytes"))
 
 
+@query("lim_2_file_tail", TAIL_SQL)
+def lim_2_files(spark, sf):
+    """Last lines of documents as files, of which only the last bytes are read."""
+    docs = read(spark, sf, "documents").select(F.col("source").alias("case_id"), F.concat(F.lit("d"), "doc_id").alias("os_path"), F.encode("text", "UTF-8").alias("content"))
+    out = lines.tail_file_lines(written_files(docs, shared_dir(spark, "tails")), 3, 512)
+    return out.select("case_id", F.regexp_extract("os_path", r"([^/]+)\.bin$", 1).alias("os_path"), "from_end", F.octet_length("line").cast("bigint").alias("n_bytes"))
+
+
 # ---- other binary artifacts --------------------------------------------------------------
 
 
@@ -315,26 +351,50 @@ def _paged(spark, sf, size: int, magics: tuple[str, str]):
 PAGES = "octet_length(encode(text)) // {s} AS whole, greatest(octet_length(encode(text)) % {s}, 4) AS rest"
 
 
-@query(
-    "agg_7_signature_sample",
+SAMPLE_SQL = (
     f"""SELECT CAST(doc_id AS VARCHAR) AS os_path, n AS sampled, CASE WHEN n > 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'FILE' ELSE 'RCRD' END END AS first_signature,
         len(list_filter(range(n), lambda i: (doc_id + i) % 3 = 0)) AS file_count, CAST(0 AS BIGINT) AS baad_count, CAST(0 AS BIGINT) AS rstr_count, len(list_filter(range(n), lambda i: (doc_id + i) % 3 <> 0)) AS rcrd_count,
         n > 0 AND doc_id % 3 = 0 AS mft_ok, len(list_filter(range(n), lambda i: (doc_id + i) % 3 <> 0)) > 0 AS log_ok
-        FROM (SELECT doc_id, least(whole, 64) AS n FROM (SELECT doc_id, {PAGES.format(s=256)} FROM documents))""",
+        FROM (SELECT doc_id, least(whole, 64) AS n FROM (SELECT doc_id, {PAGES.format(s=256)} FROM documents))"""
+)
+
+
+@query(
+    "agg_7_signature_sample",
+    SAMPLE_SQL,
 )
 def agg_7(spark, sf):
     return artifacts.sample_signatures(_paged(spark, sf, 256, ("FILE", "RCRD")), 256).drop("case_id")
 
 
+@query("agg_7_file_signatures", SAMPLE_SQL)
+def agg_7_files(spark, sf):
+    """The same over files, of which only the sampled records are read."""
+    files = written_files(_paged(spark, sf, 256, ("FILE", "RCRD")), shared_dir(spark, "paged"))
+    return _named(artifacts.sample_file_signatures(files, 256))
+
+
+PAGE_SQL = (
+    f"""SELECT CAST(doc_id AS VARCHAR) AS os_path, whole + 1 AS expected_buffers, len(list_filter(range(whole + 1), lambda i: (doc_id + i) % 3 = 0)) AS signature_buffers
+        FROM (SELECT doc_id, {PAGES.format(s=4096)} FROM documents)"""
+)
+
+
 @query(
     "agg_8_page_signatures",
-    f"""SELECT CAST(doc_id AS VARCHAR) AS os_path, whole + 1 AS expected_buffers, len(list_filter(range(whole + 1), lambda i: (doc_id + i) % 3 = 0)) AS signature_buffers
-        FROM (SELECT doc_id, {PAGES.format(s=4096)} FROM documents)""",
+    PAGE_SQL,
 )
 def agg_8(spark, sf):
     return artifacts.count_page_signatures(_paged(spark, sf, 4096, ("INDX", "none"))).drop("case_id")
 
 
+@query("agg_8_file_page_signatures", PAGE_SQL)
+def agg_8_files(spark, sf):
+    """The same over files, by pieces; four bytes a page leave the reader."""
+    files = written_files(_paged(spark, sf, 4096, ("INDX", "none")), shared_dir(spark, "paged"))
+    return _named(artifacts.count_file_page_signatures(files))
+
+
 @query(
     "agg_6_attribute_tally",
     """SELECT l_suppkey, count(*) AS attributes, count(*) FILTER (l_returnflag = 'A') AS index_root, count(*) FILTER (l_returnflag = 'N') AS index_allocation, count(*) FILTER (l_returnflag = 'R') AS bitmap,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casework.functions import text, time
 from casework.functions.binary import le_uint
 from casework.operators.shape import settled
+from casework.sources.ranges import first_bytes, read_ranges
 
 FILE_KEYS = ["case_id", "os_path"]
 
@@ -155,6 +156,21 @@ def count_page_signatures(streams: DataFrame, page: int = 4096, magic: str = "IN
     )
 
 
+def sample_file_signatures(files: DataFrame, record_size: int, n: int = 64) -> DataFrame:
+    """``sample_signatures`` of listed files (case_id, os_path, size): the bytes of ``n`` records are read of each, whatever its size."""
+    return sample_signatures(first_bytes(files, n * record_size).where(F.col("error").isNull()), record_size, n)
+
+
+def count_file_page_signatures(files: DataFrame, page: int = 4096, magic: str = "INDX") -> DataFrame:
+    """``count_page_signatures`` of listed files (case_id, os_path, size) of any size, by many tasks; four bytes a page leave the reader."""
+    ranges = files.select(*FILE_KEYS, F.lit(0).alias("seq"), F.lit(0).alias("start"), F.col("size").alias("length"))
+    heads = F.regexp_extract_all(F.hex("bytes"), F.lit("(.{8})"), F.lit(1))
+    counted = read_ranges(ranges, every=page, take=4).select(*FILE_KEYS, "error", F.size(heads).alias("n"), F.size(F.filter(heads, lambda h: h == _magic(magic))).alias("hits"))
+    read = counted.groupBy(*FILE_KEYS).agg(F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("n"), F.sum(F.when(F.col("hits") > 0, F.col("hits"))).alias("hits"), F.max("error").alias("error"))
+    whole = files.select(*FILE_KEYS).join(read, FILE_KEYS, "left").where(F.col("error").isNull())
+    return whole.select(*FILE_KEYS, F.coalesce("n", F.lit(0)).cast("bigint").alias("expected_buffers"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("signature_buffers"))
+
+
 def attribute_tally(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Attributes per kind, and expected against signed index buffers."""
 

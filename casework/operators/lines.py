@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casework.functions import paths, text, time
 from casework.operators.ordered import DEFAULT_WIDTH, Carry, carry_forward
+from casework.sources.ranges import last_bytes
 
 FILE_KEYS = ("case_id", "os_path")
 
@@ -162,7 +163,17 @@ def tail_lines(files: DataFrame, n: int, max_bytes: int = 64 * 1024) -> DataFram
     """Last ``n`` lines found in the last ``max_bytes`` of every file; a cut first line is dropped."""
     size = F.length("content")
     window = F.substring(F.col("content"), F.greatest(size - max_bytes, F.lit(0)) + 1, F.lit(max_bytes))
-    cut = files.withColumns({"__tail": window, "__cut": (size > max_bytes) & ~F.hex(F.substring(window, 1, 1)).isin("0A", "0D")})
+    return _last_lines(files.withColumns({"__tail": window, "__short": size <= max_bytes}), n)
+
+
+def tail_file_lines(files: DataFrame, n: int, max_bytes: int = 64 * 1024) -> DataFrame:
+    """``tail_lines`` of listed files (case_id, os_path, size): only the last ``max_bytes`` of each are read, whatever its size."""
+    read = last_bytes(files, max_bytes).where(F.col("error").isNull())
+    return _last_lines(read.withColumns({"__tail": F.col("content"), "__short": F.col("size") <= max_bytes}), n)
+
+
+def _last_lines(tails: DataFrame, n: int) -> DataFrame:
+    cut = tails.withColumn("__cut", ~F.col("__short") & ~F.hex(F.substring("__tail", 1, 1)).isin("0A", "0D"))
     rows = explode_lines(cut.withColumn("__text", text.utf8_lossy(F.col("__tail"))), F.col("__text"), *FILE_KEYS, "__cut")
     rows = rows.where(~(F.col("__cut") & (F.col("line_no") == 1)))
     # at most max_bytes per file reach this window

@@ -283,48 +283,7 @@ def read_packages(spark: SparkSession, path: str, glob: str = "*.zip", fail_fast
 
 # ---- byte ranges -------------------------------------------------------------------------
 
-_RANGE_DDL = "case_id string, os_path string, seq bigint, chunk_offset bigint, bytes binary"
-_RANGE = pa.schema(
-    [("case_id", pa.string()), ("os_path", pa.string()), ("seq", pa.int64()),
-     ("chunk_offset", pa.int64()), ("bytes", pa.binary())]
-)
-
 
 def open_uri(path: str):
     """Random-access handle of a shared file, by a path as Spark prints it."""
     return _open(path)
-
-
-def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            with open_uri(row["os_path"]) as handle:
-                handle.seek(row["start"])
-                at, left = row["start"], row["length"]
-                while left > 0:
-                    data = handle.read(min(CHUNK, left))
-                    if not data:
-                        raise EOFError(f"unexpected end of file: {row['os_path']} at {at}")
-                    yield pa.RecordBatch.from_pylist(
-                        [{"case_id": row["case_id"], "os_path": row["os_path"], "seq": row["seq"],
-                          "chunk_offset": at, "bytes": data}],
-                        schema=_RANGE,
-                    )
-                    at, left = at + len(data), left - len(data)
-
-
-def read_ranges(ranges: DataFrame, piece: int = 64 * CHUNK) -> DataFrame:
-    """Bytes of ``(case_id, os_path, seq, start, length)`` ranges in chunks of at most 1 MiB.
-
-    Ranges are first cut into pieces, so a single large stream is read by many tasks; bytes outside
-    the ranges (sparse holes, dead parts of a journal) are never touched.
-    """
-    cut = ranges.where(F.col("length") > 0).withColumn(
-        "__at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(piece).cast("bigint")))
-    )
-    pieces = cut.select(
-        "case_id", "os_path", "seq",
-        (F.col("start") + F.col("__at")).alias("start"),
-        F.least(F.lit(piece).cast("bigint"), F.col("length") - F.col("__at")).alias("length"),
-    )
-    return spread(pieces, "os_path", "start").mapInArrow(_read_ranges, _RANGE_DDL)

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casework.operators import artifacts, usn
-from casework.sources.files import CHUNK, read_ranges
+from casework.sources.files import CHUNK
+from casework.sources.ranges import read_ranges
 
 
 def record(name="example.txt", usn_no=42, major=2, size=None):
