@@ -99,6 +99,23 @@ def src_4_split(spark, sf):
     return lines.select(F.col("case_id").alias("source"), "line_no", F.md5("line").alias("line_md5"), "encoding", "decode_lossy")
 
 
+@query(
+    "det_4_hives_in_packages",
+    "SELECT 'case' || (doc_id // 100) AS case_id, count(*) FILTER (WHERE doc_id % 3 = 0) AS hives, count(*) AS shimcaches FROM documents GROUP BY 1",
+)
+def det_4_packages(spark, sf):
+    """Documents as members named SYSTEM, a third of which begin as a hive does."""
+    d = F.col("doc_id")
+    files = _document_files(spark, sf).withColumn("doc_id", F.regexp_extract("archive_path", r"(\d+)\.txt$", 1).cast("bigint"))
+    head = F.when(d % 3 == 0, F.lit(b"regf")).otherwise(F.lit(b"text"))
+    files = files.select("case_id", F.concat(F.lit("C/h"), d, F.lit("/SYSTEM")).alias("archive_path"), F.concat(head, F.coalesce("content", F.lit(b""))).alias("content"))
+    folder = shared_dir(spark, "hives")
+    write_packages(files, folder)
+    found = parse.without_wrong_magic(det.detect(parse.package_files(src.list_packages(spark, folder))))
+    of = lambda family: F.count_if(F.col("family") == family)
+    return found.groupBy("case_id").agg(of("windows_registry").alias("hives"), of("windows_shimcache").alias("shimcaches"))
+
+
 def _databases(spark, sf):
     """An activity database per hundred events, as files."""
 

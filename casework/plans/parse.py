@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casework.operators import runs, usn
 from casework.operators.detect import build_plans, detect, select_plans
 from casework.plans import decoders
+from casework.plans.catalog import DETECTION_RULES
 from casework.sinks.results import write_manifest
-from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks, spread
+from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks, read_member_heads, spread
 
 USN_ARTIFACT = "Windows.NTFS.UsnJournal.RawStream"
 CELL = 1 << 30
@@ -27,8 +28,26 @@ def package_files(members: DataFrame) -> DataFrame:
     )
 
 
+def without_wrong_magic(found: DataFrame) -> DataFrame:
+    """Detected members (with package and member_no) less those that a rule binds by first bytes they do not have.
+
+    Only members of such rules are opened, and only their first bytes inflated.
+    """
+    magic = {(r.family, r.artifact): r.magic for r in DETECTION_RULES if r.magic}
+    if not magic:
+        return found
+    bound = F.lit(None).cast("string")
+    for (family, artifact), head in magic.items():
+        bound = F.when((F.col("family") == family) & (F.col("artifact") == artifact), head).otherwise(bound)
+    longest = max(len(m) // 2 for m in magic.values())
+    asked = found.where(bound.isNotNull()).select("package", "member_no", "status").distinct()
+    heads = read_member_heads(asked, longest)
+    tested = found.where(bound.isNotNull()).join(heads, ["package", "member_no"])
+    return found.where(bound.isNull()).unionByName(tested.where(F.startswith(F.hex("head"), bound)).select(*found.columns))
+
+
 def inspect_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Plans a parse of the packages would run; reads central directories only."""
+    """Plans a parse of the packages would run by their names; reads central directories only, so first bytes are not tested."""
     return build_plans(detect(package_files(list_packages(spark, path))))
 
 
@@ -122,7 +141,8 @@ def parse_members(
     members.write.mode("overwrite").parquet(f"{scratch}/members")
     members = spark.read.parquet(f"{scratch}/members")
     listed = package_files(members)
-    found = detect(listed)
+    without_wrong_magic(detect(listed)).write.mode("overwrite").parquet(f"{scratch}/found")
+    found = spark.read.parquet(f"{scratch}/found")
     plans = build_plans(found)
     if selection is not None:
         plans = select_plans(plans, selection, check=True)

@@ -204,6 +204,30 @@ def _member_reader(chunk_bytes: int):
     return read
 
 
+def read_member_heads(members: DataFrame, n: int) -> DataFrame:
+    """(package, member_no, head): the first ``n`` bytes of listed members, of which no more is inflated; null where a member cannot be read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packages = _Packages()
+        try:
+            for batch in batches:
+                heads = []
+                for row in batch.to_pylist():
+                    try:
+                        archive, info = packages.member(row)
+                        with archive.open(info) as member:
+                            heads.append(member.read(n))
+                    except MEMBER_ERRORS:
+                        heads.append(None)
+                yield pa.RecordBatch.from_arrays([batch.column("package"), batch.column("member_no"), pa.array(heads, pa.binary())], names=["package", "member_no", "head"])
+        finally:
+            packages.close()
+
+    # members of one package follow each other in one task: its directory is read once
+    dealt = spread(members.where(F.col("status") == "ok").select("package", "member_no"), "package").sortWithinPartitions("package", "member_no")
+    return dealt.mapInArrow(read, "package string, member_no bigint, head binary")
+
+
 def _hash_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packages = _Packages()
     try:

@@ -244,6 +244,23 @@ def test_line_based_members_larger_than_a_cell_give_the_same_rows(spark, tmp_pat
     assert results["cut"] == results["whole"] and ("two", "windows_mplogs", "error", None) in results["cut"][0]
 
 
+def test_a_hive_without_its_magic_gets_no_plan(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for case, magic in (("real", b"regf"), ("fake", b"nope")):
+        with zipfile.ZipFile(tmp_path / "in" / f"{case}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("C/Windows/System32/config/SYSTEM", magic + bytes(100_000))
+            z.writestr("C/Users/a/NTUSER.DAT", b"re")
+    out = str(tmp_path / "out")
+    entries = parse.parse_packages(spark, str(tmp_path / "in"), out, f"{out}-scratch").collect()
+    hives = {r.case_id: r.status for r in entries if r.parser == "windows_registry"}
+    assert set(hives) <= {"real", "fake"} and hives.get("fake", "skipped") == "skipped"
+    plans = {(r.case_id, r.family) for r in spark.read.parquet(f"{out}-scratch/plans").collect()}
+    assert ("real", "windows_registry") in plans and ("fake", "windows_registry") not in plans and ("fake", "windows_shimcache") in plans
+    members = src.list_packages(spark, str(tmp_path / "in"))
+    heads = [bytes(r.head) for r in src.read_member_heads(members, 4).collect()]
+    assert sorted(heads) == [b"nope", b"re", b"re", b"regf"]
+
+
 def test_unsupported_scheme_is_loud():
     with pytest.raises(src.UnsupportedScheme):
         src.located("wasb://container/x.zip")
