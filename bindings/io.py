@@ -288,9 +288,9 @@ def stm_1(spark, sf):
 def stm_2(spark, sf):
     folder, later = _event_log(spark, sf)
     out = shared_dir(spark, "state")
-    ev.fold_plan_state_stream(ev.stream_events(spark, folder, files_per_trigger=2), f"{out}-checkpoint", out)
+    ev.fold_plan_state_stream(ev.stream_events(spark, folder, files_per_trigger=2), f"{out}-checkpoint", out, fold_every=2, settle_after=1)
     later.write.mode("append").json(folder)
-    ev.fold_plan_state_stream(ev.stream_events(spark, folder, files_per_trigger=2), f"{out}-checkpoint", out)
+    ev.fold_plan_state_stream(ev.stream_events(spark, folder, files_per_trigger=2), f"{out}-checkpoint", out, fold_every=2, settle_after=1)
     return ev.read_plan_state(spark, out)
 
 
@@ -308,7 +308,7 @@ def stm_3(spark, sf):
         F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("type"),
         F.concat(F.lit("c"), F.col("event_id") % 3).alias("collection_title"), (F.col("value") / 100).alias("progress_value"),
     ).repartition(4, "seq").write.json(folder)
-    ev.collector_totals_stream(ev.stream_events(spark, folder, files_per_trigger=2), f"{out}-checkpoint", out)
+    ev.collector_totals_stream(ev.stream_events(spark, folder, files_per_trigger=2), f"{out}-checkpoint", out, fold_every=2)
     return ev.read_collector_progress(spark, out, 50)
 
 
