@@ -235,10 +235,29 @@ def union_outputs(outputs: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
+#: What a line and a plan must agree on, as far as both tables have it.
+PROVENANCE = ("case_id", "package")
+
+
+def _named_results(results: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Lines and plans with the ``<output_name>.jsonl`` file or folder that binds them, and the columns to join by."""
+    by = [c for c in PROVENANCE if c in results.columns and c in plans.columns]
+    named = results.withColumn("output_name", F.regexp_extract("result_file", r"([^/=]+)\.jsonl", 1))
+    return named, plans.select(*by, "output_name", "plan_id").distinct(), [*by, "output_name"]
+
+
 def union_results(results: DataFrame, plans: DataFrame) -> DataFrame:
     """Lines of foreign decoders with the plan they belong to.
 
-    The plan is found by the ``<output_name>.jsonl`` file or folder a line was read from.
+    The plan is found by the file or folder a line was read from, in the line's own case and package where both tables have them.
+    Lines without a plan are in :func:`unplanned_results`.
     """
-    named = results.withColumn("output_name", F.regexp_extract("result_file", r"([^/=]+)\.jsonl", 1))
-    return named.join(plans.select("output_name", "plan_id").distinct(), "output_name")
+    named, bound, by = _named_results(results, plans)
+    return named.join(bound, by)
+
+
+def unplanned_results(results: DataFrame, plans: DataFrame) -> DataFrame:
+    """Per source (case, package, file): how many lines belong to no plan; their own table instead of nowhere."""
+    named, bound, by = _named_results(results, plans)
+    lost = named.join(bound, by, "left_anti")
+    return lost.groupBy(*[c for c in PROVENANCE if c in results.columns], "result_file").agg(F.count("*").alias("lines"), F.lit("no plan has this output").alias("error"))

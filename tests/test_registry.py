@@ -51,3 +51,18 @@ def test_keys_without_values_and_no_tables(spark):
     assert reg.key_records(keys, values.limit(0)).where("value_count = 0 AND n_parts = 1 AND part_no = 0").count() == 16
     assert reg.key_records(keys.limit(0), values).count() == 0
     assert reg.key_records(keys.drop("case_id", "source_path").withColumn("source_path", F.lit("C/x/SAM")), values.drop("case_id", "source_path")).count() > 0
+
+
+def test_foreign_lines_keep_their_case_and_lost_ones_are_counted(spark):
+    from casework.operators import runs
+
+    lines = spark.createDataFrame(
+        [("a", "p1", "/x/a/One.jsonl", "1"), ("b", "p1", "/x/b/One.jsonl", "2"), ("b", "p1", "/x/b/One.jsonl", "3"), ("a", "p1", "/x/a/Nothing.jsonl", "4")],
+        "case_id string, package string, result_file string, record string",
+    )
+    plans = spark.createDataFrame([("a", "One", "f::One"), ("c", "Nothing", "f::Nothing")], "case_id string, output_name string, plan_id string")
+    assert [(r.case_id, r.package, r.plan_id, r.record) for r in runs.union_results(lines, plans).collect()] == [("a", "p1", "f::One", "1")]
+    lost = {(r.case_id, r.result_file, r.lines) for r in runs.unplanned_results(lines, plans).collect()}
+    assert lost == {("b", "/x/b/One.jsonl", 2), ("a", "/x/a/Nothing.jsonl", 1)}
+    # without cases in the plans, the file alone binds
+    assert runs.union_results(lines, plans.drop("case_id")).count() == 4
