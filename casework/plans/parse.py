@@ -17,6 +17,7 @@ from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, loca
 
 USN_ARTIFACT = "Windows.NTFS.UsnJournal.RawStream"
 CELL = 1 << 30
+TEXT_CELL = 64 << 20  # of members made of lines: larger ones are read by several tasks
 
 
 def package_files(members: DataFrame) -> DataFrame:
@@ -132,7 +133,8 @@ def parse_members(
 ) -> DataFrame:
     """Decode all detected artifacts of listed members into ``out``; returns the manifest entries.
 
-    A member beyond one cell is read by the line source where its artifact is made of lines; else it is such a member too.
+    A member beyond ``cell`` is such a member too, unless its artifact is made of lines: those beyond TEXT_CELL already go
+    through the line source.
     The listing is stored once. Members are classified from their names; only those a decoder wants are opened, once, into
     ``scratch``. Each artifact is written on its own. A member that cannot be read, or not decoded, goes to
     ``out``/diagnostics; its plan gets an error entry in its own case only, and all other rows stay. A package that cannot
@@ -163,8 +165,9 @@ def parse_members(
                 rows, problems = usn.parse_usn(sidecars, opened.where(F.col("error").isNull()))
                 problems = problems.select("case_id", "os_path", F.col("problem").alias("error"))
             elif artifact in decoders.registered():
-                large = mine.where((F.col("size") > cell) & F.lit(decoders.has_lines(artifact)))
-                contents(mine.where(F.col("size") <= cell) if decoders.has_lines(artifact) else mine, cell).write.mode("overwrite").parquet(f"{scratch}/contents/{artifact}")
+                most = min(cell, TEXT_CELL)
+                large = mine.where((F.col("size") > most) & F.lit(decoders.has_lines(artifact)))
+                contents(mine.where(F.col("size") <= most) if decoders.has_lines(artifact) else mine, cell).write.mode("overwrite").parquet(f"{scratch}/contents/{artifact}")
                 opened = spark.read.parquet(f"{scratch}/contents/{artifact}")
                 readable = opened.where(F.col("error").isNull()).drop("error")
                 rows, problems = decoders.decode(readable, artifact), decoders.problems(readable, artifact)
