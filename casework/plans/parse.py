@@ -133,12 +133,11 @@ def parse_members(
 ) -> DataFrame:
     """Decode all detected artifacts of listed members into ``out``; returns the manifest entries.
 
-    A member beyond ``cell`` is such a member too, unless its artifact is made of lines: those beyond TEXT_CELL already go
-    through the line source.
     The listing is stored once. Members are classified from their names; only those a decoder wants are opened, once, into
     ``scratch``. Each artifact is written on its own. A member that cannot be read, or not decoded, goes to
     ``out``/diagnostics; its plan gets an error entry in its own case only, and all other rows stay. A package that cannot
-    be listed, or holds members that would leave their root, has an error entry of its own.
+    be listed, or holds members that would leave their root, has an error entry of its own. A member beyond ``cell`` counts as
+    unreadable, unless its artifact is made of lines: those beyond TEXT_CELL already go through the line source.
     """
     members.write.mode("overwrite").parquet(f"{scratch}/members")
     members = spark.read.parquet(f"{scratch}/members")
