@@ -18,7 +18,8 @@ UTF-8 byte pieces; decoding restores a text but for the space mark U+2581, which
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -26,16 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import stored
+from .scratch import free_names, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 BLOCK = 256  # matrices multiplied in one group
 MARK = "\u2581"
 NONE = -(1 << 30)  # minus infinity
-MOST_WORDS = 200_000
+MOST_WORDS = 600_000
+MOST_IDS = 4_000_000  # of all words that are known
 MOST_JOINTS = 300_000
-ROWS = 200  # texts whose ids are held as Python numbers at a time
+ROWS = 200  # texts whose words are held at a time
+GATHER = 1 << 18  # runs copied in one call
 
 
 #: Every path passes at line ends, in front of a run of marks, and where letters and other characters meet.
@@ -71,9 +74,47 @@ class Model:
             raise ValueError("a piece holds parts of two words: this model's texts cannot be cut there")
         return cls(score, byte, surface, max(map(len, score)))
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    @cached_property
+    def surfaces(self) -> tuple[np.ndarray, np.ndarray]:
+        """What all ids decode to, end to end, and where each begins."""
+        return np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum([0, *map(len, self.surface)])
+
+    def decode(self, rows: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids."""
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        body, ends = gathered(*self.surfaces, ids)
+        counts = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        borders = ends[np.cumsum([0, *counts])].tolist()
+        texts = [body[a:b].tobytes().decode("utf-8", "replace").removeprefix(" ") for a, b in zip(borders, borders[1:])]  # noqa: B905
+        return [t if known else None for t, known in zip(texts, rows.is_valid().to_pylist(), strict=True)]
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` (run k lies from starts[k] to starts[k + 1]) side by side, and where each begins, the end included."""
+    ends = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(starts[which + 1] - starts[which], out=ends[1:])
+    out = np.empty(ends[-1], flat.dtype)
+    for a in range(0, len(which), GATHER):
+        some, to = which[a : a + GATHER], ends[a : a + GATHER + 1]
+        out[to[0] : to[-1]] = flat[np.arange(to[0], to[-1]) + np.repeat(starts[some] - to[:-1], np.diff(to))]
+    return out, ends
+
+
+class Words(dict):
+    """Numbers of words in the order they are met, and their ids end to end."""
+
+    def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.ids_of, self.ids, self.starts = ids_of, array("i"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self.ids.extend(self.ids_of(word))
+        self.starts.append(len(self.ids))
+        number = self[word] = len(self)
+        return number
+
+    def full(self) -> bool:
+        return len(self) >= MOST_WORDS or len(self.ids) >= MOST_IDS
 
 
 def normal(text: str | None) -> str:
@@ -87,7 +128,6 @@ START: Span = (0, 0)
 @dataclass
 class Encoder:
     model: Model
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
     joints: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     @cached_property
@@ -158,21 +198,58 @@ class Encoder:
             last = back[last]
         return out[::-1]
 
-    def word(self, w: str) -> tuple[int, ...]:
-        ids = self.words.get(w)
-        if ids is None:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            back = self.search(w, START, len(w))
-            ids = self.words[w] = tuple(self.trace(w, back, START, next(x for x in back if x[1] == len(w))))
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
+    def path(self, text: str) -> list[int]:
+        """Ids on the best path through one word. Joints are worth 0 or minus infinity, so the first path found that has a value is the
+        best: pieces are tried longest first, and a piece from which no path goes on is not tried again."""
+        size, dead, joints, score = len(text), set(), self.joints, self.model.score
+        ends: list[int] = []  # of the pieces so far
+        begin, untried = 0, self.spans(text, 0)
+        waiting: list[list[int]] = []
+        left = ""
+        while begin < size:
+            while untried:
+                end = untried.pop()
+                piece = text[begin:end]
+                ok = joints.get((left, piece))
+                if (self.joint(left, piece) if ok is None else ok) and (begin, end) not in dead:
+                    waiting.append(untried)
+                    ends.append(end)
+                    left, begin, untried = piece, end, self.spans(text, end) if end < size else []
+                    break
+            else:
+                end = ends.pop()
+                begin = ends[-1] if ends else 0
+                dead.add((begin, end))
+                left = text[ends[-2] if len(ends) > 1 else 0 : begin]
+                untried = waiting.pop()
         out: list[int] = []
-        for w in WORD.findall(normal(text)):
-            out += self.word(w)
+        for a, e in zip([0, *ends], ends):  # noqa: B905
+            known = score.get(text[a:e])
+            out += [known[0]] if known else [self.model.byte[b] for b in text[a:e].encode()]
         return out
 
+    @cached_property
+    def words(self) -> Words:
+        return Words(self.path)
+
+    def word(self, w: str) -> list[int]:
+        k, known = self.words[w], self.words
+        return known.ids[known.starts[k] : known.starts[k + 1]].tolist()
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].as_py()
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text: its words become numbers, and the words' ids are copied side by side."""
+        if self.words.full():
+            del self.words
+        which, counts = array("q"), [0]
+        for t in texts:
+            which.extend(map(self.words.__getitem__, WORD.findall(normal(t))))
+            counts.append(len(which))
+        ids, ends = gathered(np.array(self.words.ids, np.int32), np.array(self.words.starts), np.array(which, np.int64))
+        return pa.ListArray.from_arrays(pa.array(ends[counts].astype(np.int32)), pa.array(ids))
+
     def borders(self, text: str, border: int, last: bool = False) -> list[Span]:
         """All pieces of the text that could be the state at a border, in a fixed order; at the end none reaches further."""
         if border == 0:
@@ -217,6 +294,14 @@ class Encoder:
         return out + self.trace(text, self.search(text, final, stop), final, end)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str, model: Model) -> Encoder:
+    """One for each model and worker, which keeps the words it has met for the worker's next task."""
+    return _encoders.setdefault(path, Encoder(model))
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return np.maximum((a[:, :, None] + b[None]).max(1), NONE)
@@ -326,19 +411,21 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = M
     shared = docs.sparkSession.sparkContext.broadcast(Model.load(model))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(model, shared.value)
         for batch in _few(batches):
-            ids = [encoder.encode(t) for t in batch.column("__body").to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], _lists(ids)], names=[*batch.schema.names[:-1], out])
+            ids = encoder.encode_all(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.record_batch([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     giant = F.coalesce(F.length(text) > chunk, F.lit(False))
-    short = docs.where(~giant).withColumn("__body", F.col(text)).mapInArrow(run, f"{schema}, `{out}` array<int>")
+    body, key, found_ids = free_names(docs, "body", "key", "ids")
+    short = docs.where(~giant).withColumn(body, F.col(text)).mapInArrow(run, f"{schema}, `{out}` array<int>")
     giants = docs.where(giant)
     if giants.isEmpty():
         return short
-    found = stored(_giants(giants, text, shared, chunk), "piece-ids").select(F.col("key").alias("__key"), F.col("ids").alias("__ids"))
-    long = giants.withColumn("__key", F.md5(F.col(text).cast("binary"))).join(found, "__key").select(*docs.columns, F.col("__ids").alias(out))
+    found = stored(_giants(giants, text, shared, chunk), "piece-ids").select(F.col("key").alias(key), F.col("ids").alias(found_ids))
+    long = giants.withColumn(key, F.md5(F.col(text).cast("binary"))).join(found, key)
+    long = long.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(found_ids).alias(out))
     return short.union(long)
 
 
@@ -350,8 +437,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in _few(batches):
-            texts = [None if x is None else m.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            yield pa.record_batch([*batch.columns, pa.array(m.decode(batch.column(ids)), pa.string())], names=[*batch.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{schema}, `{out}` string")

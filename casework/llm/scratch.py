@@ -26,5 +26,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name for each wanted one that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    longest = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in taken), default=0))
+    return [f"{longest}{w}" for w in wanted]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
