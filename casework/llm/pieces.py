@@ -34,10 +34,10 @@ CHUNK = 32_768
 BLOCK = 256  # matrices multiplied in one group
 MARK = "\u2581"
 NONE = -(1 << 30)  # minus infinity
-MOST_WORDS = 600_000
-MOST_IDS = 4_000_000  # of all words that are known
+MOST_WORDS = 250_000
+MOST_IDS = 2_000_000  # of all words that are known
 MOST_JOINTS = 300_000
-ROWS = 200  # texts whose words are held at a time
+ROWS = 50  # texts or chunks whose words are held at a time
 GATHER = 1 << 18  # runs copied in one call
 
 
@@ -320,8 +320,7 @@ def states(matrices: list[np.ndarray], begin: int, end: int | None) -> list[int]
     return out[::-1]
 
 
-def _lists(rows: list[list[int] | np.ndarray]) -> pa.Array:
-    each = [np.asarray(r, np.int32) for r in rows]
+def _lists(each: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*each, np.empty(0, np.int32)])))
 
@@ -332,7 +331,7 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def _giants(docs: DataFrame, text: str, shared, chunk: int) -> DataFrame:  # noqa: ANN001
+def _giants(docs: DataFrame, text: str, shared, model: str, chunk: int) -> DataFrame:  # noqa: ANN001
     """key (MD5 of the text) and ids of texts longer than a chunk."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +348,8 @@ def _giants(docs: DataFrame, text: str, shared, chunk: int) -> DataFrame:  # noq
                 })
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in batches:
+        encoder = encoder_of(model, shared.value)
+        for batch in _few(batches):
             each = [encoder.transfer(r["body"], r["begin"], r["size"], r["last"]) for r in batch.to_pylist()]
             yield pa.record_batch({
                 "key": batch.column("key"), "at": batch.column("at"), "rows": pa.array([len(m) for m in each], pa.int32()), "matrix": pa.array([m.tobytes() for m in each], pa.binary()),
@@ -381,9 +380,11 @@ def _giants(docs: DataFrame, text: str, shared, chunk: int) -> DataFrame:  # noq
         return pa.table({"key": pa.array([key[0].as_py()] * len(at)), "at": pa.array(at, pa.int64()), "state": pa.array(s[:-1], pa.int32()), "to": pa.array(s[1:], pa.int32())})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            each = [encoder.between(r["body"], r["begin"], r["size"], r["last"], r["state"], r["to"]) for r in batch.to_pylist()]
+        encoder = encoder_of(model, shared.value)
+        for batch in _few(batches):
+            if encoder.words.full():
+                del encoder.words
+            each = [np.array(encoder.between(r["body"], r["begin"], r["size"], r["last"], r["state"], r["to"]), np.int32) for r in batch.to_pylist()]
             yield pa.record_batch({"key": batch.column("key"), "at": batch.column("at"), "ids": _lists(each)})
 
     rows = docs.select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("body"))
@@ -423,7 +424,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = M
     giants = docs.where(giant)
     if giants.isEmpty():
         return short
-    found = stored(_giants(giants, text, shared, chunk), "piece-ids").select(F.col("key").alias(key), F.col("ids").alias(found_ids))
+    found = stored(_giants(giants, text, shared, model, chunk), "piece-ids").select(F.col("key").alias(key), F.col("ids").alias(found_ids))
     long = giants.withColumn(key, F.md5(F.col(text).cast("binary"))).join(found, key)
     long = long.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(found_ids).alias(out))
     return short.union(long)
