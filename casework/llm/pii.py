@@ -8,11 +8,14 @@ stays in place, and a number is permuted by its digits, however it is punctuated
 | kind | permuted | stays |
 | card | all digits but the last, which is the check digit anew | length, grouping |
 | phone | all digits after the country code | country code, punctuation |
-| date | any day of 271 * 271 from 1900-01-01 on | notation |
+| date, dashes | any day of 271 * 271 from 1900-01-01 on | notation |
+| date, slashes | years 1900 to 2101 and days, among those that read both ways, have days 13 to 28, later days, or are February 29 | order of day and month, where it shows |
 | ssn | within the areas, groups and serials that are issued | dashes |
 | ip | all four octets | dots |
 | email | letters and digits in front of the @, case kept | domain |
 
+``01/05/2020`` may be a day of January or of May, so dates that read both ways are permuted as texts among themselves.
+
 Defined cases: null text stays null with count 0; texts without any match are returned as they are; whole texts are read.
 """
 
@@ -20,9 +23,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import free_names
+
 ROUNDS = 10
 FIRST_DAY = "1900-01-01"
 SIDE = 271  # SIDE * SIDE days
+FIRST_YEAR, YEARS = 1900, 202  # of dates with slashes; 7 * 7 of these years have a February 29
+LATE = [f"{m:02}/{d}" for m in range(1, 13) if m != 2 for d in ((29, 30) if m in (4, 6, 9, 11) else (29, 30, 31))]
 
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -45,7 +52,7 @@ def _number(hexadecimal: Column, digits: int = 12) -> Column:
     return F.conv(F.substring(hexadecimal, 1, digits), 16, 10).cast("bigint")
 
 
-def permuted_pair(a: Column, b: Column, m: int, n: int, key: str, kind: str) -> Column:
+def permuted_pair(a: Column, b: Column, m: Column | int, n: Column | int, key: str, kind: Column | str) -> Column:
     """A keyed permutation of pairs with 0 <= a < m and 0 <= b < n, as a struct (a, b)."""
 
     def step(x: Column, i: Column) -> Column:
@@ -132,15 +139,41 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    def one(form: str) -> Column:
-        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        p = permuted_pair(F.floor(number / SIDE), number % SIDE, SIDE, SIDE, key, "date")
-        new = F.aggregate(F.array(p), F.lit(0).cast("bigint"), lambda a, x: a + x["a"] * SIDE + x["b"])
-        text = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), form)
-        return F.when(day.isNotNull() & (number >= 0) & (number < SIDE * SIDE), text)
+    day = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
+    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+    p = permuted_pair(F.floor(number / SIDE), number % SIDE, SIDE, SIDE, key, "date")
+    new = F.aggregate(F.array(p), F.lit(0).cast("bigint"), lambda a, x: a + x["a"] * SIDE + x["b"])
+    text = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), "yyyy-MM-dd")
+    dashed = F.when(day.isNotNull() & (number >= 0) & (number < SIDE * SIDE), text)
+    return F.coalesce(F.when(F.contains(m, F.lit("-")), dashed).otherwise(_slash_date(m, key)), m)
+
+
+def _slash_date(m: Column, key: str) -> Column:
+    """Each group of dates is a product of years and days, so that a permuted pair is a date of the same group; null if it is no date."""
+    part = lambda i: F.get(F.split(m, "/"), F.lit(i)).cast("int")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    first, second, year = part(0), part(1), part(2) - FIRST_YEAR
+    month, day = F.least(first, second), F.greatest(first, second)
+    late = F.array_position(F.array(*map(F.lit, LATE)), F.concat_ws("/", two(month), two(day))).cast("int") - 1
+    leap = (year > 0) & (year % 4 == 0) & (year != 200)
+    group = (
+        F.when(~year.between(0, YEARS - 1) | (month < 1) | (month > 12), None).when(day <= 12, "both").when(day <= 28, "early")
+        .when(late >= 0, "late").when((month == 2) & (day == 29) & leap, "leap")
+    )
+    of = lambda both, early, late, leap: F.when(group == "both", both).when(group == "early", early).when(group == "late", late).otherwise(leap)
+    slot = of((first - 1) * 12 + second - 1, (month - 1) * 16 + day - 13, late, F.floor(year / 4 - 1).cast("int") % 7)
+    row = of(year, year, year, F.floor((year / 4 - 1) / 7).cast("int"))
+    p = permuted_pair(row, slot, of(YEARS, YEARS, YEARS, 7), of(144, 192, len(LATE), 7), key, F.concat(F.lit("date "), group))
+
+    def text(x: Column) -> Column:
+        md = of(
+            F.concat_ws("/", two(F.floor(x["b"] / 12) + 1), two(x["b"] % 12 + 1)), F.concat_ws("/", two(F.floor(x["b"] / 16) + 1), two(x["b"] % 16 + 13)),
+            F.get(F.array(*map(F.lit, LATE)), x["b"].cast("int")), F.lit("02/29"),
+        )
+        turned = F.when((group == "both") | (first < second), md).otherwise(F.concat_ws("/", F.substring(md, 4, 2), F.substring(md, 1, 2)))
+        return F.concat_ws("/", turned, (of(x["a"], x["a"], x["a"], (x["a"] * 7 + x["b"]) * 4 + 4) + FIRST_YEAR).cast("string"))
 
-    return F.coalesce(F.when(F.contains(m, F.lit("-")), one("yyyy-MM-dd")).otherwise(F.coalesce(one("MM/dd/yyyy"), one("dd/MM/yyyy"))), m)
+    return F.when(group.isNotNull(), F.aggregate(F.array(p), F.lit(""), lambda acc, x: F.concat(acc, text(x))))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -175,9 +208,10 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", out: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text, and __replaced: a struct (old, new) of what was replaced, in order."""
     found = F.when(F.col(text).rlike(ANY), F.regexp_extract_all(F.col(text), F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    df = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    df = df.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    found_name, new_name = free_names(docs, "found", "new")
+    df = docs.withColumn(found_name, F.coalesce(found, F.array().cast("array<string>")))
+    df = df.withColumn(new_name, F.transform(found_name, lambda m: pseudonym(m, key)))
     gaps = F.split(F.col(text), ANY, -1)
-    whole = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get("__new", i), F.lit(""))))), "")
-    pairs = F.filter(F.transform("__found", lambda m, i: F.struct(m.alias("old"), F.get("__new", i).alias("new"))), lambda x: x["old"] != x["new"])
-    return df.withColumn("__replaced", pairs).withColumn(out, F.when(F.size("__found") > 0, whole).otherwise(F.col(text))).drop("__found", "__new")
+    whole = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(new_name, i), F.lit(""))))), "")
+    pairs = F.filter(F.transform(found_name, lambda m, i: F.struct(m.alias("old"), F.get(new_name, i).alias("new"))), lambda x: x["old"] != x["new"])
+    return df.withColumn("__replaced", pairs).withColumn(out, F.when(F.size(found_name) > 0, whole).otherwise(F.col(text))).drop(found_name, new_name)
