@@ -105,7 +105,7 @@ class Words(dict):
 
     def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
         super().__init__()
-        self.ids_of, self.ids, self.starts = ids_of, array("i"), array("q", [0])
+        self.ids_of, self.ids, self.starts, self.uses = ids_of, array("i"), array("q", [0]), np.empty(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         self.ids.extend(self.ids_of(word))
@@ -113,8 +113,23 @@ class Words(dict):
         number = self[word] = len(self)
         return number
 
-    def full(self) -> bool:
-        return len(self) >= MOST_WORDS or len(self.ids) >= MOST_IDS
+    def use(self, which: np.ndarray) -> None:
+        """Counts uses; when there are too many words, the half (or quarter of their ids) that was met most often stays."""
+        uses = np.bincount(which, minlength=len(self))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+
+    def trim(self) -> None:
+        if len(self) < MOST_WORDS and len(self.ids) < MOST_IDS:
+            return
+        self.use(np.empty(0, np.int64))
+        order = np.argsort(-self.uses, kind="stable")[: MOST_WORDS // 2]
+        order = order[np.cumsum(np.diff(np.array(self.starts))[order]) <= MOST_IDS // 4]
+        texts = list(self)
+        ids, ends = gathered(np.array(self.ids, np.int32), np.array(self.starts), order)
+        self.clear()
+        self.update((texts[k], i) for i, k in enumerate(order.tolist()))
+        self.ids, self.starts, self.uses = array("i", ids.tolist()), array("q", ends.tolist()), self.uses[order] // 2
 
 
 def normal(text: str | None) -> str:
@@ -241,13 +256,14 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text: its words become numbers, and the words' ids are copied side by side."""
-        if self.words.full():
-            del self.words
+        self.words.trim()
         which, counts = array("q"), [0]
         for t in texts:
             which.extend(map(self.words.__getitem__, WORD.findall(normal(t))))
             counts.append(len(which))
-        ids, ends = gathered(np.array(self.words.ids, np.int32), np.array(self.words.starts), np.array(which, np.int64))
+        numbers = np.array(which, np.int64)
+        self.words.use(numbers)
+        ids, ends = gathered(np.array(self.words.ids, np.int32), np.array(self.words.starts), numbers)
         return pa.ListArray.from_arrays(pa.array(ends[counts].astype(np.int32)), pa.array(ids))
 
     def borders(self, text: str, border: int, last: bool = False) -> list[Span]:
@@ -382,8 +398,7 @@ def _giants(docs: DataFrame, text: str, shared, model: str, chunk: int) -> DataF
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model, shared.value)
         for batch in _few(batches):
-            if encoder.words.full():
-                del encoder.words
+            encoder.words.trim()
             each = [np.array(encoder.between(r["body"], r["begin"], r["size"], r["last"], r["state"], r["to"]), np.int32) for r in batch.to_pylist()]
             yield pa.record_batch({"key": batch.column("key"), "at": batch.column("at"), "ids": _lists(each)})
 

@@ -1,5 +1,6 @@
 """The dealt operators against brute force, on small tables with every awkward case."""
 
+import calendar
 import hashlib
 import os
 import random
@@ -183,6 +184,26 @@ def test_pii_is_a_permutation(spark):
     assert {r["p"] for r in df.collect()} == {f"{i:03}" for i in range(1000)}
 
 
+def test_pii_dates_are_a_permutation(spark):
+    def is_date(y: int, m: int, d: int) -> bool:
+        return 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+
+    every = {f"{a:02}/{b:02}/{y}" for y in range(1900, 2102) for a in range(1, 32) for b in range(1, 32) if is_date(y, a, b) or is_date(y, b, a)}
+    bad = {"02/30/2020", "13/13/2020", "00/05/2020", "05/00/2020", "02/29/2100", "29/02/1900", "31/04/2000", "32/01/2000", "01/05/1899", "01/05/2102"}
+    df = spark.createDataFrame([(x,) for x in sorted(every | bad)], "text string").repartition(8)
+    new = {r["text"]: r["p"] for r in df.select("text", pii.pseudonym(F.col("text"), "k").alias("p")).collect()}
+    assert {new[x] for x in every} == every
+    assert all(new[x] == x for x in bad)
+    assert sum(new[x] == x for x in every) < 100
+
+
+def test_pii_keeps_other_columns(spark):
+    df = spark.createDataFrame([("a@b.de", 1, 2)], "text string, __found int, __new int")
+    row = pii.pseudonymised(df, "k").first()
+    assert (row["__found"], row["__new"]) == (1, 2)
+    assert row["text"] != "a@b.de"
+
+
 # 5
 
 
@@ -200,6 +221,16 @@ def test_pieces_equal_the_library(spark):
             assert row["decoded"] == (row["text"] or "")
 
 
+def test_pieces_when_words_are_let_go(monkeypatch):
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    monkeypatch.setattr(pieces, "MOST_WORDS", 40)
+    e = pieces.Encoder(pieces.Model.load())
+    for t in [*texts(6, 40), None, "", "x" * 500]:
+        rows = e.encode_all([t, t])
+        assert rows.to_pylist() == [lib.encode(t or "")] * 2
+        assert e.model.decode(rows) == [t or ""] * 2
+
+
 def test_pieces_of_a_giant_without_spaces():
     e = pieces.Encoder(pieces.Model.load())
     t = pieces.normal("ababab" * 300)
