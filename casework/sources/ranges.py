@@ -2,7 +2,7 @@
 
 ``spark.read.format("byte_ranges")`` reads a written plan of ``(case_id, os_path, seq, start, length)`` rows; bytes outside them
 (sparse holes, dead parts of a journal, the middle of a log whose end is wanted) are never touched. Long ranges are cut into pieces,
-short ones share a partition. Filters belong on the plan, before it is read: what Spark 4.1 pushes into a Python source for one query
+short ones share a partition, and small pieces do so once there are more than a few for every core. Filters belong on the plan, before it is read: what Spark 4.1 pushes into a Python source for one query
 stays in force for later queries of the same DataFrame, so this source takes no filters from it.
 
 Defined cases: a file that ends early gives what it has and then a row with ``error`` and no bytes; one that cannot be opened
@@ -27,6 +27,7 @@ from casework.sources.files import CHUNK, UnsupportedScheme, located, open_uri
 NAME = "byte_ranges"
 SCHEMA = "case_id string, os_path string, seq bigint, chunk_offset bigint, bytes binary, error string"
 PIECE = 64 * CHUNK
+TASKS = 64  # partitions that a read has at least before small pieces share one
 _BATCH = pa.schema([
     ("case_id", pa.string()), ("os_path", pa.string()), ("seq", pa.int64()), ("chunk_offset", pa.int64()), ("bytes", pa.binary()), ("error", pa.string()),
 ])
@@ -54,9 +55,15 @@ def stretches(ranges: Iterable[tuple], piece: int) -> list[Stretch]:
     return out
 
 
+def joined(parts: list[Stretch], most: int, piece: int) -> list[Stretch]:
+    """At most ``most`` partitions, neighbours being read by one task, unless a task would then read more than PIECE bytes."""
+    k = min(-(-len(parts) // most), max(1, PIECE // piece))
+    return [Stretch([p for part in parts[a : a + k] for p in part.pieces]) for a in range(0, len(parts), k)] if k > 1 else parts
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.plan, self.piece = options["path"], int(options.get("piece", PIECE))
+        self.plan, self.piece, self.tasks = options["path"], int(options.get("piece", PIECE)), int(options.get("tasks", TASKS))
         self.every, self.take = int(options.get("every", 0)), int(options.get("take", 0))
         if self.piece < 1 or (self.every and (CHUNK % self.every or self.piece % CHUNK)):
             raise ValueError("pieces are positive, and whole chunks of whole steps where only some bytes are taken")
@@ -65,13 +72,20 @@ class RangeReader(DataSourceReader):
         filesystem, path = located(self.plan)
         rows = pads.dataset(path, filesystem=filesystem, format="parquet").to_table(columns=list(_PLAN), filter=pads.field("length") > 0)
         rows = rows.sort_by([(c, "ascending") for c in ("os_path", "start")])
-        return stretches(zip(*(rows.column(c).to_pylist() for c in _PLAN), strict=True), self.piece) or [Stretch([])]
+        parts = stretches(zip(*(rows.column(c).to_pylist() for c in _PLAN), strict=True), self.piece)
+        return joined(parts, self.tasks, self.piece) or [Stretch([])]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        for case, path, seq, start, length in partition.pieces:
-            at, end = start, start + length
-            try:
-                with open_uri(path) as handle:
+        handle, opened = None, None
+        try:
+            for case, path, seq, start, length in partition.pieces:
+                at, end = start, start + length
+                try:
+                    if opened != path:  # pieces of one file follow each other
+                        if handle is not None:
+                            handle.close()
+                        handle = opened = None
+                        handle, opened = open_uri(path), path
                     handle.seek(start)
                     while at < end:
                         data = handle.read(min(CHUNK, end - at))
@@ -79,10 +93,13 @@ class RangeReader(DataSourceReader):
                             raise EOFError(f"ends at {at}, {end - at} bytes early")
                         yield self._row(case, path, seq, at, self._taken(data))
                         at += len(data)
-            except UnsupportedScheme:
-                raise
-            except (OSError, EOFError, ValueError) as error:
-                yield self._row(case, path, seq, at, None, f"unreadable: {error}")
+                except UnsupportedScheme:
+                    raise
+                except (OSError, EOFError, ValueError) as error:
+                    yield self._row(case, path, seq, at, None, f"unreadable: {error}")
+        finally:
+            if handle is not None:
+                handle.close()
 
     def _taken(self, data: bytes) -> bytes:
         """All bytes, or the first ``take`` of every ``every`` bytes, as far as they are complete."""
@@ -118,7 +135,8 @@ def read_ranges(ranges: DataFrame, piece: int = PIECE, every: int = 0, take: int
     plan = shared_dir(spark, "ranges")
     ranges.select("case_id", "os_path", *[F.col(c).cast("bigint").alias(c) for c in ("seq", "start", "length")]).write.parquet(plan)
     spark.dataSource.register(ByteRanges)
-    reader = spark.read.format(NAME).option("piece", str(piece))
+    tasks = max(TASKS, 4 * spark.sparkContext.defaultParallelism)
+    reader = spark.read.format(NAME).option("piece", str(piece)).option("tasks", str(tasks))
     if every:
         reader = reader.option("every", str(every)).option("take", str(take))
     return reader.load(plan)

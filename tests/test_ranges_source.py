@@ -95,3 +95,20 @@ def test_what_is_read_of_a_file_is_bounded(spark, tmp_path):
     assert heads == 5 * CHUNK // 4096 * 4
     with pytest.raises(ValueError):
         ranges.first_bytes(files, 1 << 40)
+
+
+def test_many_small_pieces_share_partitions(spark, data):
+    folder, content = data
+    df = ranges.read_ranges(planned(spark, folder, [("a", "d.bin", 0, 600_000), ("b", "short.bin", 0, 9)]), 1000)
+    assert df.rdd.getNumPartitions() <= ranges.TASKS
+    rows = df.where("seq = 0").collect()
+    assert max(len(r.bytes) for r in rows) == 1000
+    assert b"".join(bytes(r.bytes) for r in sorted(rows, key=lambda r: r.chunk_offset)) == content[:600_000]
+
+
+def test_joined_partitions_keep_pieces_and_stay_small():
+    parts = ranges.stretches([("c", "p", 0, 0, 10_000)], 10)
+    some = ranges.joined(parts, 64, 10)
+    assert len(some) == 63 and [p for s in some for p in s.pieces] == [p for s in parts for p in s.pieces]
+    large = ranges.stretches([("c", "p", 0, 0, 400 * CHUNK)], 32 * CHUNK)
+    assert [len(s.pieces) for s in ranges.joined(large, 2, 32 * CHUNK)] == [2] * 6 + [1]
