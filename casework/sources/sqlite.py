@@ -50,11 +50,11 @@ def _reader(table: str, columns: Mapping[str, str]):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.to_pylist():
-                source = {"case_id": file["case_id"], "os_path": file["os_path"]}
+            for case_id, os_path, content in zip(*(batch.column(c) for c in ("case_id", "os_path", "content")), strict=True):
+                source = {"case_id": case_id.as_py(), "os_path": os_path.as_py()}
                 rows: list[dict] = []
                 try:
-                    connection = _database(file["content"])
+                    connection = _database(content.as_py())  # one database at a time leaves the batch
                     try:
                         for row in connection.execute(query):
                             cells = {n: _cell(v, columns[n]) for n, v in zip(names, row)}
