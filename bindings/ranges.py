@@ -209,25 +209,27 @@ def write_streams(spark, sf, folder):
     return spark.read.parquet(f"{folder}-listing")
 
 
-def written_files(df, folder: str):
-    """Each row's ``content`` as a file of its own: (case_id, os_path, size) of the copies, named by the row's os_path."""
-    base = located(folder)
+def file_writer(filesystem, root: str):
+    """Writes the cells of Arrow batches one after the other, without a copy of them all."""
 
     def write(batches):
-        filesystem, root = base
         filesystem.create_dir(root, recursive=True)
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                with filesystem.open_output_stream(f"{root}/{row['os_path']}.bin") as out:
-                    out.write(row["content"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["case_id"] for r in rows], pa.string()), pa.array([f"{root}/{r['os_path']}.bin" for r in rows], pa.string()), pa.array([len(r["content"]) for r in rows], pa.int64())],
-                names=["case_id", "os_path", "size"],
-            )
+            paths, sizes = [f"{root}/{name}.bin" for name in batch.column("os_path").to_pylist()], []
+            for path, content in zip(paths, batch.column("content"), strict=True):
+                body = content.as_buffer()
+                with filesystem.open_output_stream(path) as out:
+                    out.write(body)
+                sizes.append(body.size)
+            yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["case_id", "os_path", "size"])
+
+    return write
 
+
+def written_files(df, folder: str):
+    """Each row's ``content`` as a file of its own: (case_id, os_path, size) of the copies, named by the row's os_path."""
     listing = f"{folder}-listing"
-    df.select("case_id", "os_path", "content").mapInArrow(write, "case_id string, os_path string, size bigint").write.parquet(listing)
+    df.select("case_id", "os_path", "content").mapInArrow(file_writer(*located(folder)), "case_id string, os_path string, size bigint").write.parquet(listing)
     return df.sparkSession.read.parquet(listing)
 
 
