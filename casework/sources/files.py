@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import lzma
+import os
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -15,6 +17,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casework.session import shared_dir
+
 CHUNK = 1024 * 1024
 
 
@@ -23,33 +27,124 @@ def _volume(path: Column) -> Column:
     return F.when(first.rlike("^[A-Za-z]$"), F.upper(first))
 
 
+_TREE = "path string, relative string, is_folder boolean, length bigint, mtime timestamp"
+_TREE_ARROW = pa.schema([("path", pa.string()), ("relative", pa.string()), ("is_folder", pa.bool_()), ("length", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC"))])
+_LISTED = 4096  # entries of a folder that go into one batch
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's own readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _glob(pattern: str) -> re.Pattern:
+    """A path filter of Hadoop as a regular expression: * ? [abc] [^a-c] {one,other}."""
+    out, depth, i = "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            out += re.escape(pattern[i])
+        elif c == "[" and "]" in pattern[i + 2 :]:
+            end = pattern.index("]", i + 2)
+            out += "[" + pattern[i + 1 : end].replace("\\", "\\\\").replace("!", "^", pattern[i + 1] == "!") + "]"
+            i = end
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        else:
+            out += {"*": ".*", "?": ".", ",": "|" if depth else ","}.get(c, re.escape(c))
+        i += 1
+    return re.compile(out, re.DOTALL)
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder, relative in zip(batch.column("path").to_pylist(), batch.column("relative").to_pylist(), strict=True):
+            filesystem, name = located(folder)
+            found = filesystem.get_file_info(pafs.FileSelector(name, allow_not_found=True))
+            kept = [f for f in found if not _hidden(f.base_name) and f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+            for at in range(0, len(kept), _LISTED):
+                some = kept[at : at + _LISTED]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{folder.rstrip('/')}/{f.base_name}" for f in some], pa.string()),
+                        pa.array([f"{relative}/{f.base_name}" if relative else f.base_name for f in some], pa.string()),
+                        pa.array([f.type == pafs.FileType.Directory for f in some], pa.bool_()),
+                        pa.array([None if f.type == pafs.FileType.Directory else f.size for f in some], pa.int64()),
+                        pa.array([None if f.mtime_ns is None else f.mtime_ns // 1_000_000 * 1000 for f in some], pa.int64()).cast(pa.timestamp("us", tz="UTC")),
+                    ],
+                    schema=_TREE_ARROW,
+                )
+
+
+def _tree(spark: SparkSession, root: str) -> DataFrame:
+    """Files below ``root``, listed by tasks, one level of folders after the other; the driver sees no names."""
+    filesystem, name = located(root)
+    if filesystem.get_file_info(name).type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"no folder {root}")
+    listing = shared_dir(spark, "listing")
+    level, number = spark.createDataFrame([(root, "")], "path string, relative string"), 0
+    while True:
+        at = f"{listing}/level={number}"
+        level.mapInArrow(_list_folders, _TREE).write.parquet(at)
+        found = spark.read.schema(_TREE).parquet(at).where("is_folder").select("path", "relative")
+        if found.isEmpty():
+            return spark.read.schema(_TREE).option("recursiveFileLookup", "true").parquet(listing).where("NOT is_folder")
+        level, number = spread(found, "path"), number + 1
+
+
+_READ = 4 * CHUNK
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the content of their files; those that vanished or cannot be opened are left out."""
+    for batch in batches:
+        rows, contents, size = [], [], 0
+        for i, path in enumerate(batch.column("path").to_pylist()):
+            try:
+                with _open(path) as handle:
+                    contents.append(handle.read())
+            except OSError:
+                continue
+            rows.append(i)
+            size += len(contents[-1])
+            if size >= _READ:
+                yield _with_content(batch, rows, contents)
+                rows, contents, size = [], [], 0
+        if rows:
+            yield _with_content(batch, rows, contents)
+
+
+def _with_content(batch: pa.RecordBatch, rows: list[int], contents: list[bytes]) -> pa.RecordBatch:
+    some = batch.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*some.columns, pa.array(contents, pa.binary())], names=[*some.schema.names, "content"])
+
+
 def read_tree(spark: SparkSession, root: str, glob: str | None = None, with_content: bool = True) -> DataFrame:
     """Regular files below ``root``, any depth. Without content the read touches metadata only.
 
-    The first folder below ``root`` is the case; files that vanish or cannot be opened are passed over.
+    The first folder below ``root`` is the case; files that vanish or cannot be opened are passed over. Folders are listed by
+    tasks, so that no list of files passes through the driver.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-    )
+    if ":" not in root.split("/", 1)[0]:
+        root = os.path.abspath(root)
+    listed = _tree(spark, root)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root)
+        listed = listed.where(F.substring_index("relative", "/", -1).rlike(f"^(?s:{_glob(glob).pattern})$"))
     plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    base = root.removeprefix("file:").rstrip("/") + "/"
-    relative = F.substring_index(plain, base, -1)
-    archive = F.regexp_replace(relative, "^[^/]*/", "")
+    archive = F.regexp_replace("relative", "^[^/]*/", "")
     columns = {
-        "case_id": F.substring_index(relative, "/", 1),
+        "case_id": F.substring_index("relative", "/", 1),
         "os_path": plain,
         "archive_path": archive,
         "volume": _volume(archive),
         "size": F.col("length"),
-        "mtime": F.col("modificationTime"),
+        "mtime": F.col("mtime"),
     }
     if with_content:
+        listed = spread(listed, "path").mapInArrow(_read_files, f"{_TREE}, content binary")
         columns["content"] = F.col("content")
     return listed.select(*[c.alias(n) for n, c in columns.items()])
 
