@@ -13,7 +13,7 @@ from casework.operators.detect import build_plans, detect, select_plans
 from casework.plans import decoders
 from casework.plans.catalog import DETECTION_RULES
 from casework.sinks.results import write_manifest
-from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks, read_member_heads, spread
+from casework.sources.files import MEMBER_ERRORS, _Packages, list_packages, located, read_member_chunks, read_member_heads, spread, together
 
 USN_ARTIFACT = "Windows.NTFS.UsnJournal.RawStream"
 CELL = 1 << 30
@@ -111,7 +111,7 @@ def extract_members(members: DataFrame, folder: str) -> DataFrame:
         finally:
             packages.close()
 
-    dealt = spread(members, "package", "member_no").sortWithinPartitions("package", "member_no")
+    dealt = spread(members, "package", together()).sortWithinPartitions("package", "member_no")
     return dealt.mapInArrow(copy, "case_id string, archive_path string, size bigint, os_path string, error string")
 
 
@@ -184,7 +184,9 @@ def parse_members(
             unread = opened.groupBy("case_id").agg(F.min("error").alias("error"))
             counts = spark.read.schema("case_id string").json(target).groupBy("case_id").agg(F.count("*").alias("n"))
             done = unread.join(counts, "case_id", "left")
-            outcomes.append(done.select("case_id", plan, "error", F.col("n").alias("exported_records")))
+            # kept: the entries are read more than once, the rows that were written only here
+            done.select("case_id", plan, "error", F.col("n").alias("exported_records")).write.mode("overwrite").parquet(f"{scratch}/outcomes/{family}/{artifact}")
+            outcomes.append(spark.read.parquet(f"{scratch}/outcomes/{family}/{artifact}"))
         except Exception as error:  # noqa: BLE001 - one failing artifact must not end the run
             cases = mine.select("case_id").distinct()
             outcomes.append(cases.select("case_id", plan, F.lit(str(error)).alias("error"), F.lit(None).cast("bigint").alias("exported_records")))

@@ -228,11 +228,16 @@ def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str | Column) -> DataFrame:
     """Small rows that stand for much reading, dealt to all shuffle partitions: without a number Spark would merge them by their own size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def together() -> Column:
+    """Members of a package that one task reads: small ones by 64, so that their package is opened once for them all, others alone."""
+    return F.when(F.col("size") <= CHUNK, -1 - F.call_function("div", F.col("member_no"), F.lit(64))).otherwise(F.col("member_no"))
+
+
 def list_packages(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     """Members of every zip below ``path``; only the central directories are read.
 
@@ -348,19 +353,19 @@ _HASHES = pa.schema([("package", pa.string()), ("archive_path", pa.string()), ("
 
 def hash_members(members: DataFrame) -> DataFrame:
     """SHA-256 of listed members of any size, read piece by piece: (package, archive_path, size, status, sha256)."""
-    dealt = spread(members.where(F.col("status") == "ok"), "package", "member_no").sortWithinPartitions("package", "member_no")
+    dealt = spread(members.where(F.col("status") == "ok"), "package", together()).sortWithinPartitions("package", "member_no")
     return dealt.mapInArrow(_hash_members, "package string, archive_path string, size bigint, status string, sha256 string")
 
 
 def read_member_chunks(members: DataFrame, chunk_bytes: int = 64 * CHUNK) -> DataFrame:
     """Bytes of package members in numbered chunks.
 
-    Members are spread over tasks one by one, whatever package they sit in, so one huge package does
-    not become one task; a member larger than ``chunk_bytes`` yields several rows. One that cannot be read
+    Members are spread over tasks, small ones by 64 and others one by one, whatever package they sit in, so one huge
+    package does not become one task; a member larger than ``chunk_bytes`` yields several rows. One that cannot be read
     to its end has a last row without content whose status says why; the others are not affected.
     """
     wanted = members.where(F.col("status") == "ok")
-    dealt = spread(wanted, "package", "member_no").sortWithinPartitions("package", "member_no")
+    dealt = spread(wanted, "package", together()).sortWithinPartitions("package", "member_no")
     return dealt.mapInArrow(_member_reader(chunk_bytes), FILES_DDL)
 
 
