@@ -23,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import stored
@@ -35,6 +36,7 @@ FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower
 BLOCK_DOCS, BLOCK_TERMS = 2048, 1_000_000
 ITEMS_PER_PACK, MOST_HELD = 256, 50_000
 BROADCAST_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20  # of the stored tables, whose rows have several MB each
 LAST_ID = np.iinfo(np.int64).max
 SALTS = 256
 
@@ -53,28 +55,38 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def grid_of(docs: list[tuple[int | None, Counter]]) -> dict:
-    """One block: postings ordered by term (frequent first) and document (by id)."""
-    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    df = Counter()
-    for _, counts in docs:
-        df.update(counts.keys())
-    vocabulary = sorted(df, key=lambda t: (-df[t], t))
-    place = {t: i for i, t in enumerate(vocabulary)}
-    sizes = [len(c) for _, c in docs]
-    rows = np.fromiter((place[t] for _, c in docs for t in c), np.int64, sum(sizes))
-    tf = np.fromiter((n for _, c in docs for n in c.values()), np.int64, len(rows))
-    columns = np.repeat(np.arange(len(docs)), sizes)
-    order = np.argsort(rows, kind="stable")
-    lengths = [c.total() for _, c in docs]
-    return {
-        "n_docs": len(docs), "n_terms": sum(lengths), "ids": [d for d, _ in docs], "lengths": lengths, "vocabulary": [t.decode() for t in vocabulary],
-        "df": [df[t] for t in vocabulary], "documents": columns[order].astype("<u4").tobytes(), "tf": tf[order].astype("<u4").tobytes(),
-    }
-
-
-def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+class Gathered:
+    """Documents of one block to be. Terms are numbered as they come, so that a document is an array of numbers and one of counts."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.docs: list[tuple[int | None, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, words: list[bytes]) -> None:
+        counts, number = Counter(words), self.number
+        own = np.fromiter((number.setdefault(t, len(number)) for t in counts), np.uint32, len(counts))
+        self.docs.append((doc_id, own, np.fromiter(counts.values(), np.uint32, len(counts))))
+        self.size += len(words)
+
+    def grid(self) -> pa.RecordBatch:
+        """One row: postings ordered by term (frequent first) and document (by id)."""
+        docs = sorted(self.docs, key=lambda d: (d[0] is None, d[0] or 0))
+        numbers, tf = (np.concatenate([d[i] for d in docs]) for i in (1, 2))
+        names = sorted(self.number)
+        known = np.fromiter((self.number[t] for t in names), np.int64, len(names))
+        df = np.bincount(numbers, minlength=len(names))[known]
+        frequent = np.argsort(-df, kind="stable")
+        place = np.empty(len(names), np.uint32)
+        place[known[frequent]] = np.arange(len(names), dtype=np.uint32)
+        order = np.argsort(place[numbers], kind="stable")
+        columns = np.repeat(np.arange(len(docs), dtype="<u4"), [len(d[1]) for d in docs])
+        lengths = [int(d[2].sum(dtype=np.int64)) for d in docs]
+        row = [
+            len(docs), sum(lengths), [d[0] for d in docs], lengths, [names[i].decode() for i in frequent.tolist()], df[frequent],
+            *(zstandard.compress(numbers[order].astype("<u4").tobytes(), 1) for numbers in (columns, tf)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, GRID_TYPES.types, strict=True)], schema=GRID_TYPES)
 
 
 GRID_TYPES = pa.schema([
@@ -88,37 +100,37 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     """Indexes every row. Texts are read once: counts by block are stored, and become treaps when the corpus sums are known."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held = Gathered()
         for batch in batches:
             for d, t in zip(batch.column(0), batch.column(1)):
                 words = terms(t.as_py())
                 if not words:
                     continue
-                held.append((d.as_py(), Counter(words)))
-                size += len(words)
-                if len(held) >= block_docs or size >= block_terms:
-                    yield _rows([grid_of(held)], GRID_TYPES)
-                    held, size = [], 0
-        if held:
-            yield _rows([grid_of(held)], GRID_TYPES)
+                held.add(d.as_py(), words)
+                if len(held.docs) >= block_docs or held.size >= block_terms:
+                    yield held.grid()
+                    held = Gathered()
+        if held.docs:
+            yield held.grid()
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    grids = stored(slim.mapInArrow(count, GRID), "search-grids")
+    grids = stored(slim.mapInArrow(count, GRID), "search-grids", GROUP_BYTES)
     n_docs, n_terms = grids.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, df, columns, tfs = (batch.column(c) for c in ("lengths", "df", "documents", "tf"))
-            treaps = []
             for i in range(batch.num_rows):
-                own = df[i].values.to_numpy()
-                m = 75 + 25 * lengths[i].values.to_numpy() * n_docs // n_terms
-                at, tf = np.frombuffer(columns[i].as_py(), "<u4"), np.frombuffer(tfs[i].as_py(), "<u4").astype(np.int64)
-                impacts = 1_000_000_000 * tf // (1000 * tf + 12 * m[at])
-                treaps.append(Treap.of(np.repeat(np.arange(len(own)), own), at, impacts, (len(own), len(m))).packed())
-            yield pa.record_batch([batch.column("ids"), batch.column("vocabulary"), df, pa.array(treaps, pa.binary())], names=["ids", "vocabulary", "df", "treap"])
+                yield grown(batch.slice(i, 1))
+
+    def grown(one: pa.RecordBatch) -> pa.RecordBatch:
+        lengths, df = (one.column(c)[0].values.to_numpy() for c in ("lengths", "df"))
+        at, tf = (np.frombuffer(zstandard.decompress(one.column(c)[0].as_py()), "<u4") for c in ("documents", "tf"))
+        m, tf = 75 + 25 * lengths * n_docs // n_terms, tf.astype(np.int64)
+        impacts = 1_000_000_000 * tf // (1000 * tf + 12 * m[at])
+        treap = Treap.of(np.repeat(np.arange(len(df), dtype=np.uint32), df), at, impacts, (len(df), len(m))).packed()
+        return pa.record_batch([*(one.column(c) for c in ("ids", "vocabulary", "df")), pa.array([treap], pa.binary())], names=["ids", "vocabulary", "df", "treap"])
 
-    return Index(stored(grids.mapInArrow(grow, BLOCK), "search-index"), n_docs, n_terms)
+    return Index(stored(grids.mapInArrow(grow, BLOCK), "search-index", GROUP_BYTES), n_docs, n_terms)
 
 
 def rarity(df: Column, n_docs: int) -> Column:
@@ -179,7 +191,8 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", text: str =
     blocks = index.blocks.select("ids", "vocabulary", "treap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}  # by item: (-score, id), best first
+        none = np.empty(0, np.int64)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by item: scores and ids, best first
         asked: dict[int, Asked] = {}  # by pack of this wave
         for batch in batches:
             for i in range(batch.num_rows):
@@ -187,18 +200,25 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", text: str =
                 if pack not in asked:
                     asked[pack] = Asked(batch.column("items")[i].as_py())
                 treap, vocabulary = Treap.unpacked(batch.column("treap")[i].as_py()), batch.column("vocabulary")[i].values
-                ids = [LAST_ID if d is None else d for d in batch.column("ids")[i].as_py()]
+                ids = pc.fill_null(batch.column("ids")[i].values, LAST_ID).to_numpy()
                 for item, rows, weights in asked[pack].rows_in(vocabulary):
-                    old = best.get(item, [])
-                    columns, scores = treap.best_columns(rows, weights, k, -old[-1][0] if len(old) == k else 1)
-                    best[item] = sorted(old + [(-s, ids[c]) for c, s in zip(columns.tolist(), scores.tolist())])[:k]
+                    scores, found = best.get(item, (none, none))
+                    columns, more = treap.best_columns(rows, weights, k, int(scores[-1]) if len(scores) == k else 1)
+                    if len(more):
+                        scores, found = np.concatenate([scores, more]), np.concatenate([found, ids[columns]])
+                        order = np.lexsort((found, -scores))[:k]
+                        best[item] = scores[order], found[order]
+                del treap  # before the next one is unpacked
                 if len(best) > MOST_HELD:
                     yield hits(best)
                     best = {}
         yield hits(best)
 
-    def hits(best: dict[int, list[tuple[int, int]]]) -> pa.RecordBatch:
-        return _rows([{"item": i, "doc_id": None if d == LAST_ID else d, "score": -s} for i, found in best.items() for s, d in found], HIT_TYPES)
+    def hits(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        none = np.empty(0, np.int64)
+        scores, ids = (np.concatenate([none, *(b[i] for b in best.values())]) for i in (0, 1))
+        numbers = np.concatenate([none, *(np.full(len(s), item) for item, (s, _) in best.items())])
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(ids, mask=ids == LAST_ID), pa.array(scores)], schema=HIT_TYPES)
 
     met = [
         blocks.withColumn("pack", F.explode(F.array(*map(F.lit, wave)))).join(F.broadcast(packs.where(F.col("pack").isin(wave)).drop("bytes")), "pack")

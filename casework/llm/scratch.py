@@ -18,11 +18,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read back: lineage ends there."""
+def stored(df: DataFrame, purpose: str, group_bytes: int | None = None) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read back: lineage ends there.
+
+    Writers and readers hold a row group at a time, which has 100 rows at least unless ``group_bytes`` is given; rows of several MB need it.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", str(group_bytes)).option("parquet.page.size.row.check.min", "1")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

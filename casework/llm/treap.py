@@ -8,6 +8,7 @@ the cell above; cells of a level follow each other in Z-order, so a child's plac
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 import zstandard
@@ -30,8 +31,16 @@ class Treap:
 
     def __init__(self, height: int, masks: np.ndarray, maxima: np.ndarray) -> None:
         """Arrays without the empty cell at the end; it is added here."""
-        self.height, self.masks, self.maxima = height, np.append(masks, np.uint8(0)), np.append(maxima, 0)
-        self.first = 1 + np.cumsum(ONES[self.masks], dtype=np.int64) - ONES[self.masks]
+        self.height, self.masks, self.maxima = height, np.append(masks, np.uint8(0)), np.append(maxima, maxima.dtype.type(0))
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Only searches need it; cells are millions, so places take four bytes where they can."""
+        many = ONES[self.masks]
+        out = np.cumsum(many, dtype=np.int32 if len(many) < 1 << 31 else np.int64)
+        out -= many
+        out += 1
+        return out
 
     @classmethod
     def of(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> Treap:
@@ -39,7 +48,7 @@ class Treap:
         height = max(int(max(shape) - 1).bit_length(), 1)
         codes = (spread(rows) << np.uint64(1)) | spread(columns)
         order = np.argsort(codes)
-        codes, maxima = codes[order], values[order].astype(np.int64)
+        codes, maxima = codes[order], values[order].astype(np.uint32 if values.max() < 1 << 32 else np.int64)
         levels = [(np.zeros(len(codes), np.uint8), maxima)]
         for _ in range(height):
             above = codes >> np.uint64(2)
@@ -62,9 +71,14 @@ class Treap:
     def packed(self) -> bytes:
         """Masks as nibbles, maxima as differences from the cell above."""
         own, maxima = self.masks[:-1], self.maxima[:-1]
-        inner = np.flatnonzero(own)
-        parents = np.repeat(inner, ONES[own[inner]])
-        drops = np.concatenate([maxima[:1], maxima[parents] - maxima[1:]]).astype("<u4")
+        drops = np.empty(len(own), "<u4")
+        drops[0] = maxima[0]
+        begin, end = 0, 1
+        while end < len(own):  # by levels, so that no place of a parent is written down
+            many = ONES[own[begin:end]]
+            size = int(many.sum(dtype=np.int64))
+            drops[end : end + size] = np.repeat(maxima[begin:end], many) - maxima[end : end + size]
+            begin, end = end, end + size
         masks = np.append(own, np.zeros(len(own) % 2, np.uint8))
         planes = drops.view(np.uint8).reshape(-1, 4).T  # equal places of all numbers together
         body = struct.pack("<II", self.height, len(own)) + (masks[::2] | masks[1::2] << np.uint8(4)).tobytes() + planes.tobytes()
@@ -78,7 +92,7 @@ class Treap:
         masks = np.empty(2 * len(nibbles), np.uint8)
         masks[::2], masks[1::2] = nibbles & 15, nibbles >> 4
         planes = np.frombuffer(body, np.uint8, 4 * n, 8 + len(nibbles)).reshape(4, n)
-        maxima = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        maxima = np.ascontiguousarray(planes.T).view("<u4").ravel()
         masks = masks[:n]
         begin, end = 0, 1
         while end < n:  # a level's maxima follow from the level above

@@ -1,13 +1,17 @@
 """Treap search against scoring every document."""
 
 import re
+import tracemalloc
 from collections import Counter
 from math import floor, log
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from casework.llm import ranked
+from casework.llm.scratch import stored
 from casework.llm.treap import Treap
 
 
@@ -101,3 +105,47 @@ def test_empty_tables(spark):
 def test_waves_stay_below_the_bound():
     half = ranked.BROADCAST_BYTES // 2
     assert ranked.waves([(0, half), (1, half), (2, 1), (3, 3 * half), (4, 5)]) == [[0, 1], [2], [3], [4]]
+
+
+def test_a_treap_takes_few_bytes_a_cell():
+    y, x, v = grid(4, 4000, 2048, 300_000, top=1_000_000)
+    packed, peaks = Treap.of(y, x, v, (4000, 2048)).packed(), []
+    for step in (lambda: Treap.of(y, x, v, (4000, 2048)).packed(), lambda: Treap.unpacked(packed).first):
+        tracemalloc.start()
+        step()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    treap = Treap.unpacked(packed)
+    cells = len(treap.masks)
+    assert treap.maxima.nbytes + treap.first.nbytes == 8 * cells
+    assert peaks[0] < 60 * cells and peaks[1] < 26 * cells
+
+
+def test_values_beyond_32_bits_keep_their_maxima():
+    treap = Treap.of(np.array([0, 3]), np.array([1, 2]), np.array([5, 1 << 40]), (4, 4))
+    assert treap.maxima[0] == 1 << 40 and treap.best_columns(np.array([3]), np.array([2]), 1)[1].tolist() == [1 << 41]
+
+
+def test_few_rows_of_many_bytes_make_a_row_group(spark):
+    rows = spark.range(12, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.xxhash64("id", i)).alias("heavy"))
+    groups = []
+    for size in (None, 1 << 20):
+        table = stored(rows, "heavy", size)
+        assert table.agg(F.sum(F.size("heavy"))).first()[0] == 12 * 40_000
+        groups.append(sum(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in table.inputFiles()))
+    assert groups[0] == 1 and groups[1] >= 4
+
+
+def test_a_block_leaves_each_task_alone(spark):
+    """Grids come in batches of many, treaps leave one by one: an index of several blocks equals that of one."""
+    docs, items = sample()
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = ranked.build_index(table, block_docs=20)
+    blocks = index.blocks.collect()
+    assert len(blocks) >= 7 and sum(len(b.ids) for b in blocks) == index.n_docs == len([1 for _, t in docs if ranked.terms((t or "").encode())])
+    counts = Counter(t for _, text in docs for t in set(ranked.terms((text or "").encode())))
+    held = Counter()
+    for b in blocks:
+        assert list(zip(b.df, b.vocabulary)) == sorted(zip(b.df, b.vocabulary), key=lambda p: (-p[0], p[1].encode()))
+        held.update({t.encode(): n for t, n in zip(b.vocabulary, b.df)})
+    assert held == counts
