@@ -1,8 +1,10 @@
 """Byte ranges of large files as a data source: one partition per stretch of planned bytes, Arrow batches out.
 
-``spark.read.format("byte_ranges")`` reads a written plan of ``(case_id, os_path, seq, start, length)`` rows; bytes outside them
-(sparse holes, dead parts of a journal, the middle of a log whose end is wanted) are never touched. Long ranges are cut into pieces,
-short ones share a partition, and small pieces do so once there are more than a few for every core. Filters belong on the plan, before it is read: what Spark 4.1 pushes into a Python source for one query
+``read_ranges`` plans ``(case_id, os_path, seq, start, length)`` rows and reads them by ``spark.read.format("byte_ranges")``; bytes outside
+them (sparse holes, dead parts of a journal, the middle of a log whose end is wanted) are never touched. Long ranges are cut into pieces,
+short ones share a partition, and small pieces do so once there are more than a few for every core. The plan is cut and written by tasks and
+read by those that read its pieces; the driver sees a name and two numbers for each file of the plan, and a partition is a few places in such files.
+Filters belong on the plan, before it is read: what Spark 4.1 pushes into a Python source for one query
 stays in force for later queries of the same DataFrame, so this source takes no filters from it.
 
 Defined cases: a file that ends early gives what it has and then a row with ``error`` and no bytes; one that cannot be opened
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +35,65 @@ _BATCH = pa.schema([
     ("case_id", pa.string()), ("os_path", pa.string()), ("seq", pa.int64()), ("chunk_offset", pa.int64()), ("bytes", pa.binary()), ("error", pa.string()),
 ])
 _PLAN = ("case_id", "os_path", "seq", "start", "length")
+_CUT = pa.schema([("case_id", pa.string()), ("os_path", pa.string()), *((c, pa.int64()) for c in ("seq", "start", "length", "stretch"))])
+_CUT_ROWS = 16_384  # of the plan, that a task holds
+_GROUP_BYTES = 4 * CHUNK  # a task reads the row groups with its stretches
 
 
 @dataclass
 class Stretch(InputPartition):
-    """Pieces that one task reads: (case_id, os_path, seq, start, length)."""
+    """What one task reads: pieces (case_id, os_path, seq, start, length), or places of the plan (file, first stretch, end)."""
 
     pieces: list[tuple]
 
 
-def stretches(ranges: Iterable[tuple], piece: int) -> list[Stretch]:
-    """Ranges cut into pieces and packed, in order, into partitions of at most ``piece`` bytes."""
-    out, room = [], 0
+def numbered(ranges: Iterable[tuple], piece: int) -> Iterator[tuple]:
+    """Ranges cut into pieces, each with the number of its stretch: neighbours share one of at most ``piece`` bytes."""
+    number, room = -1, 0
     for case, path, seq, start, length in ranges:
         for at in range(start, start + length, piece):
             n = min(piece, start + length - at)
             if n > room:
-                out.append(Stretch([]))
-                room = piece
-            out[-1].pieces.append((case, path, seq, at, n))
+                number, room = number + 1, piece
             room -= n
-    return out
+            yield case, path, seq, at, n, number
+
+
+def stretches(ranges: Iterable[tuple], piece: int) -> list[Stretch]:
+    """Ranges cut into pieces and packed, in order, into partitions of at most ``piece`` bytes."""
+    return [Stretch([p[:5] for p in some]) for _, some in groupby(numbered(ranges, piece), key=lambda p: p[5])]
+
+
+def neighbours(n: int, most: int, piece: int) -> int:
+    """How many stretches one task reads, so that there are at most ``most`` tasks, unless one would then read more than PIECE bytes."""
+    return max(1, min(-(-n // most), PIECE // piece))
 
 
 def joined(parts: list[Stretch], most: int, piece: int) -> list[Stretch]:
     """At most ``most`` partitions, neighbours being read by one task, unless a task would then read more than PIECE bytes."""
-    k = min(-(-len(parts) // most), max(1, PIECE // piece))
+    k = neighbours(len(parts), most, piece)
     return [Stretch([p for part in parts[a : a + k] for p in part.pieces]) for a in range(0, len(parts), k)] if k > 1 else parts
 
 
+def places(files: list[tuple[str, int, int]], most: int, piece: int) -> list[Stretch]:
+    """Partitions over the stretches of plan files (name, stretches, bytes), by their places only; files of one stretch share a partition as pieces do."""
+    k = neighbours(sum(n for _, n, _ in files), most, piece)
+    if k == 1:
+        shared = stretches(((None, name, 0, 0, size) for name, n, size in files if n == 1), piece)
+        return [Stretch([(p[1], 0, 1) for p in s.pieces]) for s in shared] + [Stretch([(name, i, i + 1)]) for name, n, _ in files if n > 1 for i in range(n)]
+    out, room = [], 0
+    for name, n, _ in files:
+        at = 0
+        while at < n:
+            if not room:
+                out.append(Stretch([]))
+                room = k
+            some = min(room, n - at)
+            out[-1].pieces.append((name, at, at + some))
+            at, room = at + some, room - some
+    return out
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.plan, self.piece, self.tasks = options["path"], int(options.get("piece", PIECE)), int(options.get("tasks", TASKS))
@@ -69,16 +102,23 @@ class RangeReader(DataSourceReader):
             raise ValueError("pieces are positive, and whole chunks of whole steps where only some bytes are taken")
 
     def partitions(self) -> list[InputPartition]:
+        filesystem, path = located(f"{self.plan}-files")
+        files = pads.dataset(path, filesystem=filesystem, format="parquet").to_table(columns=["file", "n", "size"]).sort_by("file")
+        return places(list(zip(*(c.to_pylist() for c in files.columns), strict=True)), self.tasks, self.piece) or [Stretch([])]
+
+    def _planned(self, partition: Stretch) -> Iterator[tuple]:
         filesystem, path = located(self.plan)
-        rows = pads.dataset(path, filesystem=filesystem, format="parquet").to_table(columns=list(_PLAN), filter=pads.field("length") > 0)
-        rows = rows.sort_by([(c, "ascending") for c in ("os_path", "start")])
-        parts = stretches(zip(*(rows.column(c).to_pylist() for c in _PLAN), strict=True), self.piece)
-        return joined(parts, self.tasks, self.piece) or [Stretch([])]
+        number = pads.field("stretch")
+        for name, first, end in partition.pieces:
+            plan = pads.dataset(f"{path}/{name}", filesystem=filesystem, format="parquet")
+            wanted = (number >= first) & (number < end)
+            for batch in plan.to_batches(columns=list(_PLAN), filter=wanted, batch_size=_CUT_ROWS, batch_readahead=1, use_threads=False):
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         handle, opened = None, None
         try:
-            for case, path, seq, start, length in partition.pieces:
+            for case, path, seq, start, length in self._planned(partition):
                 at, end = start, start + length
                 try:
                     if opened != path:  # pieces of one file follow each other
@@ -133,7 +173,19 @@ def read_ranges(ranges: DataFrame, piece: int = PIECE, every: int = 0, take: int
     """
     spark = ranges.sparkSession
     plan = shared_dir(spark, "ranges")
-    ranges.select("case_id", "os_path", *[F.col(c).cast("bigint").alias(c) for c in ("seq", "start", "length")]).write.parquet(plan)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        pieces = numbered(rows, piece)
+        while some := list(islice(pieces, _CUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _CUT.types, strict=True)], schema=_CUT)
+
+    wanted = ranges.select("case_id", "os_path", *[F.col(c).cast("bigint").alias(c) for c in ("seq", "start", "length")]).where("length > 0")
+    kept = wanted.repartition("os_path").sortWithinPartitions("os_path", "start")  # pieces of one file follow each other
+    schema = "case_id string, os_path string, seq bigint, start bigint, length bigint, stretch bigint"
+    kept.mapInArrow(cut, schema).write.option("parquet.block.size", str(_GROUP_BYTES)).parquet(plan)
+    files = spark.read.schema(schema).parquet(plan).groupBy(F.col("_metadata.file_name").alias("file"))
+    files.agg((F.max("stretch") + 1).alias("n"), F.sum("length").alias("size")).write.parquet(f"{plan}-files")
     spark.dataSource.register(ByteRanges)
     tasks = max(TASKS, 4 * spark.sparkContext.defaultParallelism)
     reader = spark.read.format(NAME).option("piece", str(piece)).option("tasks", str(tasks))

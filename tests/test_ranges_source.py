@@ -1,5 +1,6 @@
 """The byte-range data source and reads of parts of files."""
 
+import pickle
 import random
 
 import pytest
@@ -112,3 +113,42 @@ def test_joined_partitions_keep_pieces_and_stay_small():
     assert len(some) == 63 and [p for s in some for p in s.pieces] == [p for s in parts for p in s.pieces]
     large = ranges.stretches([("c", "p", 0, 0, 400 * CHUNK)], 32 * CHUNK)
     assert [len(s.pieces) for s in ranges.joined(large, 2, 32 * CHUNK)] == [2] * 6 + [1]
+
+
+def test_the_driver_sees_no_pieces(spark, tmp_path, monkeypatch):
+    """A partition of many small files is a few places of the plan, however many files there are."""
+    monkeypatch.setattr(ranges, "shared_dir", lambda spark, purpose: str(tmp_path / "plan"))
+    at = F.concat(F.lit(f"{tmp_path}/"), F.col("id"))
+    plan = spark.range(20_000).select(F.lit("c").alias("case_id"), at.alias("os_path"), F.lit(0).alias("seq"), F.lit(0).alias("start"), F.lit(5).alias("length"))
+    ranges.read_ranges(plan)
+    parts = ranges.RangeReader({"path": str(tmp_path / "plan")}).partitions()
+    assert 1 <= len(parts) <= 4 and len(pickle.dumps(parts)) < 4000
+
+
+def test_a_plan_of_several_files_is_read_whole(spark, tmp_path):
+    r = random.Random(9)
+    contents = {f"f{i}": r.randbytes(r.choice([0, 1, 30, 400])) for i in range(60)}
+    files = listed(spark, tmp_path, contents)
+    plan = files.select("case_id", "os_path", F.lit(7).alias("seq"), F.lit(0).alias("start"), F.col("size").alias("length"))
+    plan = plan.union(files.limit(3).select("case_id", "os_path", F.lit(8), F.lit(0), F.lit(None).cast("bigint")))
+    wanted = {name: body for name, body in contents.items() if body}
+    try:
+        for coalesce, piece in (("true", 100), ("false", 100), ("false", 7), ("false", 64 * CHUNK)):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            rows = ranges.read_ranges(plan, piece).collect()
+            got = {name: b"".join(bytes(x.bytes) for x in sorted(rows, key=lambda x: x.chunk_offset) if x.os_path.endswith(f"/{name}")) for name in wanted}
+            assert got == wanted and {(x.seq, x.error) for x in rows} == {(7, None)} and max(len(x.bytes) for x in rows) <= piece
+            assert ranges.read_ranges(plan.limit(0), piece).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_places_cover_each_stretch_once():
+    files = [("a", 1, 40), ("b", 3, 210), ("c", 1, 50), ("d", 1, 30), ("e", 2, 110)]
+    each = sorted((name, i) for name, n, _ in files for i in range(n))
+    for most, piece in ((100, 100), (3, 100), (1, 100), (3, 64 * CHUNK)):
+        parts = ranges.places(files, most, piece)
+        assert sorted((name, i) for p in parts for name, first, end in p.pieces for i in range(first, end)) == each
+        assert piece == 64 * CHUNK or len(parts) <= most
+    assert [("a", 0, 1), ("c", 0, 1)] in [p.pieces for p in ranges.places(files, 100, 100)]
+    assert ranges.places([], 64, 10) == []
